@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import kneser_ney
+from keyloom.llm import kneser_ney, quality, sharding, url_filter
+from keyloom.llm._shared import cut
 from keyloom.llm.simhash_dedup import simhash_groups
 
 
@@ -30,7 +31,38 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ready = cut(quality.with_features(docs).drop("text"), "features")
+    learning = F.coalesce(_remainder(5), F.lit(1)) != 0
+    model = quality.learn(ready, table(spark, sf_dir, "labels"), learning)
+    scored = quality.with_scores_of(ready, model)
+    return scored.select("doc_id", (~learning).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign(docs, 16).drop("text")
+
+
+RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("allow", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_quality": op4_quality,
+    "op5_jump_sharding": op5_jump_sharding,
+    "op9_url_filter": op9_url_filter,
 }

@@ -1,3 +1,17 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+_REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*', 0) END"
+_HOST = "regexp_extract(rest, '^[^/]*', 0)"
+
+ORACLE["op9_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length({_HOST}) + 1) AS path
+  FROM (SELECT page_id, {_REST} AS rest FROM pages)),
+rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+ranked AS (
+  SELECT page_id, host, path, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS place
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
+"""
