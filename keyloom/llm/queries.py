@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import kneser_ney, quality, sharding, url_filter
+from keyloom.llm import decontaminate, kneser_ney, mixing, quality, sharding, url_filter
 from keyloom.llm._shared import cut
 from keyloom.llm.simhash_dedup import simhash_groups
 
@@ -45,6 +45,12 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, 16).drop("text")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.round("_probability", 9).alias("probability"))
+
+
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -59,10 +65,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES).drop("url")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality": op4_quality,
     "op5_jump_sharding": op5_jump_sharding,
+    "op6_mixing": op6_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }

@@ -15,3 +15,44 @@ ranked AS (
   FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
 """
+
+_WORDS = r"[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF x <> '']"
+
+
+def _runs(k: int) -> str:
+    return f"list_distinct([array_to_string(w[i + 1 : i + {k}], ' ') FOR i IN range(len(w) - {k} + 1)])"
+
+
+ORACLE["op10_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 5) AS k, unnest(CASE WHEN len(w) >= 5 THEN {_runs(5)} ELSE [array_to_string(w, ' ')] END) AS s FROM b WHERE len(w) > 0),
+sized AS (SELECT item_id, k, count(*) AS n FROM i GROUP BY ALL),
+s AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS k, unnest({_runs(k)}) AS s FROM d WHERE len(w) >= {k} AND {k} IN (SELECT k FROM sized)" for k in range(1, 6))}),
+m AS (SELECT doc_id, item_id, k, count(*) AS matched FROM s JOIN i USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS item_shingles, matched FROM m JOIN sized USING (item_id, k) WHERE matched >= ceil(n * 0.8 - 1e-9)
+"""
+
+
+def _mixing(alpha: dict[str, float], sweeps: int) -> str:
+    dims = ("source", "lang", "topic")
+    topic = """CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'none' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '{') OR contains(text, '=') THEN 'code'
+      WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, '?') THEN 'questions' ELSE 'prose' END"""
+    steps = [
+        f"d AS (SELECT doc_id, coalesce(source, '∅') AS source, coalesce(lang, '∅') AS lang, {topic} AS topic, len({_WORDS}) AS tokens FROM documents)",
+        "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+        "r0 AS (SELECT *, tokens AS raked FROM c WHERE tokens > 0)",
+    ]
+    for x in dims:
+        steps.append(f"t_{x} AS (SELECT {x}, pow(sum(tokens), {alpha[x]}) / sum(pow(sum(tokens), {alpha[x]})) OVER () * sum(sum(tokens)) OVER () AS t_{x} FROM r0 GROUP BY {x})")
+    k = 0
+    for _ in range(sweeps):
+        for x in dims:
+            steps.append(f"r{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, raked * t_{x} / sum(raked) OVER (PARTITION BY {x}) AS raked FROM r{k} JOIN t_{x} USING ({x}))")
+            k += 1
+    steps.append(f"p AS (SELECT source, lang, topic, raked / tokens / max(raked / tokens) OVER () AS probability FROM r{k} UNION ALL SELECT source, lang, topic, 1.0 FROM c WHERE tokens = 0)")
+    draw = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, round(probability, 9) AS probability FROM d JOIN p USING (source, lang, topic) WHERE {draw} < probability"
+
+
+ORACLE["op6_mixing"] = _mixing({"source": 0.7, "lang": 1.0, "topic": 1.0}, 12)
