@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, kneser_ney, mixing, quality, sharding, url_filter
+from keyloom.llm import archive, decontaminate, embedding_dedup, kneser_ney, mixing, quality, sharding, token_counts, url_filter
 from keyloom.llm._shared import cut
 from keyloom.llm.simhash_dedup import simhash_groups
 
@@ -27,6 +27,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.round("_probability", 9).alias("probability"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -71,10 +83,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality": op4_quality,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
+    "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }

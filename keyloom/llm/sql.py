@@ -56,3 +56,11 @@ def _mixing(alpha: dict[str, float], sweeps: int) -> str:
 
 
 ORACLE["op6_mixing"] = _mixing({"source": 0.7, "lang": 1.0, "topic": 1.0}, 12)
+
+_BASE32 = "[" + ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, {5 * (k // 4) + 1}, 5))::BIGINT >> {15 - 5 * (k % 4)} & 31)::INT + 1, 1)" for k in range(32)) + "]"
+
+ORACLE["op7_warc"] = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS top FROM pages)
+SELECT page_id, payload_bytes, array_to_string({_BASE32}, '') AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM p
+"""
