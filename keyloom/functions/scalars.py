@@ -58,16 +58,29 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    """A score as replies show it: whole numbers without exponent or point, ``inf``, ``-inf``, ``nan``, ``-0``."""
-    whole = (F.floor(score) == score) & (F.abs(score) < 4.5e18)
-    negative_zero = (score == 0) & (score.cast("string") == "-0.0")
+    """A score as replies show it: the shortest digits that read back as the same number.
+
+    Whole numbers have no point; point notation holds up to seven zeros before or behind the digits, then ``1.5e+30``.
+    """
+    plain = F.abs(score).cast("string")
+    mantissa, exponent = F.regexp_extract(plain, r"^([0-9.]+)", 1), F.coalesce(F.regexp_extract(plain, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    fraction = F.regexp_extract(mantissa, r"\.([0-9]+)$", 1)
+    every = F.regexp_replace(mantissa, r"\.", "")
+    short = F.regexp_replace(every, "0+$", "")
+    digits = F.regexp_replace(short, "^0+", "")
+    k = exponent - F.length(fraction) + F.length(every) - F.length(short)
+    n = F.length(digits)
+    top = k + n - 1
+    pointed = F.when(n + k > 0, F.concat(F.substring(digits, F.lit(1), n + k), F.lit("."), F.substring(digits, n + k + 1, n))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -(n + k)), digits))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
+    scientific = F.concat(F.substring(digits, 1, 1), tail, F.when(top < 0, "e-").otherwise("e+"), F.abs(top).cast("string"))
+    text = F.when((k >= 0) & (F.abs(top) < n + 7), F.concat(digits, F.repeat(F.lit("0"), k))).when((k < 0) & ((k > -7) | (F.abs(top) < 4)), pointed).otherwise(scientific)
     return (
         F.when(F.isnan(score), "nan")
-        .when(score == float("inf"), "inf")
-        .when(score == float("-inf"), "-inf")
-        .when(negative_zero, "-0")
-        .when(whole, score.cast("bigint").cast("string"))
-        .otherwise(F.lower(score.cast("string")))
+        .when(F.abs(score) == float("inf"), F.when(score > 0, "inf").otherwise("-inf"))
+        .when(score == 0, F.when(score.cast("string") == "-0.0", "-0").otherwise("0"))
+        .when((F.floor(score) == score) & (F.abs(score) < 4.5e18), score.cast("bigint").cast("string"))
+        .otherwise(F.concat(F.when(score < 0, "-").otherwise(""), text))
     )
 
 
