@@ -27,7 +27,8 @@ from keyloom.llm._shared import cut, fresh_path
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE = 128 << 20  # bytes of records after which a writer starts another package
-RANGE = 8 << 20  # bytes of neighbouring records that are read at once
+RANGE = 1 << 20  # bytes of neighbouring records that are read at once
+TASKS = 20_000  # at most, for reading
 DATE = "2024-01-01T00:00:00Z"  # records are the same on every run
 
 
@@ -257,4 +258,6 @@ def read(ranges: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write ``pages`` to packages in the shared folder and read the records back from them."""
     packages = write(pages, fresh_path(pages.sparkSession, "archives"), key, url, html)
-    return read(locate(packages).repartition("package", "start"))
+    ranges = cut(locate(packages), "ranges")
+    # rows are few and their work is large, so their number and not their size decides on the tasks
+    return read(ranges.repartition(min(max(ranges.count(), 1), TASKS), "package", "start"))
