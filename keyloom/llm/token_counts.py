@@ -21,6 +21,7 @@ from keyloom.llm._files import filesystem, open_new
 from keyloom.llm._shared import cut, fresh_path
 
 BLOCK = 4 << 20  # tokens looked through by one step of a task
+TASKS = 20_000  # at most, for the scan
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-pair tokenizers of this family cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,7 +80,9 @@ def scan(files: DataFrame, end: int, dtype: str = "<u2", block: int = BLOCK) ->
     """
     width = np.dtype(dtype).itemsize
     steps = F.when(F.col("tokens") > 0, F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block).cast("long")))
-    blocks = files.select("file", "tokens", F.explode(steps).alias("at")).repartition("file", "at")
+    blocks = files.select("file", "tokens", F.explode(steps).alias("at"))
+    # rows are few and their work is large, so their number and not their size decides on the tasks
+    blocks = blocks.repartition(min(max(blocks.count(), 1), TASKS), "file", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
