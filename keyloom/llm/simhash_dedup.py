@@ -21,9 +21,15 @@ from pyspark.sql import functions as F
 from keyloom.llm import _text
 from keyloom.llm._shared import cut, without
 from keyloom.llm.components import connected_components
+from keyloom.llm.embedding_dedup import forest
 
 WIDTH = 3  # words in a shingle
 RADIUS = 3  # bits in which linked fingerprints may differ
+SIMILAR_RADIUS = 4  # bits in which word fingerprints of similar texts may differ
+SIMILARITY = 0.8  # share of common five-word shingles from which texts count as near copies
+SLACK = 0.03  # below it that the estimate may lie, about its standard error there
+WORDS = 5  # words in a shingle of that share
+BINS = 256  # of a text's sketch
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
 
 
@@ -132,6 +138,75 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> t
     return rows, classes.join(ids, "root").select("fp", "root", "component_id")
 
 
+def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text the SimHash of its single words, and a one-permutation MinHash sketch of its shingles.
+
+    A sketch has a byte for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 255 by the least hash that
+    does.
+    """
+    data, offsets = _text.column_bytes(column)
+    fp, out = simhash(column, 1), np.zeros((len(offsets) - 1, BINS), np.uint8)
+    for a, b in _text.pieces(offsets):
+        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        starts, lens, cum = _text.shingle_spans(words, width)
+        least = np.full((b - a) * BINS, np.iinfo(np.uint64).max, np.uint64)
+        owner = np.repeat(np.arange(b - a), np.diff(cum))
+        for at in range(0, len(starts), _text.SHINGLES):
+            h = _text.xxh64(words.buffer, starts[at : at + _text.SHINGLES], lens[at : at + _text.SHINGLES], 42)
+            np.minimum.at(least, owner[at : at + _text.SHINGLES] * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
+        code = (least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        out[a:b] = np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(b - a, BINS)
+    return fp, out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches: equal bins among those not empty in both, less chance agreement; texts without shingles equal each other."""
+    filled = ((a > 0) | (b > 0)).sum(axis=1)
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    share = (equal / np.maximum(filled, 1) - 1 / 255) / (1 - 1 / 255)
+    return np.where(filled == 0, 1.0, share)
+
+
+def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS) -> DataFrame:
+    """``docs`` without the text, with fp, sketch and node: a hash of both, equal for copies whatever their case and white space."""
+    kept = [c for c in docs.columns if c not in (text, "fp", "sketch")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, sketch = sketches(batch.column(len(kept)), width)
+            raw = pa.array([row.tobytes() for row in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp.view(np.int64)), raw], names=[*kept, "fp", "sketch"])
+
+    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
+    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("sketch")).schema
+    return chosen.mapInArrow(run, schema).withColumn("node", F.xxhash64("fp", "sketch"))
+
+
+def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY - SLACK, block: int = BLOCK) -> DataFrame:
+    """Links (src, dst) between ``nodes`` (node, fp, sketch) within the radius whose sketches are similar enough: spanning forests of the groups in which they meet."""
+    masks = covering_masks(radius)
+    keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"))
+    sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.drop("fp").join(sizes, ["tab", "key"]).withColumn("m", F.ceil(F.col("n") / block).cast("int"))
+    met = met.withColumn("c", F.pmod(F.col("node"), F.col("m")).cast("int"))
+    met = met.select("tab", "key", "node", F.col("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    met = met.select("tab", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node").join(nodes, "node")
+
+    def link(table: pa.Table) -> pa.Table:
+        node, bits = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
+        a, b = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius, 1))
+        near = np.zeros((len(node), len(node)), bool)
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            fits = similarity(sketch[x], sketch[y]) >= least
+            near[x[fits], y[fits]] = near[y[fits], x[fits]] = True
+        edges = forest(near) if near.any() else np.zeros((0, 2), np.int64)
+        return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
+
+    return met.groupBy("tab", "key", "i", "j").applyInArrow(link, "src long, dst long")
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: (key, fingerprint as 16 hex digits, component_id: smallest key reachable by links).
 
@@ -144,13 +219,27 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     return rows.join(classes.drop("root"), "fp").select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def _similar_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """As ``_classes``, by similarity: ``fp`` is the node there."""
+    rows = cut(with_sketches(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "sketches")
+    named = rows.groupBy("node", "fp", "sketch").agg(F.min("id").alias("least"))
+    named = cut(named, "nodes")
+    linked = connected_components(similar_links(named.select("node", "fp", "sketch"))).toDF("node", "component")
+    classes = cut(named.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "classes")
+    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", F.col("node").alias("fp")), classes.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS, similar: bool = False) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate group: the one with the smallest key.
 
+    Groups are those of ``simhash_groups``, or with ``similar`` of texts whose five-word shingles agree to ``SIMILARITY``:
+    fingerprints of single words, which small edits hardly move, find the pairs and MinHash sketches confirm them.
+
     Rows whose key is null or repeated are told apart by their fingerprint: of those that tie for their group's place
     the one with the smallest text stays; a null key has its place only in a group of null keys.
     """
-    rows, classes = _classes(docs, key, text, width, radius)
+    rows, classes = _similar_classes(docs, key, text) if similar else _classes(docs, key, text, width, radius)
     classes = cut(classes, "groups")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     placed = rows.join(classes, "fp").select("id", "component_id")
@@ -158,7 +247,8 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     gone = cut(gone.toDF("gone_id"), "gone")
     kept = without(docs.where(F.col(key).isNotNull()), gone, key, "gone_id")
     odd = docs.join(repeated.toDF("odd_id"), docs[key] == F.col("odd_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    marked = fingerprints(odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")), "text", width)
+    told = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    marked = with_sketches(told).select("row", F.col("node").alias("fp")) if similar else fingerprints(told, "text", width)
     tied = marked.join(classes, "fp").where(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))
     place = W.partitionBy("root").orderBy(F.col(f"row.`{text}`").asc_nulls_first())
     return kept.unionByName(tied.withColumn("place", F.row_number().over(place)).where("place = 1").select("row.*"))

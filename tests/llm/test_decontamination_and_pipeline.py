@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,14 +100,23 @@ def test_pipeline_is_brute_force(spark):
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, frame, DATA).collect()}
     assert sum(labels[d]["quality"] == (d in kept) for d in labels) / len(labels) > 0.95
-    fps = {r["doc_id"]: r["fp"] for r in simhash_dedup.fingerprints(frame.select("doc_id", "text"), width=5).collect()}
-    order, first = sorted(kept), {}
-    for d in order:
-        near = [e for e in first if (fps[d] ^ fps[e]).bit_count() <= 3]
-        roots = {first[e] for e in near} | {d}
-        first[d] = min(roots)
-        first = {e: min(roots) if r in roots else r for e, r in first.items()}
+    order = sorted(kept)
+    sets = {d: runs(w, min(len(w), 5)) if (w := words(docs[d]["text"])) else set() for d in order}
+    fp, sketch = simhash_dedup.sketches(pa.array([docs[d]["text"] for d in order]))
+    first = {d: d for d in order}
+    exact = set()
+    for i, d in enumerate(order):
+        for j in range(i):
+            est = simhash_dedup.similarity(sketch[i : i + 1], sketch[j : j + 1])[0]
+            true = len(sets[d] & sets[order[j]]) / max(len(sets[d] | sets[order[j]]), 1)
+            assert abs(est - true) < 0.15 or not sets[d]
+            if true >= 0.85 and sets[d]:
+                exact.add((order[j], d))
+            if (int(fp[i]) ^ int(fp[j])).bit_count() <= simhash_dedup.SIMILAR_RADIUS and est >= simhash_dedup.SIMILARITY - simhash_dedup.SLACK:
+                a, b = sorted((first[d], first[order[j]]))
+                first = {e: a if r == b else r for e, r in first.items()}
     kept = {d for d in order if first[d] == d}
+    assert sum(first[a] == first[b] for a, b in exact) >= 0.9 * len(exact)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     kept -= {int(d) for d, *_ in held([(d, docs[d]["text"]) for d in kept], items)}
     p = {(c["source"], c["lang"], c["topic"]): c["probability"] for c in mixing.cell_probabilities(frame.where(F.col("doc_id").isin(sorted(kept)))).collect()}

@@ -134,3 +134,36 @@ def test_recall_at_the_threshold():
 def test_result_ignores_labels(spark):
     base = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 2)], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(base).agg(F.sum("n_links")).first()[0] == 2
+
+
+def test_similar_texts(spark):
+    rng = random.Random(6)
+    # as in prose, few words make up much of a text
+    base = [" ".join(f"w{int(3000 ** rng.random())}" for _ in range(400)) for _ in range(12)]
+
+    def edit(t, n):
+        w = t.split()
+        for k in rng.sample(range(len(w)), n):
+            w[k] = f"edited{k}"
+        return " ".join(w)
+
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, edit(t, 4).upper()) for i, t in enumerate(base)]  # similarity about 0.9
+    rows += [(200, " ".join(sorted(base[0].split()))), (300, ""), (301, None), (302, "three words only"), (303, "three words  ONLY"), (304, "three words too"), (None, base[1]), (5, base[5])]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, sketch string")
+    kept = simhash_dedup.keep_representatives(docs, similar=True)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(12), 200, 300, 302, 304]
+    assert simhash_dedup.keep_representatives(docs.limit(0), similar=True).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(8)
+    import pyarrow as pa
+
+    for share in (0.0, 0.3, 0.8, 1.0):
+        w = [f"a{rng.randrange(10**6)}" for _ in range(1500)]
+        v = w[: int(len(w) * share)] + [f"b{rng.randrange(10**6)}" for _ in range(len(w) - int(len(w) * share))]
+        _, s = simhash_dedup.sketches(pa.array([" ".join(w), " ".join(v)]))
+        true = share / (2 - share)
+        assert abs(simhash_dedup.similarity(s[:1], s[1:])[0] - true) < 0.1
