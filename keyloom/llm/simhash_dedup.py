@@ -141,7 +141,7 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> t
 def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Of every text the SimHash of its single words, and a one-permutation MinHash sketch of its shingles.
 
-    A sketch has a byte for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 255 by the least hash that
+    A sketch has a number for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 15 by the least hash that
     does.
     """
     data, offsets = _text.column_bytes(column)
@@ -154,7 +154,7 @@ def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarr
         for at in range(0, len(starts), _text.SHINGLES):
             h = _text.xxh64(words.buffer, starts[at : at + _text.SHINGLES], lens[at : at + _text.SHINGLES], 42)
             np.minimum.at(least, owner[at : at + _text.SHINGLES] * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
-        code = (least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        code = (least % np.uint64(15) + np.uint64(1)).astype(np.uint8)
         out[a:b] = np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(b - a, BINS)
     return fp, out
 
@@ -163,7 +163,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of rows of sketches: equal bins among those not empty in both, less chance agreement; texts without shingles equal each other."""
     filled = ((a > 0) | (b > 0)).sum(axis=1)
     equal = ((a == b) & (a > 0)).sum(axis=1)
-    share = (equal / np.maximum(filled, 1) - 1 / 255) / (1 - 1 / 255)
+    share = (equal / np.maximum(filled, 1) - 1 / 15) / (1 - 1 / 15)
     return np.where(filled == 0, 1.0, share)
 
 
@@ -174,7 +174,7 @@ def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, sketch = sketches(batch.column(len(kept)), width)
-            raw = pa.array([row.tobytes() for row in sketch], pa.binary())
+            raw = pa.array([row.tobytes() for row in sketch[:, ::2] << 4 | sketch[:, 1::2]], pa.binary())  # two bins a byte
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp.view(np.int64)), raw], names=[*kept, "fp", "sketch"])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
@@ -194,7 +194,8 @@ def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float =
 
     def link(table: pa.Table) -> pa.Table:
         node, bits = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
+        packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS // 2)
+        sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(node), BINS)
         a, b = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius, 1))
         near = np.zeros((len(node), len(node)), bool)
         for at in range(0, len(a), 1 << 15):
