@@ -10,6 +10,7 @@ its key.  No pair within the radius is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -182,21 +183,74 @@ def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS) -> Da
     return chosen.mapInArrow(run, schema).withColumn("node", F.xxhash64("fp", "sketch"))
 
 
+def first_meetings(x: np.ndarray, tab: int | np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs of fingerprints with the differing bits ``x`` meet in no table before ``tab``."""
+    first = np.full(len(x), len(masks), np.int64)
+    for t in range(len(masks) - 1, -1, -1):
+        first[(x & masks[t]) == 0] = t
+    return first == tab
+
+
+def pairing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (tab, key, i, j, c, node, fp) sorted by the first four, those that form a pair within the radius which meets here first.
+
+    Row k meets row k + d of its group for growing d, over all groups of a batch at once; a group that a batch cuts goes
+    on in the next one.  Of two blocks' group only pairs across the blocks count, as those inside have one of their own.
+    """
+    masks = np.array(covering_masks(radius), np.int64).view(np.uint64)
+    rest = None
+    for batch in chain(batches, [None]):
+        rows = [x for x in (rest, batch) if x is not None and x.num_rows]
+        if not rows:
+            continue
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        tab, key, i, j, c, fp = (whole.column(k).to_numpy() for k in ("tab", "key", "i", "j", "c", "fp"))
+        new = np.flatnonzero((np.diff(tab) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        done = len(tab) if batch is None else int(new[-1]) if len(new) else 0
+        rest = whole.slice(done).combine_chunks().to_batches()[0] if done < len(tab) else None
+        if not done:
+            continue
+        bounds = np.concatenate([[0], new[new < done], [done]])
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        bits, alive, found, d = fp.view(np.uint64), np.arange(done), np.zeros(done, bool), 1
+        while len(alive := alive[alive + d < end[alive]]):
+            x = bits[alive] ^ bits[alive + d]
+            near = np.bitwise_count(x) <= radius
+            near &= (i[alive] == j[alive]) | (c[alive] != c[alive + d])
+            k, x = alive[near], x[near]
+            k = k[first_meetings(x, tab[k], masks)]
+            found[k] = found[k + d] = True
+            d += 1
+        out = whole.slice(0, done).drop_columns(["fp"]).filter(pa.array(found))
+        yield from out.to_batches()
+
+
 def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY - SLACK, block: int = BLOCK) -> DataFrame:
-    """Links (src, dst) between ``nodes`` (node, fp, sketch) within the radius whose sketches are similar enough: spanning forests of the groups in which they meet."""
+    """Links (src, dst) between ``nodes`` (node, fp, sketch) within the radius whose sketches are similar enough.
+
+    Each pair within the radius is looked at in the first table in which it meets.  Fingerprints alone meet in all
+    tables; sketches follow only to groups where their node has a pair to confirm, and those return spanning forests.
+    """
     masks = covering_masks(radius)
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"))
     sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.drop("fp").join(sizes, ["tab", "key"]).withColumn("m", F.ceil(F.col("n") / block).cast("int"))
+    met = keyed.join(sizes, ["tab", "key"]).withColumn("m", F.ceil(F.col("n") / block).cast("int"))
     met = met.withColumn("c", F.pmod(F.col("node"), F.col("m")).cast("int"))
-    met = met.select("tab", "key", "node", F.col("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
-    met = met.select("tab", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node").join(nodes, "node")
+    met = met.select("tab", "key", "node", "fp", F.col("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    met = met.select("tab", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "fp")
+    group = ["tab", "key", "i", "j"]
+    dealt = met.repartition(*group).sortWithinPartitions(*group)
+    paired = dealt.mapInArrow(lambda batches: pairing(batches, radius), met.drop("fp").schema).join(nodes, "node")
+    unsigned = np.array(masks, np.int64).view(np.uint64)
 
     def link(table: pa.Table) -> pa.Table:
-        node, bits = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        tab, i, j = (table.column(k)[0].as_py() for k in ("tab", "i", "j"))
+        node, bits, c = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("c").to_numpy()
         packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS // 2)
         sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(node), BINS)
         a, b = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius, 1))
+        own = first_meetings(bits[a] ^ bits[b], tab, unsigned) & ((i == j) | (c[a] != c[b]))
+        a, b = a[own], b[own]
         near = np.zeros((len(node), len(node)), bool)
         for at in range(0, len(a), 1 << 15):
             x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
@@ -205,7 +259,7 @@ def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float =
         edges = forest(near) if near.any() else np.zeros((0, 2), np.int64)
         return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
 
-    return met.groupBy("tab", "key", "i", "j").applyInArrow(link, "src long, dst long")
+    return paired.groupBy(*group).applyInArrow(link, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
