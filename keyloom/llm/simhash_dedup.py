@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.llm import _text
-from keyloom.llm._shared import cut, without
+from keyloom.llm._shared import bounded, cut, without
 from keyloom.llm.components import connected_components
 from keyloom.llm.embedding_dedup import forest
 
@@ -297,11 +297,12 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows, classes = _similar_classes(docs, key, text) if similar else _classes(docs, key, text, width, radius)
     classes = cut(classes, "groups")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    repeated = cut(repeated, "repeated")
     placed = rows.join(classes, "fp").select("id", "component_id")
     gone = placed.where("id <> component_id").select("id").union(repeated).distinct()
     gone = cut(gone.toDF("gone_id"), "gone")
     kept = without(docs.where(F.col(key).isNotNull()), gone, key, "gone_id")
-    odd = docs.join(repeated.toDF("odd_id"), docs[key] == F.col("odd_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    odd = docs.join(bounded(repeated.toDF("odd_id")), docs[key] == F.col("odd_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
     told = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     marked = with_sketches(told).select("row", F.col("node").alias("fp")) if similar else fingerprints(told, "text", width)
     tied = marked.join(classes, "fp").where(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))
