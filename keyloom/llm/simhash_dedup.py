@@ -31,6 +31,8 @@ SIMILARITY = 0.8  # share of common five-word shingles from which texts count as
 SLACK = 0.03  # below it that the estimate may lie, about its standard error there
 WORDS = 5  # words in a shingle of that share
 BINS = 256  # of a text's sketch
+BRIEF_RADIUS = 18  # of a sketch's 64 brief bits that may differ; at a similarity of 0.77 the mean is 7.4, at none 32
+BANDS = 8  # least hashes by which the texts of a large key are dealt: a similarity of 0.77 shares none once in 100,000 times
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
 
 
@@ -139,14 +141,15 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> t
     return rows, classes.join(ids, "root").select("fp", "root", "component_id")
 
 
-def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Of every text the SimHash of its single words, and a one-permutation MinHash sketch of its shingles.
+def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every text the SimHash of its single words, a one-permutation MinHash sketch of its shingles, and its bands.
 
     A sketch has a number for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 15 by the least hash that
-    does.
+    does.  A band is the least hash of a run of bins, 27 bits of it with the band's number below; a band without shingles
+    has the hash of the next one that has some.
     """
     data, offsets = _text.column_bytes(column)
-    fp, out = simhash(column, 1), np.zeros((len(offsets) - 1, BINS), np.uint8)
+    fp, out, bands = simhash(column, 1), np.zeros((len(offsets) - 1, BINS), np.uint8), np.zeros((len(offsets) - 1, BANDS), np.int32)
     for a, b in _text.pieces(offsets):
         words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         starts, lens, cum = _text.shingle_spans(words, width)
@@ -157,7 +160,11 @@ def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarr
             np.minimum.at(least, owner[at : at + _text.SHINGLES] * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
         code = (least % np.uint64(15) + np.uint64(1)).astype(np.uint8)
         out[a:b] = np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(b - a, BINS)
-    return fp, out
+        low = least.reshape(b - a, BANDS, BINS // BANDS).min(axis=2)
+        for _ in range(BANDS - 1):
+            low = np.where(low == np.iinfo(np.uint64).max, np.roll(low, -1, axis=1), low)
+        bands[a:b] = (low & np.uint64(2**27 - 1)).astype(np.int32) * BANDS + np.arange(BANDS, dtype=np.int32)
+    return fp, out, bands
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,17 +176,18 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS) -> DataFrame:
-    """``docs`` without the text, with fp, sketch and node: a hash of both, equal for copies whatever their case and white space."""
-    kept = [c for c in docs.columns if c not in (text, "fp", "sketch")]
+    """``docs`` without the text, with fp, brief, sketch, bands and node: a hash of fp and sketch, equal for copies whatever their case and white space."""
+    kept = [c for c in docs.columns if c not in (text, "fp", "brief", "sketch", "bands")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sketch = sketches(batch.column(len(kept)), width)
+            fp, sketch, bands = sketches(batch.column(len(kept)), width)
             raw = pa.array([row.tobytes() for row in sketch[:, ::2] << 4 | sketch[:, 1::2]], pa.binary())  # two bins a byte
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp.view(np.int64)), raw], names=[*kept, "fp", "sketch"])
+            bits = [pa.array(x.view(np.int64)) for x in (fp, brief(sketch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *bits, raw, pa.array(list(bands), pa.list_(pa.int32()))], names=[*kept, "fp", "brief", "sketch", "bands"])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("sketch")).schema
+    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).cast("long").alias(c) for c in ("fp", "brief")], F.lit(b"").alias("sketch"), F.array(F.lit(0)).alias("bands")).schema
     return chosen.mapInArrow(run, schema).withColumn("node", F.xxhash64("fp", "sketch"))
 
 
@@ -191,11 +199,20 @@ def first_meetings(x: np.ndarray, tab: int | np.ndarray, masks: np.ndarray) -> n
     return first == tab
 
 
+GROUP = ["tab", "key", "part", "i", "j"]  # columns that name a group of fingerprints compared with each other
+
+
+def brief(sketch: np.ndarray) -> np.ndarray:
+    """64 bits of every sketch, one from each fourth bin: bins that hold the same hash, or none, have the same bit, others by even chance."""
+    return ((sketch[:, :: BINS // 64] & 1).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def pairing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (tab, key, i, j, c, node, fp) sorted by the first four, those that form a pair within the radius which meets here first.
+    """Of rows (tab, key, part, i, j, c, node, fp, brief) sorted by the first five, those that form a pair which meets here first.
 
-    Row k meets row k + d of its group for growing d, over all groups of a batch at once; a group that a batch cuts goes
-    on in the next one.  Of two blocks' group only pairs across the blocks count, as those inside have one of their own.
+    A pair is two fingerprints within the radius whose brief bits differ in at most ``BRIEF_RADIUS``.  Row k meets row
+    k + d of its group for growing d, over all groups of a batch at once; a group that a batch cuts goes on in the next
+    one.  Of two blocks' group only pairs across the blocks count, as those inside have one of their own.
     """
     masks = np.array(covering_masks(radius), np.int64).view(np.uint64)
     rest = None
@@ -204,43 +221,48 @@ def pairing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         if not rows:
             continue
         whole = pa.Table.from_batches(rows).combine_chunks()
-        tab, key, i, j, c, fp = (whole.column(k).to_numpy() for k in ("tab", "key", "i", "j", "c", "fp"))
-        new = np.flatnonzero((np.diff(tab) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        tab, i, j, c, fp, few = (whole.column(k).to_numpy() for k in ("tab", "i", "j", "c", "fp", "brief"))
+        new = np.flatnonzero(np.any([np.diff(whole.column(k).to_numpy()) != 0 for k in GROUP], axis=0)) + 1
         done = len(tab) if batch is None else int(new[-1]) if len(new) else 0
         rest = whole.slice(done).combine_chunks().to_batches()[0] if done < len(tab) else None
         if not done:
             continue
         bounds = np.concatenate([[0], new[new < done], [done]])
         end = np.repeat(bounds[1:], np.diff(bounds))
-        bits, alive, found, d = fp.view(np.uint64), np.arange(done), np.zeros(done, bool), 1
+        bits, few, alive, found, d = fp.view(np.uint64), few.view(np.uint64), np.arange(done), np.zeros(done, bool), 1
         while len(alive := alive[alive + d < end[alive]]):
-            x = bits[alive] ^ bits[alive + d]
-            near = np.bitwise_count(x) <= radius
-            near &= (i[alive] == j[alive]) | (c[alive] != c[alive + d])
-            k, x = alive[near], x[near]
-            k = k[first_meetings(x, tab[k], masks)]
+            k = alive[np.bitwise_count(bits[alive] ^ bits[alive + d]) <= radius]
+            k = k[np.bitwise_count(few[k] ^ few[k + d]) <= BRIEF_RADIUS]
+            k = k[(i[k] == j[k]) | (c[k] != c[k + d])]
+            k = k[first_meetings(bits[k] ^ bits[k + d], tab[k], masks)]
             found[k] = found[k + d] = True
             d += 1
-        out = whole.slice(0, done).drop_columns(["fp"]).filter(pa.array(found))
+        out = whole.slice(0, done).drop_columns(["fp", "brief"]).filter(pa.array(found))
         yield from out.to_batches()
 
 
-def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY - SLACK, block: int = BLOCK) -> DataFrame:
-    """Links (src, dst) between ``nodes`` (node, fp, sketch) within the radius whose sketches are similar enough.
+def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY - SLACK, block: int = 2 * BLOCK) -> DataFrame:
+    """Links (src, dst) between ``nodes`` (node, fp, brief, bands, sketch) within the radius whose sketches are similar enough.
 
-    Each pair within the radius is looked at in the first table in which it meets.  Fingerprints alone meet in all
-    tables; sketches follow only to groups where their node has a pair to confirm, and those return spanning forests.
+    Each pair within the radius is looked at in the first table in which it meets.  Fingerprints and brief bits alone
+    meet in all tables; sketches follow only to groups where their node has a pair to confirm, and those return spanning
+    forests.  Fingerprints of texts in which one word prevails agree by thousands without the texts being similar: nodes
+    of a key with more than 2 * ``block`` of them are dealt by their bands, once for each, so that their number grows with
+    the input and not its square.  Should that leave a group still larger, it is cut into blocks that meet two by two.
     """
     masks = covering_masks(radius)
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key"))
-    sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["tab", "key"]).withColumn("m", F.ceil(F.col("n") / block).cast("int"))
+    masked = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
+    keyed = nodes.select("node", "fp", "brief", "bands", F.posexplode(masked).alias("tab", "key"))
+    hot = cut(keyed.groupBy("tab", "key").count().where(F.col("count") > 2 * block).select("tab", "key", F.lit(True).alias("hot")), "hot")
+    parts = F.when(F.col("hot"), F.col("bands")).otherwise(F.array(F.lit(-1)))
+    dealt = keyed.join(bounded(hot), ["tab", "key"], "left").select("tab", "key", F.explode(parts).alias("part"), "node", "fp", "brief")
+    crowded = cut(dealt.where("part >= 0").groupBy("tab", "key", "part").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block), "crowded")
+    met = dealt.join(bounded(crowded), ["tab", "key", "part"], "left").withColumn("m", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     met = met.withColumn("c", F.pmod(F.col("node"), F.col("m")).cast("int"))
-    met = met.select("tab", "key", "node", "fp", F.col("c"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
-    met = met.select("tab", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "fp")
-    group = ["tab", "key", "i", "j"]
-    dealt = met.repartition(*group).sortWithinPartitions(*group)
-    paired = dealt.mapInArrow(lambda batches: pairing(batches, radius), met.drop("fp").schema).join(nodes, "node")
+    met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = met.select("tab", "key", "part", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "fp", "brief")
+    sent = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    paired = sent.mapInArrow(lambda batches: pairing(batches, radius), met.drop("fp", "brief").schema).join(nodes.select("node", "fp", "sketch"), "node")
     unsigned = np.array(masks, np.int64).view(np.uint64)
 
     def link(table: pa.Table) -> pa.Table:
@@ -259,7 +281,7 @@ def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float =
         edges = forest(near) if near.any() else np.zeros((0, 2), np.int64)
         return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
 
-    return paired.groupBy(*group).applyInArrow(link, "src long, dst long")
+    return paired.groupBy(*GROUP).applyInArrow(link, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -277,9 +299,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 def _similar_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """As ``_classes``, by similarity: ``fp`` is the node there."""
     rows = cut(with_sketches(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "sketches")
-    named = rows.groupBy("node", "fp", "sketch").agg(F.min("id").alias("least"))
+    named = rows.groupBy("node", "fp", "brief", "sketch", "bands").agg(F.min("id").alias("least"))
     named = cut(named, "nodes")
-    linked = connected_components(similar_links(named.select("node", "fp", "sketch"))).toDF("node", "component")
+    linked = connected_components(similar_links(named.drop("least"))).toDF("node", "component")
     classes = cut(named.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("id", F.col("node").alias("fp")), classes.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")

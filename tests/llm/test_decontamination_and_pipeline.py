@@ -102,7 +102,7 @@ def test_pipeline_is_brute_force(spark):
     assert sum(labels[d]["quality"] == (d in kept) for d in labels) / len(labels) > 0.95
     order = sorted(kept)
     sets = {d: runs(w, min(len(w), 5)) if (w := words(docs[d]["text"])) else set() for d in order}
-    fp, sketch = simhash_dedup.sketches(pa.array([docs[d]["text"] for d in order]))
+    fp, sketch, _ = simhash_dedup.sketches(pa.array([docs[d]["text"] for d in order]))
     first = {d: d for d in order}
     exact = set()
     for i, d in enumerate(order):

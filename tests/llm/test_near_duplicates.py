@@ -164,6 +164,31 @@ def test_sketches_estimate_similarity():
     for share in (0.0, 0.3, 0.8, 1.0):
         w = [f"a{rng.randrange(10**6)}" for _ in range(1500)]
         v = w[: int(len(w) * share)] + [f"b{rng.randrange(10**6)}" for _ in range(len(w) - int(len(w) * share))]
-        _, s = simhash_dedup.sketches(pa.array([" ".join(w), " ".join(v)]))
+        _, s, _ = simhash_dedup.sketches(pa.array([" ".join(w), " ".join(v)]))
         true = share / (2 - share)
         assert abs(simhash_dedup.similarity(s[:1], s[1:])[0] - true) < 0.1
+
+
+@pytest.mark.parametrize("block", [4, 20, 512])
+def test_large_keys_lose_no_similar_pair(spark, block):
+    """Texts in which one word prevails share a fingerprint: dealt by bands and blocks they link as by brute force."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(12):
+        w = [x for _ in range(60) for x in (f"c{rng.randrange(10**5)}", "|")]
+        for _ in range(8 if k else 40):
+            v = list(w)
+            v[2 * rng.randrange(60)] = f"c{rng.randrange(10**5)}"
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    nodes = simhash_dedup.with_sketches(docs).cache()
+    got = nodes.drop("id", "text").distinct()
+    links = {(r["src"], r["dst"]) for r in simhash_dedup.similar_links(got, block=block).collect()}
+    rows = sorted((r["id"], r["node"], r["fp"], r["sketch"]) for r in nodes.collect())
+    packed = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
+    sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(rows), -1)
+    near = lambda i, j: (rows[i][2] ^ rows[j][2]).bit_count() <= simhash_dedup.SIMILAR_RADIUS and simhash_dedup.similarity(sketch[i : i + 1], sketch[j : j + 1])[0] >= simhash_dedup.SIMILARITY - simhash_dedup.SLACK
+    linked = lambda i, j: rows[i][1] == rows[j][1] or (rows[i][1], rows[j][1]) in links or (rows[j][1], rows[i][1]) in links
+    n = list(range(len(rows)))
+    assert groups(n, linked) == groups(n, near)
+    assert len(set(groups(n, near))) >= 12
