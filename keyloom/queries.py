@@ -557,7 +557,7 @@ def _(t: Tables) -> DataFrame:
     return bitmaps.bitpos(t.user_b(), False)
 
 
-@query("bitmap_bitfield")
+@query("bitmap_bitfield", "SELECT p_partkey, printf('%02X', a * 16 + b) || '7F' || substr(hex(p_name), 5) AS value, concat_ws(',', a, c, b * 16 + 7) AS replies FROM (SELECT p_partkey, p_name, ((ascii(p_name) >> 4) + 5) % 16 AS a, ascii(p_name) % 16 AS b, ascii(substr(p_name, 2)) AS c FROM part)")
 def _(t: Tables) -> DataFrame:
     steps = [("INCRBY", "u4", 0, 5), ("OVERFLOW", "SAT"), ("SET", "i8", "#1", 200), ("GET", "u8", 4)]
     out = bitmaps.bitfield(t.part.select("p_partkey", F.col("p_name").alias("value")), steps)
@@ -753,7 +753,7 @@ def _(t: Tables) -> DataFrame:
     return out.select("key", "field", "value")
 
 
-@query("cluster_keyslot")
+@query("cluster_keyslot", "SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, flatten(list_transform(range(length(p_name)), lambda i: list_transform(range(8), lambda k: (ascii(substr(p_name, i + 1, 1))::BIGINT >> (7 - k)) & 1)))), lambda crc, bit: xor((crc << 1) & 65535, CASE WHEN (crc >> 15) <> bit THEN 4129 ELSE 0 END)) & 16383 AS slot FROM part")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", keyslot(F.col("p_name")).cast("bigint").alias("slot"))
 
