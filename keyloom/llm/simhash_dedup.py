@@ -10,7 +10,6 @@ its key.  No pair within the radius is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,13 +25,13 @@ from keyloom.llm.embedding_dedup import forest
 
 WIDTH = 3  # words in a shingle
 RADIUS = 3  # bits in which linked fingerprints may differ
-SIMILAR_RADIUS = 4  # bits in which word fingerprints of similar texts may differ
+SIMILAR_RADIUS = 4  # bits in which word fingerprints of similar texts may differ, as the tests estimate it
 SIMILARITY = 0.8  # share of common five-word shingles from which texts count as near copies
-SLACK = 0.03  # below it that the estimate may lie, about its standard error there
+SLACK = 0.03  # below it that a sketch's estimate may lie, about its standard error there
 WORDS = 5  # words in a shingle of that share
 BINS = 256  # of a text's sketch
-BRIEF_RADIUS = 18  # of a sketch's 64 brief bits that may differ; at a similarity of 0.77 the mean is 7.4, at none 32
-BANDS = 8  # least hashes by which the texts of a large key are dealt: a similarity of 0.77 shares none once in 100,000 times
+BANDS, ROWS = 40, 6  # MinHash bands of a text and the values in each: a similarity of 0.8 shares none 5 times in a million
+FACTORS = np.random.default_rng(5).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
 
 
@@ -141,30 +140,48 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> t
     return rows, classes.join(ids, "root").select("fp", "root", "component_id")
 
 
+def _hashes(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of ranges a to b of texts, the hashes of all their shingles and the b - a + 1 offsets into them."""
+    data, offsets = _text.column_bytes(column)
+    for a, b in _text.pieces(offsets):
+        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        starts, lens, cum = _text.shingle_spans(words, width)
+        at = range(0, len(starts), _text.SHINGLES)
+        parts = [_text.xxh64(words.buffer, starts[k : k + _text.SHINGLES], lens[k : k + _text.SHINGLES], 42) for k in at]
+        yield a, b, np.concatenate([np.zeros(0, np.uint64), *parts]), cum
+
+
+def _sketch(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
+    n = len(cum) - 1
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, np.repeat(np.arange(n), np.diff(cum)) * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
+    code = (least % np.uint64(15) + np.uint64(1)).astype(np.uint8)
+    return np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(n, BINS)
+
+
+def _bands(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
+    full = np.flatnonzero(np.diff(cum))
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(cum) - 1, axis=0)
+    if len(full):
+        high, starts = (h >> np.uint64(32)).astype(np.uint32), cum[:-1][full]
+        for k, factor in enumerate(FACTORS):
+            least = np.minimum.reduceat(high * factor, starts).astype(np.uint64)
+            keys[full, k // ROWS] = (keys[full, k // ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            keys[full, k // ROWS] ^= keys[full, k // ROWS] >> np.uint64(29)
+    return keys.view(np.int64)
+
+
 def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every text the SimHash of its single words, a one-permutation MinHash sketch of its shingles, and its bands.
 
     A sketch has a number for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 15 by the least hash that
-    does.  A band is the least hash of a run of bins, 27 bits of it with the band's number below; a band without shingles
-    has the hash of the next one that has some.
+    does.  A band is a hash of ``ROWS`` MinHash values, each by an order of its own, and of the band's number: texts of a
+    similarity s share it with probability s ** ROWS, whatever their length.
     """
-    data, offsets = _text.column_bytes(column)
-    fp, out, bands = simhash(column, 1), np.zeros((len(offsets) - 1, BINS), np.uint8), np.zeros((len(offsets) - 1, BANDS), np.int32)
-    for a, b in _text.pieces(offsets):
-        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        starts, lens, cum = _text.shingle_spans(words, width)
-        least = np.full((b - a) * BINS, np.iinfo(np.uint64).max, np.uint64)
-        owner = np.repeat(np.arange(b - a), np.diff(cum))
-        for at in range(0, len(starts), _text.SHINGLES):
-            h = _text.xxh64(words.buffer, starts[at : at + _text.SHINGLES], lens[at : at + _text.SHINGLES], 42)
-            np.minimum.at(least, owner[at : at + _text.SHINGLES] * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
-        code = (least % np.uint64(15) + np.uint64(1)).astype(np.uint8)
-        out[a:b] = np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(b - a, BINS)
-        low = least.reshape(b - a, BANDS, BINS // BANDS).min(axis=2)
-        for _ in range(BANDS - 1):
-            low = np.where(low == np.iinfo(np.uint64).max, np.roll(low, -1, axis=1), low)
-        bands[a:b] = (low & np.uint64(2**27 - 1)).astype(np.int32) * BANDS + np.arange(BANDS, dtype=np.int32)
-    return fp, out, bands
+    out, bands = np.zeros((len(column), BINS), np.uint8), np.zeros((len(column), BANDS), np.int64)
+    for a, b, h, cum in _hashes(column, width):
+        out[a:b], bands[a:b] = _sketch(h, cum), _bands(h, cum)
+    return simhash(column, 1), out, bands
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,104 +192,73 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled == 0, 1.0, share)
 
 
-def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS) -> DataFrame:
-    """``docs`` without the text, with fp, brief, sketch, bands and node: a hash of fp and sketch, equal for copies whatever their case and white space."""
-    kept = [c for c in docs.columns if c not in (text, "fp", "brief", "sketch", "bands")]
+def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS, only: tuple[str, ...] = ("fp", "sketch", "bands", "shingles")) -> DataFrame:
+    """``docs`` without the text, with the columns ``only`` and node: a hash of all shingles, equal for copies whatever their case and white space.
+
+    fp, sketch (two bins a byte) and bands are those of ``sketches``, bands null without shingles; shingles are the
+    different hashes in ascending order, eight bytes each.
+    """
+    kept = [c for c in docs.columns if c not in (text, "fp", "sketch", "bands", "shingles", "node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sketch, bands = sketches(batch.column(len(kept)), width)
-            raw = pa.array([row.tobytes() for row in sketch[:, ::2] << 4 | sketch[:, 1::2]], pa.binary())  # two bins a byte
-            bits = [pa.array(x.view(np.int64)) for x in (fp, brief(sketch))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *bits, raw, pa.array(list(bands), pa.list_(pa.int32()))], names=[*kept, "fp", "brief", "sketch", "bands"])
+            column = batch.column(len(kept))
+            node = np.zeros(len(column), np.uint64)
+            made: dict[str, list] = {c: [] for c in only}
+            for a, b, h, cum in _hashes(column, width):
+                full = np.flatnonzero(np.diff(cum))
+                if len(full):
+                    node[a + full] = np.add.reduceat(h, cum[:-1][full])
+                if "sketch" in made:
+                    made["sketch"] += [x.tobytes() for x in (lambda s: s[:, ::2] << 4 | s[:, 1::2])(_sketch(h, cum))]
+                if "bands" in made:
+                    made["bands"] += [x if n else None for x, n in zip(_bands(h, cum), np.diff(cum), strict=True)]
+                if "shingles" in made:
+                    made["shingles"] += [np.unique(h[x:y]).tobytes() for x, y in zip(cum[:-1], cum[1:], strict=True)]
+            if "fp" in made:
+                made["fp"] = simhash(column, 1).view(np.int64)
+            types = {"fp": pa.int64(), "sketch": pa.binary(), "shingles": pa.binary(), "bands": pa.list_(pa.int64())}
+            columns = [*batch.columns[: len(kept)], *[pa.array(made[c], types[c]) for c in only], pa.array(node.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *only, "node"])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).cast("long").alias(c) for c in ("fp", "brief")], F.lit(b"").alias("sketch"), F.array(F.lit(0)).alias("bands")).schema
-    return chosen.mapInArrow(run, schema).withColumn("node", F.xxhash64("fp", "sketch"))
-
-
-def first_meetings(x: np.ndarray, tab: int | np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Whether pairs of fingerprints with the differing bits ``x`` meet in no table before ``tab``."""
-    first = np.full(len(x), len(masks), np.int64)
-    for t in range(len(masks) - 1, -1, -1):
-        first[(x & masks[t]) == 0] = t
-    return first == tab
-
-
-GROUP = ["tab", "key", "part", "i", "j"]  # columns that name a group of fingerprints compared with each other
+    types = {"fp": "long", "sketch": "binary", "shingles": "binary", "bands": "array<long>"}
+    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(types[c]).alias(c) for c in only], F.lit(None).cast("long").alias("node")).schema
+    return chosen.mapInArrow(run, schema)
 
 
-def brief(sketch: np.ndarray) -> np.ndarray:
-    """64 bits of every sketch, one from each fourth bin: bins that hold the same hash, or none, have the same bit, others by even chance."""
-    return ((sketch[:, :: BINS // 64] & 1).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Links (src, dst) from every node to the least one it shares a band with: as many as bands, however large a key."""
+    keyed = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    return keyed.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
 
 
-def pairing(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (tab, key, part, i, j, c, node, fp, brief) sorted by the first five, those that form a pair which meets here first.
+def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float = SIMILARITY - SLACK, block: int = 2 * BLOCK) -> DataFrame:
+    """Links (src, dst) that span the same components as all pairs of ``nodes`` whose sketches are similar enough.
 
-    A pair is two fingerprints within the radius whose brief bits differ in at most ``BRIEF_RADIUS``.  Row k meets row
-    k + d of its group for growing d, over all groups of a batch at once; a group that a batch cuts goes on in the next
-    one.  Of two blocks' group only pairs across the blocks count, as those inside have one of their own.
-    """
-    masks = np.array(covering_masks(radius), np.int64).view(np.uint64)
-    rest = None
-    for batch in chain(batches, [None]):
-        rows = [x for x in (rest, batch) if x is not None and x.num_rows]
-        if not rows:
-            continue
-        whole = pa.Table.from_batches(rows).combine_chunks()
-        tab, i, j, c, fp, few = (whole.column(k).to_numpy() for k in ("tab", "i", "j", "c", "fp", "brief"))
-        new = np.flatnonzero(np.any([np.diff(whole.column(k).to_numpy()) != 0 for k in GROUP], axis=0)) + 1
-        done = len(tab) if batch is None else int(new[-1]) if len(new) else 0
-        rest = whole.slice(done).combine_chunks().to_batches()[0] if done < len(tab) else None
-        if not done:
-            continue
-        bounds = np.concatenate([[0], new[new < done], [done]])
-        end = np.repeat(bounds[1:], np.diff(bounds))
-        bits, few, alive, found, d = fp.view(np.uint64), few.view(np.uint64), np.arange(done), np.zeros(done, bool), 1
-        while len(alive := alive[alive + d < end[alive]]):
-            k = alive[np.bitwise_count(bits[alive] ^ bits[alive + d]) <= radius]
-            k = k[np.bitwise_count(few[k] ^ few[k + d]) <= BRIEF_RADIUS]
-            k = k[(i[k] == j[k]) | (c[k] != c[k + d])]
-            k = k[first_meetings(bits[k] ^ bits[k + d], tab[k], masks)]
-            found[k] = found[k + d] = True
-            d += 1
-        out = whole.slice(0, done).drop_columns(["fp", "brief"]).filter(pa.array(found))
-        yield from out.to_batches()
-
-
-def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY - SLACK, block: int = 2 * BLOCK) -> DataFrame:
-    """Links (src, dst) between ``nodes`` (node, fp, brief, bands, sketch) within the radius whose sketches are similar enough.
-
-    Each pair within the radius is looked at in the first table in which it meets.  Fingerprints and brief bits alone
-    meet in all tables; sketches follow only to groups where their node has a pair to confirm, and those return spanning
-    forests.  Fingerprints of texts in which one word prevails agree by thousands without the texts being similar: nodes
-    of a key with more than 2 * ``block`` of them are dealt by their bands, once for each, so that their number grows with
-    the input and not its square.  Should that leave a group still larger, it is cut into blocks that meet two by two.
+    ``nodes`` has node and bands, and either sketch or, as least, the key of a row of ``docs`` (id, text) to make it
+    from.  Nodes that share bands, directly or through others, make up a family; within it every pair is compared by
+    its sketches.  A family of more than ``block`` nodes is cut into blocks that meet two by two, so that no task
+    takes a whole one.
     """
-    masks = covering_masks(radius)
-    masked = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    keyed = nodes.select("node", "fp", "brief", "bands", F.posexplode(masked).alias("tab", "key"))
-    hot = cut(keyed.groupBy("tab", "key").count().where(F.col("count") > 2 * block).select("tab", "key", F.lit(True).alias("hot")), "hot")
-    parts = F.when(F.col("hot"), F.col("bands")).otherwise(F.array(F.lit(-1)))
-    dealt = keyed.join(bounded(hot), ["tab", "key"], "left").select("tab", "key", F.explode(parts).alias("part"), "node", "fp", "brief")
-    crowded = cut(dealt.where("part >= 0").groupBy("tab", "key", "part").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block), "crowded")
-    met = dealt.join(bounded(crowded), ["tab", "key", "part"], "left").withColumn("m", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
-    met = met.withColumn("c", F.pmod(F.col("node"), F.col("m")).cast("int"))
-    met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    met = met.select("tab", "key", "part", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "fp", "brief")
-    sent = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    paired = sent.mapInArrow(lambda batches: pairing(batches, radius), met.drop("fp", "brief").schema).join(nodes.select("node", "fp", "sketch"), "node")
-    unsigned = np.array(masks, np.int64).view(np.uint64)
+    family = connected_components(band_links(nodes)).toDF("node", "family")
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    dealt = family.join(sizes, "family").withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    if docs is None:
+        sets = nodes.select("node", "sketch")
+    else:
+        wanted = cut(nodes.join(family, "node").where("least is not null").select(F.col("least").alias("wanted")).distinct(), "wanted")
+        texts = docs.join(bounded(wanted), docs["id"] == F.col("wanted"), "left_semi").unionByName(docs.where("id is null"))
+        sets = with_sketches(texts.select("text"), only=("sketch",)).dropDuplicates(["node"])
+    met = dealt.join(sets, "node").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = met.select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node", "sketch")
 
     def link(table: pa.Table) -> pa.Table:
-        tab, i, j = (table.column(k)[0].as_py() for k in ("tab", "i", "j"))
-        node, bits, c = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("c").to_numpy()
+        node = table.column("node").to_numpy()
         packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS // 2)
         sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(node), BINS)
-        a, b = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius, 1))
-        own = first_meetings(bits[a] ^ bits[b], tab, unsigned) & ((i == j) | (c[a] != c[b]))
-        a, b = a[own], b[own]
+        a, b = np.triu_indices(len(node), 1)
         near = np.zeros((len(node), len(node)), bool)
         for at in range(0, len(a), 1 << 15):
             x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
@@ -281,7 +267,7 @@ def similar_links(nodes: DataFrame, radius: int = SIMILAR_RADIUS, least: float =
         edges = forest(near) if near.any() else np.zeros((0, 2), np.int64)
         return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
 
-    return paired.groupBy(*GROUP).applyInArrow(link, "src long, dst long")
+    return met.groupBy("family", "i", "j").applyInArrow(link, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -298,10 +284,10 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 def _similar_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """As ``_classes``, by similarity: ``fp`` is the node there."""
-    rows = cut(with_sketches(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "sketches")
-    named = rows.groupBy("node", "fp", "brief", "sketch", "bands").agg(F.min("id").alias("least"))
-    named = cut(named, "nodes")
-    linked = connected_components(similar_links(named.drop("least"))).toDF("node", "component")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = cut(with_sketches(texts, only=("bands",)), "bands")
+    named = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    linked = connected_components(similar_links(named, texts)).toDF("node", "component")
     classes = cut(named.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("id", F.col("node").alias("fp")), classes.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
@@ -311,7 +297,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     """``docs``, all columns, with one row of each near-duplicate group: the one with the smallest key.
 
     Groups are those of ``simhash_groups``, or with ``similar`` of texts whose five-word shingles agree to ``SIMILARITY``:
-    fingerprints of single words, which small edits hardly move, find the pairs and MinHash sketches confirm them.
+    MinHash bands find the families and sketches confirm the pairs in them.
 
     Rows whose key is null or repeated are told apart by their fingerprint: of those that tie for their group's place
     the one with the smallest text stays; a null key has its place only in a group of null keys.
@@ -326,7 +312,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = without(docs.where(F.col(key).isNotNull()), gone, key, "gone_id")
     odd = docs.join(bounded(repeated.toDF("odd_id")), docs[key] == F.col("odd_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
     told = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    marked = with_sketches(told).select("row", F.col("node").alias("fp")) if similar else fingerprints(told, "text", width)
+    marked = with_sketches(told, only=()).select("row", F.col("node").alias("fp")) if similar else fingerprints(told, "text", width)
     tied = marked.join(classes, "fp").where(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))
     place = W.partitionBy("root").orderBy(F.col(f"row.`{text}`").asc_nulls_first())
     return kept.unionByName(tied.withColumn("place", F.row_number().over(place)).where("place = 1").select("row.*"))

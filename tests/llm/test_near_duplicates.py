@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import embedding_dedup, simhash_dedup
+from keyloom.llm.components import connected_components
 
 
 def words(t):
@@ -192,3 +193,47 @@ def test_large_keys_lose_no_similar_pair(spark, block):
     n = list(range(len(rows)))
     assert groups(n, linked) == groups(n, near)
     assert len(set(groups(n, near))) >= 12
+
+
+def shingles(t):
+    w = words(t)
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def zipf(rng, n):
+    return [f"w{int(3000 ** rng.random())}" for _ in range(n)]
+
+
+def similar_pairs(rng, lengths, low, high, each):
+    """(length, text, its edited form): text appended or words replaced until the similarity lies between low and high."""
+    out = []
+    for n in lengths:
+        for k in range(each):
+            w = zipf(rng, n)
+            for _ in range(1000):
+                if k % 2:
+                    v = w + zipf(rng, rng.randint(1, max(n // 4, 1)))
+                else:
+                    v = list(w)
+                    for at in rng.sample(range(n), rng.randint(1, max(n // 30, 1))):
+                        v[at] = f"edited{rng.randrange(10**6)}"
+                if low <= jaccard(shingles(" ".join(w)), shingles(" ".join(v))) < high:
+                    out.append((n, " ".join(w), " ".join(v)))
+                    break
+    return out
+
+
+def test_similar_pairs_share_a_band_at_any_length(spark):
+    """Pairs from 0.8 up, most of them just above, in short, long, edited and extended texts."""
+    pairs = similar_pairs(random.Random(10), (12, 20, 40, 80, 300, 1000), 0.8, 0.85, 40)
+    assert len(pairs) >= 200
+    assert {n for n, *_ in pairs} == {12, 20, 40, 80, 300, 1000}
+    docs = spark.createDataFrame([(2 * i + k, t) for i, (_, *both) in enumerate(pairs) for k, t in enumerate(both)], "id long, text string")
+    nodes = simhash_dedup.with_sketches(docs, only=("bands",)).cache()
+    place = {r["id"]: r["node"] for r in nodes.collect()}
+    family = {r["node"]: r["component"] for r in connected_components(simhash_dedup.band_links(nodes.distinct())).collect()}
+    assert [n for i, (n, *_) in enumerate(pairs) if place[2 * i] != place[2 * i + 1] and family.get(place[2 * i], 0) != family.get(place[2 * i + 1], 1)] == []
