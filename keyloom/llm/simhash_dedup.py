@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from keyloom.llm import _text
 from keyloom.llm._shared import bounded, cut, without
 from keyloom.llm.components import connected_components
-from keyloom.llm.embedding_dedup import forest
 
 WIDTH = 3  # words in a shingle
 RADIUS = 3  # bits in which linked fingerprints may differ
@@ -234,37 +233,54 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return keyed.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float = SIMILARITY - SLACK, block: int = 2 * BLOCK) -> DataFrame:
-    """Links (src, dst) that span the same components as all pairs of ``nodes`` whose sketches are similar enough.
-
-    ``nodes`` has node and bands, and either sketch or, as least, the key of a row of ``docs`` (id, text) to make it
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the sets' graph, where those of an exact Jaccard similarity of ``least`` or more are linked."""
+    size = np.array([len(x) for x in sets])
+    cum = np.concatenate([[0], np.cumsum(size)])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    left = np.ones(len(sets), bool)
+    edges = []
+    for seed in range(len(sets)):
+        front = [seed] if left[seed] else []
+        left[seed] = False
+        while front and left.any():
+            a = front.pop()
+            own = term[cum[a] : cum[a + 1]]
+            many = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(held[at], minlength=len(sets))
+            hit = np.flatnonzero(left & (common >= least * (size[a] + size - common) - 1e-9))
+            edges += [(a, int(b)) for b in hit]
+            left[hit] = False
+            front += hit.tolist()
+    return edges
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float = SIMILARITY, block: int = 2 * BLOCK) -> DataFrame:
+    """Links (src, dst) that span the same components as all pairs of ``nodes`` whose shingles have a Jaccard similarity of ``least`` or more.
+
+    ``nodes`` has node and bands, and either shingles or, as least, the key of a row of ``docs`` (id, text) to make them
     from.  Nodes that share bands, directly or through others, make up a family; within it every pair is compared by
-    its sketches.  A family of more than ``block`` nodes is cut into blocks that meet two by two, so that no task
+    exact similarity.  A family of more than ``block`` nodes is cut into blocks that meet two by two, so that no task
     takes a whole one.
     """
     family = connected_components(band_links(nodes)).toDF("node", "family")
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
     dealt = family.join(sizes, "family").withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     if docs is None:
-        sets = nodes.select("node", "sketch")
+        sets = nodes.select("node", "shingles")
     else:
         wanted = cut(nodes.join(family, "node").where("least is not null").select(F.col("least").alias("wanted")).distinct(), "wanted")
         texts = docs.join(bounded(wanted), docs["id"] == F.col("wanted"), "left_semi").unionByName(docs.where("id is null"))
-        sets = with_sketches(texts.select("text"), only=("sketch",)).dropDuplicates(["node"])
+        sets = with_sketches(texts.select("text"), only=("shingles",)).dropDuplicates(["node"])
     met = dealt.join(sets, "node").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    met = met.select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node", "sketch")
+    met = met.select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node", "shingles")
 
     def link(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
-        packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS // 2)
-        sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(node), BINS)
-        a, b = np.triu_indices(len(node), 1)
-        near = np.zeros((len(node), len(node)), bool)
-        for at in range(0, len(a), 1 << 15):
-            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-            fits = similarity(sketch[x], sketch[y]) >= least
-            near[x[fits], y[fits]] = near[y[fits], x[fits]] = True
-        edges = forest(near) if near.any() else np.zeros((0, 2), np.int64)
+        edges = np.array(similar_forest([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], least), np.int64).reshape(-1, 2)
         return pa.table({"src": node[edges[:, 0]], "dst": node[edges[:, 1]]})
 
     return met.groupBy("family", "i", "j").applyInArrow(link, "src long, dst long")
@@ -297,7 +313,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     """``docs``, all columns, with one row of each near-duplicate group: the one with the smallest key.
 
     Groups are those of ``simhash_groups``, or with ``similar`` of texts whose five-word shingles agree to ``SIMILARITY``:
-    MinHash bands find the families and sketches confirm the pairs in them.
+    MinHash bands find the families and exact similarity of shingles links within them.
 
     Rows whose key is null or repeated are told apart by their fingerprint: of those that tie for their group's place
     the one with the smallest text stays; a null key has its place only in a group of null keys.

@@ -237,3 +237,52 @@ def test_similar_pairs_share_a_band_at_any_length(spark):
     place = {r["id"]: r["node"] for r in nodes.collect()}
     family = {r["node"]: r["component"] for r in connected_components(simhash_dedup.band_links(nodes.distinct())).collect()}
     assert [n for i, (n, *_) in enumerate(pairs) if place[2 * i] != place[2 * i + 1] and family.get(place[2 * i], 0) != family.get(place[2 * i + 1], 1)] == []
+
+
+def test_similar_pairs_are_found_at_any_length(spark):
+    """Pairs from 0.8 up, most of them just above, in short, long, edited and extended texts."""
+    pairs = similar_pairs(random.Random(10), (12, 20, 40, 80, 300, 1000), 0.8, 0.85, 40)
+    assert len(pairs) >= 200
+    docs = spark.createDataFrame([(2 * i + k, t) for i, (_, *both) in enumerate(pairs) for k, t in enumerate(both)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_dedup.keep_representatives(docs, similar=True).collect()}
+    assert [n for i, (n, *_) in enumerate(pairs) if 2 * i + 1 in kept] == []
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_similar_links_are_exact(spark, block):
+    """Families of templated texts on both sides of 0.8 and pairs close to it link as by brute force."""
+    rng = random.Random(11)
+    texts = []
+    for n, family in ((100, 0.72), (100, 0.78), (100, 0.81)):
+        own = round(n * (1 - family) / (1 + family))  # appended words, so that two texts share about that much
+        w = zipf(rng, n - own)
+        texts += [" ".join([*w, *[f"x{rng.randrange(10**7)}" for _ in range(own)]]) for _ in range(60)]
+    for low, high in ((0.76, 0.8), (0.8, 0.83)):
+        texts += [t for _, *both in similar_pairs(rng, (30, 100, 400), low, high, 12) for t in both]
+    nodes = simhash_dedup.with_sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).cache()
+    place = {r["node"]: r["id"] for r in nodes.select("node", "id").collect()}
+    links = [(place[r["src"]], place[r["dst"]]) for r in simhash_dedup.similar_links(nodes.drop("id", "text"), block=block).collect()]
+    sets = [shingles(t) for t in texts]
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in links)
+    both = {*links, *((b, a) for a, b in links)}
+    n = list(range(len(texts)))
+    assert groups(n, lambda i, j: (i, j) in both) == groups(n, lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+
+
+def test_repeated_and_null_keys_link_by_their_own_text(spark):
+    rng = random.Random(12)
+    a, b, c = (zipf(rng, 200) for _ in range(3))
+    near = lambda w: " ".join([*w[:100], "edited", *w[101:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (4, near(a)), (7, near(b)), (None, " ".join(c)), (None, near(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash_dedup.keep_representatives(docs, similar=True).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(4, near(a)), (5, " ".join(b)), (None, min(" ".join(c), near(c)))]))
+
+
+def test_representatives_are_those_of_exact_similarity(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = sorted((r["doc_id"], r["text"]) for r in frame.collect())
+    sets = [shingles(t) for _, t in docs]
+    want = groups([d for d, _ in docs], lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    kept = [r["doc_id"] for r in simhash_dedup.keep_representatives(frame, similar=True).collect()]
+    assert sorted(kept) == sorted(set(want))
