@@ -498,8 +498,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("string_lcs")
 def _(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey <= 200")
-    return strings.lcs(p.select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b")))
+    return strings.lcs(t.part.select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b")))
 
 
 @query("bitmap_bitcount", "SELECT key, count(DISTINCT bit) AS bitcount FROM ub GROUP BY key")
