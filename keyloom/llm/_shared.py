@@ -4,17 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.llm import _text
+
 BROADCAST_ROWS = 1_000_000  # of a few integers each, so about 32 MB as a hash table
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and blanks in it or not."""
+    return F.col(f"`{name}`")
+
+
+def others(docs: DataFrame, names: list[str]) -> list[str]:
+    """Columns of ``docs`` that none of ``names`` would replace, which upper and lower case do not tell apart."""
+    return [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def with_made(docs: DataFrame, source: str, made: dict[str, str], start: Callable[[], Callable[[pa.Array], list[pa.Array]]], keep: bool = True) -> DataFrame:
+    """``docs`` with columns ``made`` (name: type) in Python from the column ``source``, which stays if ``keep``.
+
+    ``start`` is called once in a task and gives the function from the source to the arrays made.  Other columns go
+    through under names of their own, so they may be called anything; those of a made name are replaced.
+    """
+    kept = [c for c in others(docs, list(made)) if keep or c != source]
+    chosen = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(source).alias("source"))
+    shape = chosen.select(*[f"c{i}" for i in range(len(kept))], *[F.lit(None).cast(t).alias(f"m{i}") for i, t in enumerate(made.values())]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch.column(len(kept)))], names=shape.names)
+        _text.release()
+
+    return chosen.mapInArrow(run, shape).toDF(*kept, *made)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder in ``spark.checkpoint.dir``; a temporary one is set only where none is, as in tests."""
+    """URI of the folder in ``spark.checkpoint.dir``.  Where none is set, a local master gets a temporary one; a cluster's is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

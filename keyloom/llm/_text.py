@@ -1,11 +1,13 @@
 """Vectorised text handling on Arrow string columns: ASCII lower-casing, words, word shingles and XXH64.
 
 A *word* is a maximal run of bytes outside ``\\x20\\x09-\\x0D``.  Everything works on the UTF-8 buffer of a whole
-Arrow column, cut into pieces of about ``PIECE`` bytes so that temporary arrays stay small whatever the batch holds.
+Arrow column, cut into pieces of about ``PIECE`` bytes so that temporary arrays stay small whatever the batch holds: short
+texts together, a long one in windows that end at white space.  Only a single word has to fit into memory.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE = 1 << 20  # bytes of text handled at once; a longer text is a piece of its own
+PIECE = 1 << 20  # bytes of text handled at once
 SHINGLES = 1 << 18  # hashes made at once
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -73,20 +75,76 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wo
     starts = np.flatnonzero(solid & ~before)
     lens = np.flatnonzero(solid & ~after) + 1 - starts
     first = np.searchsorted(starts, offsets)
-    kept = low[solid]
-    buffer = np.full(len(kept) + len(starts), 0x20, np.uint8)
-    buffer[np.arange(len(kept)) + np.repeat(np.arange(len(starts)), lens)] = kept
-    moved = np.cumsum(lens + 1) - (lens + 1)
-    return Words(buffer, moved, lens, first)
+    after_word = np.cumsum(lens + 1) - 1
+    inside = np.ones(after_word[-1] + 1, bool)
+    inside[after_word] = False
+    buffer = np.full(len(inside), 0x20, np.uint8)
+    buffer[inside] = low[solid]
+    return Words(buffer, after_word - lens, lens, first)
 
 
-def shingle_spans(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first(of: np.ndarray, data: np.ndarray, at: int, stop: int) -> int:
+    """The first place from ``at`` on whose byte belongs to ``of``, or ``stop``."""
+    while at < stop:
+        hit = np.flatnonzero(of[data[at : min(at + PIECE, stop)]])
+        if len(hit):
+            return at + int(hit[0])
+        at += PIECE
+    return stop
+
+
+def _cut_after(data: np.ndarray, at: int, stop: int) -> int:
+    """The first place from ``at`` on where a word begins behind white space, or ``stop``."""
+    return _first(~SPACE, data, _first(SPACE, data, at - 1, stop), stop)
+
+
+def word_pieces(column: pa.Array | pa.ChunkedArray, back: int = 0, size: int | None = None) -> Iterator[tuple[int, int, Words, bool, bool]]:
+    """(a, b, words, opens, closes) for pieces of a string column: the lower-cased words of texts a to b.
+
+    A text of more than ``size`` bytes comes in several windows, of which the first ``opens`` and the last ``closes``.
+    Each further window begins with the last ``back`` words of the one before, or all if it has fewer.
+    """
+    size = PIECE if size is None else size
+    data, offsets = column_bytes(column)
+    for a, b in pieces(offsets, size):
+        at, stop = int(offsets[a]), int(offsets[b])
+        end = _cut_after(data, at + size, stop) if stop - at > size else stop
+        if end == stop:
+            yield a, b, split_words(data[at:stop], offsets[a : b + 1] - at), True, True
+            continue
+        opens = True
+        while True:
+            yield a, b, split_words(data[at:end], np.array([0, end - at])), opens, end == stop
+            if end == stop:
+                break
+            if back:
+                solid = ~SPACE[data[at:end]]
+                solid[1:] &= ~solid[:-1]
+                starts = np.flatnonzero(solid)
+                at += int(starts[-back]) if len(starts) >= back else 0
+            else:
+                at = end
+            opens, end = False, _cut_after(data, min(end + size, stop), stop)
+
+
+def release() -> None:
+    """Hand memory that a task no longer needs back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(None)
+
+
+def shingle_spans(words: Words, width: int, closes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and length in ``words.buffer`` of every shingle, and the len + 1 offsets of the texts' shingles.
 
-    A text of fewer words than ``width`` has one shingle of all its words, a text without words none.
+    A text of fewer words than ``width`` has one shingle of all its words, a text without words none.  Of a window that
+    does not close its text, so few words have none: they come again in the next one.
     """
     n = np.diff(words.first)
-    many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    many = np.where(n >= width, n - width + 1, np.minimum(n, 1) if closes else 0)
     cum = np.concatenate([[0], np.cumsum(many)])
     head = np.repeat(words.first[:-1] - cum[:-1], many) + np.arange(cum[-1])
     tail = np.minimum(head + width - 1, np.repeat(words.first[1:], many) - 1)

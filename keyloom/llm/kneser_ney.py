@@ -13,16 +13,22 @@ With c the counts, N1+ the distinct neighbours and D a discount by count 1, 2 or
     p(w | v) = (c(v w) - D(c(v w))) / c(v) + g(v) * q(w)          g(v) = sum of D over v's bigrams / c(v)
     q(w) = (N1+(. w) - D'(N1+(. w))) / N1+(. .) + g' / (V + 1)    an unknown context leaves q(w)
 
+Memory is bounded whatever the input: a task holds a piece of text, at most about ``HELD`` different entries that it has
+counted, or one part of the arrays.  Parts lie one after the other in the tasks that store them, of which there are at
+most ``TASKS``.
+
 Bigrams, not longer ones: 137 million words have over 75 million distinct trigrams, whose counting and arrays take more
 than the disk that this job may use (README has the figures).
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +36,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import _text
-from keyloom.llm._files import map_array, save_array
-from keyloom.llm._shared import cut, fresh_path, remove
+from keyloom.llm._files import array_uri, map_array, new_tag, save_array
+from keyloom.llm._shared import cut, fresh_path, quoted, remove, with_made
 
 PART = 1 << 20  # entries in a part of the arrays, about
-PIECE = 8 << 20  # bytes of text counted at once
+HELD = 1 << 20  # different entries that a task gathers before it hands them on
+TASKS = 1 << 14  # at most, for the storing of parts
+ROWS = 1 << 16  # rows in a batch that a task hands on
 END = int(_text.xxh64(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[0])  # no word can be white space
 START = int(_text.xxh64(np.frombuffer(b" ", np.uint8), np.array([0]), np.array([1]))[0])
 UNKNOWN = np.uint64(0xFFFFFFFF)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _empty() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
-    """Where the arrays are, and the totals.  Small: a few names for each million entries."""
+    """The totals, and of each part's files the tag that ends their names (0: there are none): a number for each million entries."""
 
+    folder: str
     tokens: int
     types: int
     word_bits: int
-    words: list[str] = field(default_factory=list)
-    counts: list[str] = field(default_factory=list)
-    base: list[int] = field(default_factory=list)
-    known: list[str] = field(default_factory=list)  # distinct predecessors
-    backoff: list[str] = field(default_factory=list)
+    words: np.ndarray = field(default_factory=_empty)  # of hashes and counts
+    base: np.ndarray = field(default_factory=_empty)  # number of a part's first word; one more than parts
+    known: np.ndarray = field(default_factory=_empty)  # of distinct predecessors and back-off weights
     pair_bits: int = 0
-    hot: list[int] = field(default_factory=list)
-    keys: list[str] = field(default_factory=list)
-    pairs: list[str] = field(default_factory=list)
+    hot: np.ndarray = field(default_factory=_empty)
+    pairs: np.ndarray = field(default_factory=_empty)  # of keys and counts
     discount: list[float] = field(default_factory=lambda: [0.0] * 4)
     low_discount: list[float] = field(default_factory=lambda: [0.0] * 4)
     pair_types: int = 0
@@ -83,35 +93,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last, word hashes, first word of each text) for pieces of the column."""
-    data, offsets = _text.column_bytes(column)
-    for a, b in _text.pieces(offsets, PIECE):
-        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield a, b, _text.xxh64(words.buffer, words.starts, words.lens), words.first
-
-
-def _with_marks(ids: np.ndarray, first: np.ndarray, start: np.uint64, end: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, words, first pair of each text) of the texts' bigrams, start and end included."""
-    n = np.diff(first) + 1
+def _with_marks(ids: np.ndarray, first: np.ndarray, start: np.uint64, end: np.uint64, closes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, words, first pair of each text) of the texts' bigrams; ``start`` is what comes before each, ``end`` the last if it ``closes``."""
+    n = np.diff(first) + closes
     cum = np.concatenate([[0], np.cumsum(n)])
     word = np.full(cum[-1], end, np.uint64)
     inner = np.ones(cum[-1], bool)
-    inner[cum[1:] - 1] = False
+    if closes:
+        inner[cum[1:] - 1] = False
     word[inner] = ids
     context = np.empty(cum[-1], np.uint64)
     context[1:] = word[:-1]
-    context[cum[:-1]] = start
+    context[cum[:-1][n > 0]] = start
     return context, word, cum
 
 
-def _unique_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if weights is None:
-        return np.unique(values, return_counts=True)
-    order = np.argsort(values, kind="stable")
-    values, weights = values[order], weights[order]
-    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[at], np.add.reduceat(weights, at) if len(at) else weights
+def _bigrams(column: pa.Array, look: Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, last, contexts, words, first pair of each text) for pieces of the column, in numbers of words."""
+    start, end = look.ids(np.array([START, END], np.uint64))
+    before = start
+    for a, b, words, opens, closes in _text.word_pieces(column):
+        ids = look.ids(_text.xxh64(words.buffer, words.starts, words.lens))
+        yield a, b, *_with_marks(ids, words.first, start if opens else before, end, closes)
+        before = ids[-1] if len(ids) else (start if opens else before)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _gathered(counted: Iterator[tuple[np.ndarray, np.ndarray]], held: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) summed as they come, and handed on once more than ``held`` different keys are there."""
+    done, waiting = [], 0
+    for keys, counts in counted:
+        done.append((keys, counts))
+        waiting += len(keys)
+        if waiting >= HELD:
+            done, waiting = [_summed(done)], 0
+            if len(done[0][0]) > held:
+                yield done.pop()
+    if done:
+        yield _summed(done)
 
 
 def _part_of_word(h: np.ndarray, bits: int) -> np.ndarray:
@@ -127,49 +154,75 @@ def _part_of_pair(key: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
     return (_mix(context) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _rows(**columns: np.ndarray | list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+def _batches(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(next(iter(columns.values()))), ROWS):
+        yield pa.RecordBatch.from_pydict({k: v[at : at + ROWS] for k, v in columns.items()})
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows``, each part's in one task and one part's after the other's."""
+    tasks = min(parts, TASKS)
+    out = rows.repartitionById(tasks, (F.col("part") % tasks).cast("int"))
+    return out.sortWithinPartitions("part") if parts > tasks else out
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[list[np.ndarray]]]]:
+    """(part, its rows' other columns, batch by batch) for each part of a task."""
+
+    def runs() -> Iterator[tuple[int, list[np.ndarray]]]:
+        for batch in batches:
+            part, *rest = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in pairwise(edges):
+                if a < b:
+                    yield int(part[a]), [c[a:b] for c in rest]
+
+    for part, group in groupby(runs(), key=itemgetter(0)):
+        yield part, (columns for _, columns in group)
 
 
 class Lookup:
-    """The memory-mapped arrays of a model, in a worker."""
+    """The memory-mapped arrays of a model, in a worker; a part's are mapped when they are first asked for."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.words = [map_array(x, "<u8") for x in model.words]
-        self.counts = [map_array(x, "<i8") for x in model.counts]
-        self.known = [map_array(x, "<i8") for x in model.known]
-        self.backoff = [map_array(x, "<f8") for x in model.backoff]
-        self.keys = [map_array(x, "<u8") for x in model.keys]
-        self.pairs = [map_array(x, "<u4") for x in model.pairs]
-        self.base = np.array(model.base, np.uint64)
-        self.hot = np.array(model.hot, np.uint64)
+        self.base, self.hot = model.base.astype(np.uint64), model.hot.astype(np.uint64)
+        self.array = lru_cache(maxsize=4096)(self._array)
+
+    def _array(self, name: str, tags: str, part: int, kind: str = "<i8") -> np.ndarray:
+        tag = int(getattr(self.m, tags)[part])
+        return map_array(array_uri(self.m.folder, f"{name}-{part}", tag), kind) if tag else np.zeros(0, kind)
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words, UNKNOWN for those not in the vocabulary; ``hashes`` sorted and distinct."""
         out = np.full(len(hashes), UNKNOWN, np.uint64)
-        edges = np.searchsorted(_part_of_word(hashes, self.m.word_bits), np.arange(len(self.words) + 1))
-        for p, words in enumerate(self.words):
-            own = hashes[edges[p] : edges[p + 1]]
-            if len(own) and len(words):
-                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                hit = words[at] == own
-                out[edges[p] : edges[p + 1]][hit] = at[hit].astype(np.uint64) + self.base[p]
+        part = _part_of_word(hashes, self.m.word_bits)
+        for p in np.unique(part).tolist():
+            words, (a, b) = self.array("words", "words", p, "<u8"), np.searchsorted(part, [p, p + 1])
+            if len(words):
+                at = np.minimum(np.searchsorted(words, hashes[a:b]), len(words) - 1)
+                hit = words[at] == hashes[a:b]
+                out[a:b][hit] = at[hit].astype(np.uint64) + self.base[p]
         return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(hashes, return_inverse=True)
         return self.word_ids(distinct)[back]
 
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of known numbers, and their places there."""
+        part = np.searchsorted(self.base, ids, "right") - 1
+        return part, (ids - self.base[part]).astype(np.int64)
+
     def of_words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts, distinct predecessors and back-off weights of sorted, distinct known numbers."""
         count, known, backoff = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.ones(len(ids))
-        edges = np.searchsorted(ids, np.append(self.base, np.uint64(1 << 62)))
-        for p in range(len(self.words)):
-            a, b = edges[p], edges[p + 1]
-            if a < b:
-                at = (ids[a:b] - self.base[p]).astype(np.int64)
-                count[a:b], known[a:b], backoff[a:b] = self.counts[p][at], self.known[p][at], self.backoff[p][at]
+        part, at = self.places(ids)
+        for p in np.unique(part).tolist():
+            a, b = np.searchsorted(part, [p, p + 1])
+            count[a:b] = self.array("counts", "words", p)[at[a:b]]
+            known[a:b] = self.array("known", "known", p)[at[a:b]]
+            backoff[a:b] = self.array("backoff", "known", p, "<f8")[at[a:b]]
         return count, known, backoff
 
     def of_pairs(self, packed: np.ndarray) -> np.ndarray:
@@ -178,177 +231,183 @@ class Lookup:
         order = np.lexsort((key, part))
         part, key = part[order], key[order]
         found = np.zeros(len(packed), np.int64)
-        edges = np.searchsorted(part, np.arange(len(self.keys) + 1))
-        for p, keys in enumerate(self.keys):
-            own = key[edges[p] : edges[p + 1]]
-            if len(own) and len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                found[order[edges[p] : edges[p + 1]]] = np.where(keys[at] == own, self.pairs[p][at], 0)
+        for p in np.unique(part).tolist():
+            keys, (a, b) = self.array("keys", "pairs", p, "<u8"), np.searchsorted(part, [p, p + 1])
+            if len(keys):
+                raw = self.array("pairs", "pairs", p, "<u1")
+                counts = raw.view("<u4" if len(raw) == 4 * len(keys) else "<i8")
+                at = np.minimum(np.searchsorted(keys, key[a:b]), len(keys) - 1)
+                found[order[a:b]] = np.where(keys[at] == key[a:b], counts[at], 0)
         return found
 
 
 def _vocabulary(docs: DataFrame, folder: str) -> Model:
+    """The model as far as words go: their hashes, counts and numbers, and which contexts are frequent."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, hashes, _ in _sequences(batch.column(0)):
-                h, n = _unique_counts(hashes)
-                yield _rows(h=np.concatenate([h, np.array([END, START], np.uint64)]).view(np.int64), n=np.concatenate([n, [b - a, b - a]]))
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for a, b, words, opens, closes in _text.word_pieces(batch.column(0)):
+                    h, n = np.unique(_text.xxh64(words.buffer, words.starts, words.lens), return_counts=True)
+                    yield np.concatenate([h, np.array([END, START], np.uint64)]), np.concatenate([n, [(b - a) * closes, (b - a) * opens]])
+
+        for h, n in _gathered(counted(), HELD):
+            yield from _batches(h=h.view(np.int64), n=n)
+        _text.release()
 
-    spark, used = docs.sparkSession, []
+    used: list[str] = []
     counted = cut(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "vocabulary", used)
     mark = F.lit(START - (1 << 64) if START >> 63 else START)
     total = counted.agg(F.count("*").alias("types"), F.coalesce(F.sum(F.when(F.col("h") != mark, F.col("n"))), F.lit(0)).alias("tokens")).first()
+    if total["types"] >= int(UNKNOWN):
+        raise ValueError(f"{total['types']} different words; their numbers have 32 bits")
     bits = max(0, math.ceil(math.log2(max(total["types"], 1) / PART)))
+    model = Model(folder, total["tokens"], max(total["types"] - 1, 0), bits)
+    model.pair_bits = max(3, math.ceil(math.log2(max(model.tokens, 1) / PART)))
+    limit = max(model.tokens >> model.pair_bits + 2, 1)  # contexts seen more often are spread over all parts: at most 4 for each part
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not len(table):
-            return
-        part, h, n = (table.column(i).to_numpy() for i in range(3))
-        for p in np.unique(part):
-            own = h[part == p].view(np.uint64)
-            order = np.argsort(own)
-            yield _rows(part=[int(p)], words=[save_array(folder, f"words-{p}", own[order])], counts=[save_array(folder, f"counts-{p}", n[part == p][order])], n=[len(own)])
+        for part, columns in _by_part(batches):
+            ((h, n),) = _gathered(((h.view(np.uint64), n) for h, n in columns), math.inf)
+            tag = new_tag()
+            save_array(folder, f"words-{part}", h, tag)
+            save_array(folder, f"counts-{part}", n.astype("<i8"), tag)
+            yield pa.RecordBatch.from_pydict({"part": [part], "tag": [int(tag, 16)], "n": [len(h)], "hot": [np.flatnonzero(n > limit)]})
+        _text.release()
 
     part = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    stored = cut(counted.select(part.alias("part"), "h", "n").repartition(1 << bits, "part").mapInArrow(store, "part long, words string, counts string, n long"), "parts", used)
-    model = Model(total["tokens"], max(total["types"] - 1, 0), bits)
-    found = {r["part"]: r for r in stored.collect()}  # a row for each million words
-    for p in range(1 << bits):
-        r = found.get(p)
-        model.base.append(model.base[-1] + found[p - 1]["n"] if p and p - 1 in found else (model.base[-1] if p else 0))
-        model.words.append(r["words"] if r else save_array(folder, f"words-{p}", np.zeros(0, "<u8")))
-        model.counts.append(r["counts"] if r else save_array(folder, f"counts-{p}", np.zeros(0, "<i8")))
+    rows = _dealt(counted.select(part.alias("part"), "h", "n"), 1 << bits)
+    stored = rows.mapInArrow(store, "part long, tag long, n long, hot array<long>").collect()  # a row for each part, and 4 numbers
+    model.words, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for r in stored:
+        model.words[r["part"]], size[r["part"]] = r["tag"], r["n"]
+    model.base = np.concatenate([[0], np.cumsum(size)])
+    model.hot = np.sort(np.concatenate([_empty(), *(model.base[r["part"]] + np.array(r["hot"], np.int64) for r in stored)]))
     for path in used:
-        remove(spark, path)
+        remove(docs.sparkSession, path)
     return model
 
 
+def _counts_of_counts(c: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count ``docs`` and store the model in the shared folder.  Null texts count as empty; an empty table gives a model without words."""
-    spark, used = docs.sparkSession, []
-    docs = docs.select(F.col(text).alias("text"))
-    folder = fresh_path(spark, "kneser-ney")
+    """Count ``docs`` and store the model in the shared folder.
+
+    Null texts count as empty: one end after a start.  Repeated rows count as often as they come, a long text is read in
+    windows, other columns are ignored, and an empty table gives a model without words.  More than 2**32 - 2 different
+    words are an error.
+    """
+    docs = docs.select(quoted(text).alias("text"))
+    folder = fresh_path(docs.sparkSession, "kneser-ney")
     model = _vocabulary(docs, folder)
-    model.pair_bits = max(3, math.ceil(math.log2(max(model.tokens, 1) / (2 * PART))))
     parts = 1 << model.pair_bits
-    limit = max(model.tokens // (4 * parts), 1)  # contexts seen more often are spread over all parts: at most 4 for each part
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0).to_pylist():
-                at = np.flatnonzero(map_array(model.counts[p], "<i8") > limit)
-                yield _rows(id=(at + model.base[p]).astype(np.int64))
-
-    numbers = spark.range(len(model.words)).select("id")
-    model.hot = sorted(r["id"] for r in numbers.mapInArrow(frequent, "id long").collect())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model)
-        ends = look.ids(np.array([START, END], np.uint64))
-        for batch in batches:
-            for _, _, hashes, first in _sequences(batch.column(0)):
-                context, word, _ = _with_marks(look.ids(hashes), first, *ends)
-                key, n = _unique_counts(context << np.uint64(32) | word)
-                yield _rows(part=_part_of_pair(key, model.pair_bits, look.hot).astype(np.int32), key=key.view(np.int64), n=n)
+        pieces = (_bigrams(batch.column(0), look) for batch in batches)
+        counted = (np.unique(context << np.uint64(32) | word, return_counts=True) for piece in pieces for _, _, context, word, _ in piece)
+        for key, n in _gathered(counted, HELD):
+            yield from _batches(part=_part_of_pair(key, model.pair_bits, look.hot).astype(np.int32), key=key.view(np.int64), n=n)
+        _text.release()
+
+    schema = pa.schema([("part", pa.int32()), ("code", pa.int64()), ("v", pa.int64()), ("about", pa.list_(pa.int64()))])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigram arrays of the parts dealt to this task, and what they say of words: code 4 * number + kind, value.
+        """Bigram arrays of the parts dealt to this task, and what they say of words: their part, code 4 * place + kind, value.
 
-        Kind 0: distinct predecessors; 1, 2, 3: a context's bigrams seen once, twice, more often.
+        Kind 0: distinct predecessors; 1, 2, 3: a context's bigrams seen once, twice, more often.  Rows of part -1 tell
+        of a part of bigrams: its number, tag, size and counts of counts.
         """
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        del got
-        part, key, n = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy()
-        for p in np.unique(part):
-            own, c = _unique_counts(key[part == p], n[part == p])
-            mixed = _mix(own)
+        look = Lookup(model)
+        for part, columns in _by_part(batches):
+            ((own, c),) = _gathered(((key.view(np.uint64), n) for key, n in columns), math.inf)
+            tag, mixed = new_tag(), _mix(own)
             order = np.argsort(mixed)
-            seen = np.bincount(np.minimum(c, 5), minlength=6)
-            about = json.dumps([int(p), save_array(folder, f"keys-{p}", mixed[order]), save_array(folder, f"pairs-{p}", c[order].astype("<u4")), *map(int, seen[1:5]), len(own)])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([about])], names=["code", "v", "about"])
-            code = np.concatenate([(own & np.uint64(0xFFFFFFFF)) * np.uint64(4), (own >> np.uint64(32)) * np.uint64(4) + np.minimum(c, 3).astype(np.uint64)])
-            code, v = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(v), pa.nulls(len(code), pa.string())], names=["code", "v", "about"])
-
-    counted = docs.mapInArrow(count, "part int, key long, n long").repartition(parts, "part")
-    stored = cut(counted.mapInArrow(store, "code long, v long, about string"), "bigrams", used)
-    model.keys = [save_array(folder, "none", np.zeros(0, "<u8"))] * parts
-    model.pairs = list(model.keys)
-    seen = [0] * 5
-    for r in stored.where("code < 0").select("about").collect():  # a row for each part
-        p, keys, pairs, *n, types = json.loads(r["about"])
-        model.keys[p], model.pairs[p] = keys, pairs
-        seen = [0, *(a + b for a, b in zip(seen[1:], n, strict=True))]
+            save_array(folder, f"keys-{part}", mixed[order], tag)
+            save_array(folder, f"pairs-{part}", c[order].astype("<u4" if c.max() < 1 << 32 else "<i8"), tag)
+            about = [part, int(tag, 16), len(own), *_counts_of_counts(c)]
+            yield pa.RecordBatch.from_pydict({"part": [-1], "code": [0], "v": [0], "about": [about]}, schema)
+            del mixed, order
+            last, n = np.unique(own & np.uint64(0xFFFFFFFF), return_counts=True)
+            kinds, m = np.unique((own >> np.uint64(32)) * np.uint64(4) + np.minimum(c, 3).astype(np.uint64), return_counts=True)
+            for ids, kind, v in ((last, 0, n), (kinds >> np.uint64(2), (kinds & np.uint64(3)).astype(np.int64), m)):
+                p, at = look.places(ids)
+                for batch in _batches(part=p.astype(np.int32), code=4 * at + kind, v=v):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.list_(pa.int64()))], schema=schema)
+        _text.release()
+
+    used: list[str] = []
+    counted = _dealt(docs.mapInArrow(count, "part int, key long, n long"), parts)
+    stored = cut(counted.mapInArrow(store, "part int, code long, v long, about array<long>"), "bigrams", used)
+    model.pairs, seen = np.zeros(parts, np.int64), np.zeros(5, np.int64)
+    for r in stored.where("part < 0").select("about").collect():  # a row for each part
+        part, model.pairs[r["about"][0]], types, *n = r["about"]
+        seen[1:] += n
         model.pair_types += types
-    model.discount = discounts(seen)
-
-    edges = [F.lit(b * 4) for b in model.base[1:]]
-    part = sum(((F.col("code") >= e).cast("int") for e in edges), F.lit(0))
+    model.discount = discounts(seen.tolist())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        part, code, v = (table.column(i).to_numpy() for i in range(3))
-        for p in np.unique(part):
-            count = map_array(model.counts[p], "<i8")
-            each = np.zeros((len(count), 4), np.int64)
-            own = code[part == p] - 4 * model.base[p]
-            each.reshape(-1)[own] = v[part == p]
-            backoff = each[:, 1:] @ np.array(model.discount[1:]) / np.maximum(count, 1)
-            seen = np.bincount(np.minimum(each[:, 0], 5), minlength=6)
-            about = [int(p), save_array(folder, f"known-{p}", each[:, 0].astype("<i8")), save_array(folder, f"backoff-{p}", backoff.astype("<f8")), *map(int, seen[1:5])]
-            yield _rows(about=[json.dumps(about)])
-
-    summed = stored.where("code >= 0").groupBy("code").agg(F.sum("v").alias("v"))
-    described = summed.select(part.cast("int").alias("part"), "code", "v").repartition(len(model.words), "part").mapInArrow(describe, "about string")
-    model.known, model.backoff, seen = [""] * len(model.words), [""] * len(model.words), [0] * 5
+        look = Lookup(model)
+        for part, columns in _by_part(batches):
+            each = np.zeros((int(model.base[part + 1] - model.base[part]), 4), np.int64)
+            for code, v in columns:
+                np.add.at(each.reshape(-1), code, v)
+            backoff = each[:, 1:] @ np.array(model.discount[1:]) / np.maximum(look.array("counts", "words", part), 1)
+            tag = new_tag()
+            save_array(folder, f"known-{part}", each[:, 0].astype("<i8"), tag)
+            save_array(folder, f"backoff-{part}", backoff.astype("<f8"), tag)
+            yield pa.RecordBatch.from_pydict({"about": [[part, int(tag, 16), *_counts_of_counts(each[:, 0])]]})
+        _text.release()
+
+    described = _dealt(stored.where("part >= 0").select("part", "code", "v"), len(model.words)).mapInArrow(describe, "about array<long>")
+    model.known, seen = np.zeros(len(model.words), np.int64), np.zeros(5, np.int64)
     for r in described.collect():  # a row for each part
-        p, model.known[p], model.backoff[p], *n = json.loads(r["about"])
-        seen = [0, *(a + b for a, b in zip(seen[1:], n, strict=True))]
-    for p in range(len(model.words)):
-        if not model.known[p]:
-            zeros = np.zeros(len(map_array(model.words[p], "<u8")), "<i8") if p in (0,) or model.words[p] else np.zeros(0, "<i8")
-            model.known[p], model.backoff[p] = save_array(folder, f"known-{p}", zeros), save_array(folder, f"backoff-{p}", zeros.astype("<f8"))
-    model.low_discount = discounts(seen)
-    d = model.low_discount
+        part, model.known[r["about"][0]], *n = r["about"]
+        seen[1:] += n
+    model.low_discount = d = discounts(seen.tolist())
     held = d[1] * seen[1] + d[2] * seen[2] + d[3] * (model.types - seen[1] - seen[2])
-    model.floor = (held / model.pair_types if model.pair_types else 1.0) / (model.types + 1)
+    model.floor = float((held / model.pair_types if model.pair_types else 1.0) / (model.types + 1))
     for path in used:
-        remove(spark, path)
+        remove(docs.sparkSession, path)
     return model
 
 
+MADE = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "perplexity": "double"}
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without its text and with n_tokens, n_known, base_score, score (log10 probability) and perplexity.
 
-    Null texts count as empty: their one token is the end.  Other columns stay, but for those of these five names.
+    Null texts count as empty: their one token is the end.  Repeated rows and null keys come back as they are, an empty
+    table gives an empty result, and a long text is scored in windows.  Other columns stay, but for those of these five
+    names, in any case of letters, which are replaced.
     """
-    made = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
-    kept = [c for c in docs.columns if c not in (text, *made)]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).cast("long").alias(c) for c in made[:2]], *[F.lit(0.0).alias(c) for c in made[2:]]).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
         look = Lookup(model)
-        ends = look.ids(np.array([START, END], np.uint64))
-        for batch in batches:
-            parts = [_score_piece(look, ends, hashes, first) for _, _, hashes, first in _sequences(batch.column(len(kept)))]
-            if parts:
-                made_now = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, made_now)], names=[*kept, *made])
 
-    return chosen.mapInArrow(run, schema)
+        def make(column: pa.Array) -> list[pa.Array]:
+            whole, logs = np.zeros((2, len(column)), np.int64), np.zeros((2, len(column)))
+            for a, b, context, word, cum in _bigrams(column, look):
+                if len(word):
+                    known, base, log = _score_piece(look, context, word)
+                    whole[0, a:b] += np.diff(cum)
+                    whole[1, a:b] += np.add.reduceat(known, cum[:-1])
+                    logs[0, a:b] += np.add.reduceat(base, cum[:-1])
+                    logs[1, a:b] += np.add.reduceat(log, cum[:-1])
+            perplexity = 10.0 ** np.minimum(-logs[1] / np.maximum(whole[0], 1), 300.0)
+            return [pa.array(x) for x in (*whole, *logs, perplexity)]
+
+        return make
+
+    return with_made(docs, text, MADE, start, keep=False)
 
 
-def _score_piece(look: Lookup, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+def _score_piece(look: Lookup, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: whether its word is known, and the logarithms of its base and model probabilities."""
     m = look.m
-    context, word, cum = _with_marks(look.ids(hashes), first, *ends)
     packed, back = np.unique(context << np.uint64(32) | word, return_inverse=True)
     v, w = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
     ids, place = np.unique(np.concatenate([v, w]), return_inverse=True)
@@ -362,7 +421,4 @@ def _score_piece(look: Lookup, ends: np.ndarray, hashes: np.ndarray, first: np.n
     seen = count[at_v] > 0
     p = np.where(seen, (pair - d[np.minimum(pair, 3)]) / np.maximum(count[at_v], 1) + backoff[at_v] * q[at_w], q[at_w])
     base = np.log10((count[at_w] + 1) / (m.tokens + 1 * (m.types + 1)))
-    n = np.diff(cum)
-    total, plain = np.add.reduceat(np.log10(p)[back], cum[:-1]), np.add.reduceat(base[back], cum[:-1])
-    hits = np.add.reduceat((count[at_w] > 0)[back].astype(np.int64), cum[:-1])
-    return [n, hits, plain, total, 10.0 ** np.minimum(-total / n, 300.0)]
+    return (count[at_w] > 0)[back].astype(np.int64), base[back], np.log10(p)[back]

@@ -34,6 +34,22 @@ def test_words_and_shingles(piece):
     assert shingles == [[xxhash.xxh64_intdigest(s.encode(), 42) for s in r] for r in runs]
 
 
+@pytest.mark.parametrize("size", [1, 3, 16, 64, 1 << 20])
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_windows_lose_and_repeat_nothing(size, width):
+    rng = random.Random(0)
+    texts = [*TEXTS, " " * 50, "a" * 40 + " b " + " " * 30, "  " + " ".join(f"w{rng.randrange(99)}" for _ in range(200)) + "  \n", "z" * 300, "x y", "one"]
+    got = [[] for _ in texts]
+    for a, b, w, opens, closes in _text.word_pieces(pa.array(texts), width - 1, size):
+        assert b - a == 1 or (opens and closes)
+        starts, lens, cum = _text.shingle_spans(w, width, closes)
+        h = _text.xxh64(w.buffer, starts, lens)
+        for i in range(b - a):
+            got[a + i] += h[cum[i] : cum[i + 1]].tolist()
+    runs = [[" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))] if w else [] for w in map(words, texts)]
+    assert got == [[xxhash.xxh64_intdigest(s.encode(), 42) for s in r] for r in runs]
+
+
 def test_xxh64_of_all_lengths():
     raw = np.random.default_rng(0).integers(0, 256, 300, dtype=np.uint8)
     starts, lens = np.arange(100), np.arange(100)
