@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Fixed values that results depend on.
 LON_MAX, LAT_MAX = 180.0, 85.05112878
 EARTH_RADIUS = 6372797.560856
-UNITS = {"m": 1.0, "km": 1000.0, "mi": 1609.34, "ft": 0.3048}
+UNITS = {"m": 1.0, "km": 1000.0, "mi": 1609.344, "ft": 0.3048}
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 STEPS = 26
 

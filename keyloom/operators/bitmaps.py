@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions import scalars
+
 
 def getbit(value: Column, offset: int) -> Column:
     """GETBIT of bytes; bits beyond the end are 0."""
@@ -33,13 +35,46 @@ def bitcount(bits: DataFrame, start: int | None = None, end: int | None = None)
     return bits.groupBy("key").agg(F.countDistinct("bit").alias("bitcount"))
 
 
-def bitcount_bytes(value: Column) -> Column:
-    """BITCOUNT of bytes, 0 for a missing value: set bits by hexadecimal digit."""
+def bit_text(value: Column) -> Column:
+    """The bits of bytes as a text of 0 and 1."""
+    raw = value.cast("binary")
+    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(places, lambda i: F.lpad(F.bin(F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint")), 8, F.lit("0"))), "")
+
+
+def _range(n: Column, start: int, end: int) -> tuple[Column, Column]:
+    """First and last place of a range over n places; negative ones count from the end, and the range is clamped."""
+    first = F.greatest((n + start) if start < 0 else F.lit(start), F.lit(0))
+    return first, F.least((n + end) if end < 0 else F.lit(end), n - 1)
+
+
+def bitcount_bytes(value: Column, start: int | None = None, end: int | None = None, unit: str = "BYTE") -> Column:
+    """BITCOUNT of bytes, 0 for a missing value: set bits, all or those between two bytes or (BIT) two bits, both included."""
+    if start is not None and unit == "BIT":
+        bits = bit_text(F.coalesce(value.cast("binary"), F.lit(b"")))
+        first, last = _range(F.length(bits), start, -1 if end is None else end)
+        return F.coalesce(F.length(F.regexp_replace(F.substring(bits, first + 1, F.greatest(last - first + 1, F.lit(0))), "0", "")), F.lit(0))
+    if start is not None:
+        value = scalars.getrange(value, start, -1 if end is None else end)
     digits = F.hex(value)
     groups = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
     return F.coalesce(sum((F.length(F.regexp_replace(digits, f"[^{d}]", "")) * n for n, d in groups.items()), F.lit(0)), F.lit(0))
 
 
+def bitpos_bytes(value: Column, on: bool = True, start: int | None = None, end: int | None = None, unit: str = "BYTE") -> Column:
+    """BITPOS of bytes: place of the first bit that is ``on`` within a range of bytes or (BIT) bits, -1 where there is none.
+
+    Looking for a clear bit without an end, a value of set bits has one behind its last; a missing value is all clear.
+    """
+    bits = bit_text(F.coalesce(value.cast("binary"), F.lit(b"")))
+    width = 8 if unit == "BYTE" else 1
+    first, last = _range(F.floor(F.length(bits) / width).cast("int"), start or 0, -1 if end is None else end)
+    first, last = first * width, last * width + width - 1
+    at = F.locate("1" if on else "0", F.substring(bits, first + 1, F.greatest(last - first + 1, F.lit(0))))
+    beyond = F.lit(-1) if on or end is not None else F.when((first <= last) | (F.length(bits) == 0), F.length(bits)).otherwise(F.lit(-1))
+    return F.when(at > 0, first + at - 1).otherwise(beyond).cast("bigint")
+
+
 def bitpos(bits: DataFrame, on: bool = True, length: int | None = None) -> DataFrame:
     """BITPOS by key: the first set bit, or the first clear one (``length`` bits when all are set)."""
     if on:

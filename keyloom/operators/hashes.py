@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.keyspace import ranked
+from keyloom.operators.strings import float_sum
 
 KF = ["key", "field"]
 
@@ -79,16 +80,24 @@ def hincrby(log: DataFrame, delta: str = "delta") -> DataFrame:
 
 
 def hincrbyfloat(log: DataFrame, delta: str = "delta") -> DataFrame:
-    return log.groupBy(*KF).agg(F.sum(F.col(delta).cast("decimal(38,17)")).alias("value"))
+    """HINCRBYFLOAT: sums of deltas as text, as INCRBYFLOAT gives them."""
+    return log.groupBy(*KF).agg(float_sum(F.col(delta)).alias("value"))
 
 
 def sample(frame: DataFrame, element: str, count: int, seed: int = 0) -> DataFrame:
-    """HRANDFIELD, SRANDMEMBER, ZRANDMEMBER by key: ``count`` different elements, or -count draws with replacement."""
-    order = [F.xxhash64(F.col("key"), F.col(element), F.lit(seed)), F.col(element)]
+    """HRANDFIELD, SRANDMEMBER, ZRANDMEMBER by key: ``count`` different elements, or -count draws with replacement.
+
+    Draws are those of the MD5 of seed, key and element, so any engine can repeat them.
+    """
+    placed = ranked(frame, ["key"], draw_order(element, seed))
     if count >= 0:
-        return ranked(frame, ["key"], order).where(F.col("rn") <= count).drop("rn")
-    placed = ranked(frame, ["key"], order)
+        return placed.where(F.col("rn") <= count).drop("rn")
     sizes = frame.groupBy("key").agg(F.count("*").alias("n"))
     draws = sizes.select("key", "n", F.explode(F.sequence(F.lit(1), F.lit(-count))).alias("draw"))
-    draws = draws.select("key", "draw", (F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.col("n")) + 1).alias("rn"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("key"), F.col("draw"))), 1, 15), 16, 10).cast("bigint")
+    draws = draws.select("key", "draw", (F.pmod(number, F.col("n")) + 1).alias("rn"))
     return draws.join(placed, ["key", "rn"]).drop("rn")
+
+
+def draw_order(element: str, seed: int) -> list[Column]:
+    return [F.md5(F.concat_ws(":", F.lit(seed), F.col("key"), F.col(element))), F.col(element)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.keyspace import ranked
+from keyloom.operators.hashes import draw_order
 
 
 def members(sets: DataFrame, key: object) -> DataFrame:
@@ -84,5 +85,5 @@ def smove(sets: DataFrame, source: object, target: object, member: object) -> Da
 
 def spop(sets: DataFrame, count: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """SPOP by key: ``count`` members drawn by a seeded hash, and what remains."""
-    placed = ranked(sets, ["key"], [F.xxhash64("key", "member", F.lit(seed)), F.col("member")])
+    placed = ranked(sets, ["key"], draw_order("member", seed))
     return placed.where(F.col("rn") <= count).drop("rn"), placed.where(F.col("rn") > count).drop("rn")

@@ -62,6 +62,49 @@ def accepted(log: DataFrame, order: str = "arrival") -> DataFrame:
     return top.where((F.col("_top").isNull() | (id_ > F.col("_top"))) & ~((F.col("ms") == 0) & (F.col("seq") == 0))).drop("_top")
 
 
+def partial_ids(log: DataFrame, order: str = "arrival") -> DataFrame:
+    """XADD with ``ms-*``: entries whose ms is not behind any before them; seq numbers those of one ms."""
+    so_far = W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = log.withColumn("_top", F.max("ms").over(so_far)).where(F.col("ms") == F.col("_top")).drop("_top")
+    return kept.withColumn("seq", F.row_number().over(W.partitionBy("key", "ms").orderBy(order)) - 1)
+
+
+def whole_id(text: Column) -> Column:
+    """(ms, seq) of an id as XADD takes it: a bare ms means seq 0; the greatest id leaves none for ``*`` after it."""
+    parts = F.split(text, "-")
+    number = lambda c: c.try_cast("decimal(20,0)")
+    wrong = F.raise_error(F.lit("ERR Invalid stream ID specified as stream command argument")).cast("decimal(20,0)")
+    fits = lambda c: F.when(number(c).between(0, _number(MAX_SEQ)), number(c)).otherwise(wrong)
+    return F.struct(fits(F.get(parts, F.lit(0))).alias("ms"), F.when(F.size(parts) == 1, F.lit(0).cast("decimal(20,0)")).otherwise(fits(F.get(parts, F.lit(1)))).alias("seq"))
+
+
+def next_id(last_ms: Column, last_seq: Column, now_ms: Column) -> Column:
+    """(ms, seq) that ``*`` gives behind a last id: now, or the last one's successor; behind the greatest id there is none, an error."""
+    top = _number(MAX_SEQ)
+    full = F.raise_error(F.lit("ERR The stream has exhausted the last possible ID, unable to add more items")).cast("decimal(20,0)")
+    last_ms, last_seq, now = (c.cast("decimal(20,0)") for c in (last_ms, last_seq, now_ms))
+    ms = F.when(now > last_ms, now).when(last_seq < top, last_ms).when(last_ms < top, (last_ms + 1).cast("decimal(20,0)")).otherwise(full)
+    seq = F.when((now <= last_ms) & (last_seq < top), (last_seq + 1).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return F.struct(ms.alias("ms"), seq.alias("seq"))
+
+
+def xadd(streams: DataFrame, log: DataFrame, order: str = "arrival", nomkstream: bool = False, maxlen: int | None = None, minid: str | None = None, node: int | None = None, limit: int | None = None) -> DataFrame:
+    """XADD of a log with ids (key, ms, seq, ``order``, ...) to ``streams``: the rows after it.
+
+    Only ids behind a stream's newest entry and behind all before them in the log are taken.  NOMKSTREAM leaves out keys
+    without rows, MAXLEN or MINID trims afterwards, ``node`` and ``limit`` as in XTRIM.
+    """
+    if maxlen is not None and minid is not None:
+        raise ValueError("syntax error, MAXLEN and MINID options at the same time are not compatible")
+    tops = last_ids(streams)
+    new = accepted(log, order).drop(order).join(tops, "key", "inner" if nomkstream else "left")
+    behind = (F.col("ms") > F.col("last_ms")) | ((F.col("ms") == F.col("last_ms")) & (F.col("seq") > F.col("last_seq")))
+    after = streams.unionByName(new.where(F.col("last_ms").isNull() | behind).drop("last_ms", "last_seq"))
+    if maxlen is not None:
+        return xtrim_maxlen(after, maxlen, node, limit)
+    return after if minid is None else xtrim_minid(after, minid, node, limit)
+
+
 def xlen(streams: DataFrame) -> DataFrame:
     return streams.groupBy("key").agg(F.count("*").alias("xlen"))
 
@@ -93,32 +136,68 @@ def last_ids(streams: DataFrame) -> DataFrame:
     return top.select("key", F.col("t.ms").alias("last_ms"), F.col("t.seq").alias("last_seq"))
 
 
-def xtrim_maxlen(streams: DataFrame, maxlen: int, node: int | None = None) -> DataFrame:
-    """XTRIM MAXLEN: the newest rows stay; with ``~`` (a node size) only whole nodes of the oldest go."""
-    placed = ranked(streams, ["key"], [F.col(c).desc() for c in ID])
-    if node is None:
-        return placed.where(F.col("rn") <= maxlen).drop("rn")
+def _whole_nodes(streams: DataFrame, spare: Column, node: int, limit: int | None) -> DataFrame:
+    """Rows without the oldest nodes that lie within the ``spare`` rows (of n) and, together, within the limit (0: none)."""
+    limit = min(max(100 * node, 1), 1_000_000) if limit is None else limit
+    whole = lambda c: F.floor(c / node) * node
+    gone = F.when(spare >= F.col("n"), F.col("n")).otherwise(whole(spare))  # the last node may be a part
+    if limit:
+        gone = F.when(gone <= limit, gone).otherwise(F.floor(F.lit(limit) / node) * node)
     sizes = streams.groupBy("key").agg(F.count("*").alias("n"))
-    spare = F.floor(F.greatest(F.col("n") - maxlen, F.lit(0)) / node) * node
-    return placed.join(sizes, "key").where(F.col("rn") <= F.col("n") - spare).drop("rn", "n")
+    placed = ranked(streams, ["key"], [F.col(c) for c in ID]).join(sizes, "key")
+    return placed.where(F.col("rn") > gone).drop("rn", "n")
 
 
-def xtrim_minid(streams: DataFrame, minid: str) -> DataFrame:
-    """XTRIM MINID: rows before the id go."""
-    return streams.where(id_after(parse_id(minid)[0], True))
+def xtrim_maxlen(streams: DataFrame, maxlen: int, node: int | None = None, limit: int | None = None) -> DataFrame:
+    """XTRIM MAXLEN: the newest rows stay; with ``~`` (a node size) only whole nodes of the oldest go, at most ``limit`` rows."""
+    if node is None:
+        if limit is not None:
+            raise ValueError("syntax error, LIMIT cannot be used without the special ~ option")
+        return ranked(streams, ["key"], [F.col(c).desc() for c in ID]).where(F.col("rn") <= maxlen).drop("rn")
+    return _whole_nodes(streams, F.greatest(F.col("n") - maxlen, F.lit(0)), node, limit)
+
+
+def xtrim_minid(streams: DataFrame, minid: str, node: int | None = None, limit: int | None = None) -> DataFrame:
+    """XTRIM MINID: rows before the id go; with ``~`` as MAXLEN does."""
+    bound = parse_id(minid)[0]
+    if node is None:
+        if limit is not None:
+            raise ValueError("syntax error, LIMIT cannot be used without the special ~ option")
+        return streams.where(id_after(bound, True))
+    counted = streams.withColumn("_old", F.count_if(~id_after(bound, True)).over(W.partitionBy("key")))
+    return _whole_nodes(counted, F.col("_old"), node, limit).drop("_old")
 
 
 def xdel(streams: DataFrame, ids: DataFrame) -> DataFrame:
     return streams.join(ids, ["key", *ID], "left_anti")
 
 
-def xsetid(meta: DataFrame, key: object, ms: int, seq: int, entries_added: int | None = None) -> DataFrame:
-    """XSETID: another last id of a stream, not before its newest entry (last_ms, last_seq of ``meta``)."""
+def xsetid(meta: DataFrame, key: object, ms: int, seq: int, entries_added: int | None = None, max_deleted: tuple[int, int] | None = None) -> DataFrame:
+    """XSETID: another last id of a stream (last_ms, last_seq of ``meta``), and with the options its counter and greatest deleted id.
+
+    The id may not lie before the newest entry (top_ms, top_seq) nor, where ``meta`` has those columns, before the greatest
+    deleted one (max_deleted_ms, max_deleted_seq); the counter not below the ``length``.
+    """
+    if max_deleted is not None and (ms, seq) < tuple(max_deleted):
+        raise ValueError("The ID specified in XSETID is smaller than the provided max_deleted_entry_id")
+    if entries_added is not None and entries_added < 0:
+        raise ValueError("entries_added must be positive")
     here = F.col("key") == key
-    small = here & ((F.col("top_ms") > ms) | ((F.col("top_ms") == ms) & (F.col("top_seq") > seq)))
-    guard = F.when(small, F.raise_error(F.lit("ERR The ID specified in XSETID is smaller than the target stream top item")).cast("bigint"))
-    out = meta.withColumn("last_ms", F.when(here, F.coalesce(guard, F.lit(ms))).otherwise(F.col("last_ms"))).withColumn("last_seq", F.when(here, F.lit(seq)).otherwise(F.col("last_seq")))
-    return out if entries_added is None else out.withColumn("entries_added", F.when(here, F.lit(entries_added)).otherwise(F.col("entries_added")))
+    less = lambda a, b: F.coalesce((F.col(a) > ms) | ((F.col(a) == ms) & (F.col(b) > seq)), F.lit(False))
+    checks = [(less("top_ms", "top_seq"), "ERR The ID specified in XSETID is smaller than the target stream top item")]
+    if "max_deleted_ms" in meta.columns:
+        checks.append((less("max_deleted_ms", "max_deleted_seq"), "ERR The ID specified in XSETID is smaller than current max_deleted_entry_id"))
+    if entries_added is not None and "length" in meta.columns:
+        checks.append((F.col("length") > entries_added, "ERR The entries_added specified in XSETID is smaller than the target stream length"))
+    value = F.lit(ms)
+    for wrong, text in checks:
+        value = F.when(wrong, F.raise_error(F.lit(text)).cast("bigint")).otherwise(value)
+    new = {"last_ms": value, "last_seq": F.lit(seq)}
+    if entries_added is not None:
+        new["entries_added"] = F.lit(entries_added)
+    if max_deleted is not None and any(max_deleted):
+        new |= {"max_deleted_ms": F.lit(max_deleted[0]), "max_deleted_seq": F.lit(max_deleted[1])}
+    return meta.select(*[F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in meta.columns])
 
 
 GROUP = ["key", "group"]
@@ -142,23 +221,40 @@ def xgroup_destroy(frame: DataFrame, key: object, group: str) -> DataFrame:
     return frame.where(~((F.col("key") == key) & (F.col("group") == group)))
 
 
+def xgroup_createconsumer(consumers: DataFrame, key: object, group: str, consumer: str, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """XGROUP CREATECONSUMER on (key, group, consumer, seen_ms, active_ms): the rows after it, and ``created``, 1 or 0.  A new one has not been active."""
+    new = consumers.sparkSession.range(1).select(F.lit(key).cast(consumers.schema["key"].dataType).alias("key"), F.lit(group).alias("group"), F.lit(consumer).alias("consumer"), F.lit(now_ms).cast("bigint").alias("seen_ms"), F.lit(0).cast("bigint").alias("active_ms"))
+    new = new.join(consumers.select(*GROUP, "consumer"), [*GROUP, "consumer"], "left_anti")
+    return consumers.unionByName(new), new.agg(F.count("*").alias("created"))
+
+
 def xgroup_delconsumer(pel: DataFrame, key: object, group: str, consumer: str) -> tuple[DataFrame, DataFrame]:
     """Pending entries without the consumer's, and how many those were."""
     own = (F.col("key") == key) & (F.col("group") == group) & (F.col("consumer") == consumer)
     return pel.where(~own), pel.where(own).agg(F.count("*").alias("pending"))
 
 
-def xreadgroup(streams: DataFrame, groups: DataFrame, pel: DataFrame, consumer: str, now_ms: int, count: int = 0, noack: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def xreadgroup(streams: DataFrame, groups: DataFrame, pel: DataFrame, consumer: str, now_ms: int, count: int = 0, noack: bool = False, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """XREADGROUP with ``>`` for every group: delivered entries, groups with new cursors, pending entries after it.
 
     An entry that is pending already, behind a cursor that was set back, becomes the consumer's as a first delivery.
+    The number of entries read grows by those delivered; where ``meta`` (as in ``group_lag``) tells of a deletion at or
+    behind them, or the number was unknown, it is estimated anew and may be null.
     """
     behind = (F.col("ms") > F.col("last_ms")) | ((F.col("ms") == F.col("last_ms")) & (F.col("seq") > F.col("last_seq")))
     rows = streams.join(groups.select(*GROUP, "last_ms", "last_seq"), "key").where(behind).drop("last_ms", "last_seq")
     placed = ranked(rows, GROUP, [F.col(c) for c in ID], "pos")
     out = placed.where(F.col("pos") <= count) if count > 0 else placed
-    tops = out.groupBy(*GROUP).agg(F.max(F.struct(*ID)).alias("t"), F.count("*").alias("n"))
-    moved = groups.join(tops, GROUP, "left").select(*GROUP, F.coalesce("t.ms", "last_ms").alias("last_ms"), F.coalesce("t.seq", "last_seq").alias("last_seq"), (F.col("entries_read") + F.coalesce("n", F.lit(0))).alias("entries_read"))
+    tops = out.groupBy(*GROUP).agg(F.max(F.struct(*ID)).alias("t"), F.min(F.struct(*ID)).alias("head"), F.count("*").alias("delivered"))
+    both = groups.join(tops, GROUP, "left")
+    read = F.col("entries_read") + F.coalesce("delivered", F.lit(0))
+    if meta is not None:
+        both = both.join(meta, "key", "left")
+        sure = F.col("entries_read").isNotNull() & (F.col("max_deleted").isNull() | (F.col("max_deleted") < F.col("head")))
+        clean = (F.col("max_deleted").isNull() | (F.col("max_deleted") < F.col("first"))) & (F.col("entries_added") >= F.col("length"))
+        from_front = F.when(clean & (F.col("head") == F.col("first")), F.col("entries_added") - F.col("length") + F.col("delivered"))
+        read = F.when(F.col("delivered").isNull(), F.col("entries_read")).when(sure, read).otherwise(F.coalesce(from_front, F.when(F.col("t") == F.col("top"), F.col("entries_added"))))
+    moved = both.select(*GROUP, F.coalesce("t.ms", "last_ms").alias("last_ms"), F.coalesce("t.seq", "last_seq").alias("last_seq"), read.cast("bigint").alias("entries_read"))
     if noack:
         return out, moved, pel
     new = out.select(*GROUP, *ID, F.lit(consumer).alias("consumer"), F.lit(now_ms).cast("bigint").alias("delivery_ms"), F.lit(1).cast("bigint").alias("deliveries"))
@@ -202,12 +298,14 @@ def xpending_range(pel: DataFrame, now_ms: int, min_idle: int = 0, count: int =
     return ranked(rows, GROUP, [F.col(c) for c in ID]).where(F.col("rn") <= count).drop("rn")
 
 
-def xclaim(pel: DataFrame, ids: DataFrame, streams: DataFrame, consumer: str, now_ms: int, min_idle: int, force: bool = False, justid: bool = False, retrycount: int | None = None) -> DataFrame:
+def xclaim(pel: DataFrame, ids: DataFrame, streams: DataFrame, consumer: str, now_ms: int, min_idle: int, force: bool = False, justid: bool = False, retrycount: int | None = None, idle: int | None = None, time: int | None = None) -> DataFrame:
     """XCLAIM of ``ids`` (key, group, ms, seq): pending entries after it.
 
     Entries idle for long enough go to the consumer; those deleted from the stream go away; FORCE makes live ids pending
-    that are not.  JUSTID leaves the number of deliveries.
+    that are not.  JUSTID leaves the number of deliveries.  IDLE and TIME say when the entries count as delivered, by
+    default now and never later.  LASTID is ``advance`` on the groups.
     """
+    at_ms = min(now_ms, time) if time is not None else now_ms - idle if idle is not None and idle <= now_ms else now_ms
     on = [*GROUP, *ID]
     live = streams.select("key", *ID, F.lit(True).alias("live"))
     asked = ids.select(*on, F.lit(True).alias("asked"))
@@ -218,26 +316,73 @@ def xclaim(pel: DataFrame, ids: DataFrame, streams: DataFrame, consumer: str, no
     kept = both.where(F.col("asked").isNull() | F.col("live").isNotNull()).select(
         *on,
         F.when(claims, F.lit(consumer)).otherwise(F.col("consumer")).alias("consumer"),
-        F.when(claims, F.lit(now_ms)).otherwise(F.col("delivery_ms")).cast("bigint").alias("delivery_ms"),
+        F.when(claims, F.lit(at_ms)).otherwise(F.col("delivery_ms")).cast("bigint").alias("delivery_ms"),
         F.when(claims, count).otherwise(F.col("deliveries")).alias("deliveries"),
     )
     if not force:
         return kept
     first = retrycount if retrycount is not None else 1 if justid else 2
-    new = ids.join(pel, on, "left_anti").join(live, ["key", *ID]).select(*on, F.lit(consumer).alias("consumer"), F.lit(now_ms).cast("bigint").alias("delivery_ms"), F.lit(first).cast("bigint").alias("deliveries"))
+    new = ids.join(pel, on, "left_anti").join(live, ["key", *ID]).select(*on, F.lit(consumer).alias("consumer"), F.lit(at_ms).cast("bigint").alias("delivery_ms"), F.lit(first).cast("bigint").alias("deliveries"))
     return kept.unionByName(new)
 
 
-def xautoclaim(pel: DataFrame, streams: DataFrame, now_ms: int, min_idle: int, count: int = 100) -> DataFrame:
-    """XAUTOCLAIM from the start of each group: (key, group, ms, seq, outcome) with ``claimed`` and ``deleted``.
+def advance(groups: DataFrame, key: object, group: str, ms: int, seq: int) -> DataFrame:
+    """XCLAIM LASTID: the group's cursor at that id, unless it is there or behind already."""
+    here = (F.col("key") == key) & (F.col("group") == group) & ((F.col("last_ms") < ms) | ((F.col("last_ms") == ms) & (F.col("last_seq") < seq)))
+    return groups.withColumns({"last_ms": F.when(here, F.lit(ms)).otherwise(F.col("last_ms")), "last_seq": F.when(here, F.lit(seq)).otherwise(F.col("last_seq"))})
 
-    At most ten times ``count`` pending entries are looked at; claimed and deleted ones both use up the count.
+
+def _walk(pel: DataFrame, streams: DataFrame, now_ms: int, min_idle: int, count: int, start: str) -> DataFrame:
+    """``pel`` from ``start`` on, with ``outcome`` (claimed, deleted or null) and whether XAUTOCLAIM gets as far as the row.
+
+    It looks at ten times ``count`` entries at most, and claimed and deleted ones both use up the count.
     """
+    if count <= 0:
+        raise ValueError("COUNT must be > 0")
+    rows = pel if start == "-" else pel.where(id_after(*parse_id(start)))
     live = streams.select("key", *ID, F.lit(True).alias("live"))
-    looked = ranked(pel, GROUP, [F.col(c) for c in ID]).where(F.col("rn") <= 10 * count).join(live, ["key", *ID], "left")
+    placed = ranked(rows.join(live, ["key", *ID], "left"), GROUP, [F.col(c) for c in ID])
     outcome = F.when(F.col("live").isNull(), "deleted").when(F.lit(now_ms) - F.col("delivery_ms") >= min_idle, "claimed")
-    done = looked.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
-    return ranked(done.drop("rn"), GROUP, [F.col(c) for c in ID]).where(F.col("rn") <= count).select(*GROUP, *ID, "outcome")
+    before = W.partitionBy(*GROUP).orderBy(*ID).rowsBetween(W.unboundedPreceding, -1)
+    used = F.coalesce(F.count("outcome").over(before), F.lit(0))
+    return placed.withColumn("outcome", outcome).withColumn("walked", (F.col("rn") <= 10 * count) & (used < count)).drop("rn", "live")
+
+
+def xautoclaim(pel: DataFrame, streams: DataFrame, now_ms: int, min_idle: int, count: int = 100, start: str = "-") -> DataFrame:
+    """XAUTOCLAIM of every group: (key, group, ms, seq, outcome) of the entries from ``start`` on that it claims or finds deleted."""
+    return _walk(pel, streams, now_ms, min_idle, count, start).where("walked and outcome is not null").select(*GROUP, *ID, "outcome")
+
+
+def xautoclaim_next(pel: DataFrame, streams: DataFrame, now_ms: int, min_idle: int, count: int = 100, start: str = "-") -> DataFrame:
+    """The cursor XAUTOCLAIM returns for each group: the first entry that it did not get to, or 0-0."""
+    rest = _walk(pel, streams, now_ms, min_idle, count, start).where("not walked").groupBy(*GROUP).agg(F.min(F.struct(*ID)).alias("i"))
+    zero = lambda c: F.coalesce(F.col(f"i.{c}"), F.lit(0)).alias(f"next_{c}")
+    return pel.select(*GROUP).distinct().join(rest, GROUP, "left").select(*GROUP, zero("ms"), zero("seq"))
+
+
+def xautoclaim_pending(pel: DataFrame, streams: DataFrame, consumer: str, now_ms: int, min_idle: int, count: int = 100, start: str = "-", justid: bool = False) -> DataFrame:
+    """Pending entries after XAUTOCLAIM: deleted ones gone, claimed ones the consumer's, delivered once more unless JUSTID."""
+    done = xautoclaim(pel, streams, now_ms, min_idle, count, start)
+    both = pel.join(done, [*GROUP, *ID], "left").where(F.col("outcome").isNull() | (F.col("outcome") == "claimed"))
+    own = F.col("outcome").isNotNull()
+    return both.select(*GROUP, *ID, F.when(own, F.lit(consumer)).otherwise(F.col("consumer")).alias("consumer"), F.when(own, F.lit(now_ms)).otherwise(F.col("delivery_ms")).cast("bigint").alias("delivery_ms"), (F.col("deliveries") + F.when(own, F.lit(int(not justid))).otherwise(F.lit(0))).alias("deliveries"))
+
+
+def xinfo_consumers(consumers: DataFrame, pel: DataFrame, now_ms: int) -> DataFrame:
+    """XINFO CONSUMERS of (key, group, consumer, seen_ms, active_ms): pending entries, idle and inactive time (-1: never active)."""
+    counted = consumers.join(xpending_consumers(pel), [*GROUP, "consumer"], "left")
+    inactive = F.when(F.col("active_ms") == 0, F.lit(-1)).otherwise(F.lit(now_ms) - F.col("active_ms"))
+    return counted.select(*GROUP, "consumer", F.coalesce("pending", F.lit(0)).alias("pending"), F.greatest(F.lit(now_ms) - F.col("seen_ms"), F.lit(0)).alias("idle"), inactive.cast("bigint").alias("inactive"))
+
+
+def xinfo_full(streams: DataFrame, groups: DataFrame, pel: DataFrame, count: int = 10) -> tuple[DataFrame, DataFrame]:
+    """XINFO STREAM FULL: by key its length and first ``count`` ids (0: all), and by group its cursor, pending count and first pending ids with their consumers."""
+    head = lambda rows, by: ranked(rows, by, [F.col(c) for c in ID]).where(F.col("rn") <= count if count > 0 else F.lit(True))
+    ids = head(streams, ["key"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*ID))).alias("entries"))
+    first = head(pel, GROUP).groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct(*ID, "consumer"))).alias("pending"))
+    counted = pel.groupBy(*GROUP).agg(F.count("*").alias("pel_count"))
+    of_groups = groups.join(counted, GROUP, "left").join(first, GROUP, "left")
+    return xlen(streams).join(ids, "key"), of_groups.select(*GROUP, "last_ms", "last_seq", F.coalesce("pel_count", F.lit(0)).alias("pel_count"), "pending")
 
 
 def xinfo_stream(streams: DataFrame) -> DataFrame:
@@ -255,7 +400,7 @@ def group_lag(groups: DataFrame, meta: DataFrame) -> DataFrame:
     j = groups.join(meta, "key")
     at = F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq"))
     added, n = F.col("entries_added"), F.col("length")
-    clean = F.col("max_deleted").isNull() | (F.col("max_deleted") < F.col("first"))
+    clean = (F.col("max_deleted").isNull() | (F.col("max_deleted") < F.col("first"))) & (added >= n)
     guess = (
         F.when(((n == 0) & (at <= F.col("top"))) | (at == F.col("top")), added)
         .when((at > F.col("top")) | (n == 0), F.lit(None))

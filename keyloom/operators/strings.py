@@ -64,11 +64,16 @@ def incrby(log: DataFrame, delta: str = "delta", by: str = "key") -> DataFrame:
     return log.groupBy(by).agg(F.sum(F.col(delta).cast("bigint")).alias("value"))
 
 
+def float_sum(delta: Column) -> Column:
+    """Text of a sum of floats: exact to 17 places below 1e20, and beyond that the nearest double's digits."""
+    exact, near = F.try_sum(delta.try_cast("decimal(38,17)")), F.sum(delta.cast("double"))
+    text = F.regexp_replace(F.regexp_replace(exact.cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when((F.abs(near) < 1e20) & exact.isNotNull(), text).otherwise(F.format_string("%.0f", near))
+
+
 def incrbyfloat(log: DataFrame, delta: str = "delta", by: str = "key") -> DataFrame:
-    """INCRBYFLOAT: exact decimal sums with 17 places, shown without trailing zeros."""
-    total = F.sum(F.col(delta).cast("decimal(38,17)"))
-    text = F.regexp_replace(F.regexp_replace(total.cast("decimal(38,17)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return log.groupBy(by).agg(text.alias("value"))
+    """INCRBYFLOAT: sums of deltas as text without trailing zeros (see ``float_sum``)."""
+    return log.groupBy(by).agg(float_sum(F.col(delta)).alias("value"))
 
 
 def require_int(value: Column) -> Column:
@@ -76,28 +81,42 @@ def require_int(value: Column) -> Column:
     return F.coalesce(canonical_int(value), F.raise_error(F.lit("ERR value is not an integer or out of range")).cast("bigint"))
 
 
-def lcs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """LCS: ``pairs`` with the longest common subsequence and its length, for values too long for expression folds (Arrow batches)."""
-    @F.pandas_udf("struct<lcs:string,length:int>")
-    def common(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_lcs(x or "", y or "") for x, y in zip(left, right, strict=True)], columns=["lcs", "length"])
+def lcs(pairs: DataFrame, a: str = "a", b: str = "b", idx: bool = False, min_match_len: int = 0) -> DataFrame:
+    """LCS: ``pairs`` with the longest common subsequence and its length, for values too long for expression folds (Arrow batches).
 
-    return pairs.withColumn("_r", common(F.col(a), F.col(b))).select(*pairs.columns, "_r.lcs", "_r.length")
+    With ``idx`` also ``matches``: the ranges of characters, last first, that both have in common in it, with their
+    positions in each and their length; those shorter than ``min_match_len`` are left out (IDX, MINMATCHLEN, WITHMATCHLEN).
+    """
+    found = "array<struct<a_start:int,a_end:int,b_start:int,b_end:int,length:int>>"
 
-
-def _lcs(x: str, y: str) -> tuple[str, int]:
-    row = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    other = np.array(list(y))
-    for i, c in enumerate(x):
-        hit = np.where(other == c, row[i, :-1] + 1, row[i, 1:]) if len(y) else row[i, 1:]
-        row[i + 1, 1:] = np.maximum.accumulate(hit)
-    i, j, out = len(x), len(y), []
+    @F.pandas_udf(f"struct<lcs:string,length:int,matches:{found}>")
+    def common(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_lcs(x or "", y or "", min_match_len) for x, y in zip(left, right, strict=True)], columns=["lcs", "length", "matches"])
+
+    return pairs.withColumn("_r", common(F.col(a), F.col(b))).select(*pairs.columns, "_r.lcs", "_r.length", *["_r.matches"] * idx)
+
+
+def _lcs(x: str, y: str, least: int = 0) -> tuple[str, int, list[tuple[int, int, int, int, int]]]:
+    """The subsequence, its length and its ranges.  Of the table two bits a cell are kept: whether it exceeds its left and its upper neighbour."""
+    row, other = np.zeros(len(y) + 1, np.int32), np.array(list(y), "U1")
+    beyond_left, beyond_up = [], []
+    for c in x if y else "":
+        new = np.concatenate([row[:1], np.maximum.accumulate(np.where(other == c, row[:-1] + 1, row[1:]))])
+        beyond_left.append(np.packbits(new[1:] > new[:-1]))
+        beyond_up.append(np.packbits(new[1:] > row[1:]))
+        row = new
+    bit = lambda bits, k: int(bits[k >> 3]) >> (7 - (k & 7)) & 1
+    i, j, here, out, matches = len(x), len(y), int(row[-1]), [], []
     while i and j:
         if x[i - 1] == y[j - 1]:
             out.append(x[i - 1])
-            i, j = i - 1, j - 1
-        elif row[i - 1, j] > row[i, j - 1]:
-            i -= 1
+            i, j, here = i - 1, j - 1, here - 1
+            if matches and matches[-1][:2] == [i + 1, j + 1]:
+                matches[-1][:2] = [i, j]
+            else:
+                matches.append([i, j, i, j])
         else:
-            j -= 1
-    return "".join(reversed(out)), len(out)
+            up, left = here - bit(beyond_up[i - 1], j - 1), here - bit(beyond_left[i - 1], j - 1)
+            i, j, here = (i - 1, j, up) if up > left else (i, j - 1, left)
+    ranges = [(a, c, b, d, c - a + 1) for a, b, c, d in matches if c - a + 1 >= least]
+    return "".join(reversed(out)), len(out), ranges

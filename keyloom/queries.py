@@ -16,7 +16,10 @@ from keyloom.functions import geohash as gh
 from keyloom.functions import scalars
 from keyloom.functions.glob import glob_match
 from keyloom.functions.keyslot import keyslot
+from keyloom.keyspace import Keyspace
 from keyloom.operators import bitmaps, generic, geo, hashes, lists, pubsub, sets, sorting, streams, strings, ttl, zsets
+from keyloom.plans import fold, scripts, transactions
+from keyloom.sources import resp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,7 +89,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, path: f(Tables(spark, path))
         if sql is not None:
-            ORACLE[name] = f"WITH {_VIEWS} {sql}"
+            ORACLE[name] = f"WITH {_VIEWS.strip()}{sql}" if sql.startswith(",") else f"WITH {_VIEWS} {sql}"
         return f
 
     return add
@@ -102,12 +105,15 @@ hc AS (SELECT c_custkey AS key, 'c_name' AS field, c_name AS value FROM customer
 pv AS (SELECT p_partkey AS key, p_name AS value FROM part),
 ub AS (SELECT strftime(ts, '%Y-%m-%d') AS key, user_id AS bit FROM events),
 ul AS (SELECT user_id AS key, event_id AS pos, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-ex AS (SELECT event_type AS key, epoch_ms(ts) AS ms, event_id, user_id, row_number() OVER (PARTITION BY event_type, epoch_ms(ts) ORDER BY event_id) - 1 AS seq FROM events),
-dl AS (SELECT event_id AS key, event_type AS type, CASE WHEN event_id % 7 <> 0 THEN epoch_ms(ts) + user_id * 3600000 END AS expire_at_ms FROM events),
+ex AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, event_id, user_id, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 1000 ORDER BY event_id) - 1 AS seq FROM events),
+dl AS (SELECT event_id AS key, event_type AS type, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000 + user_id * 3600000 END AS expire_at_ms FROM events),
 pe AS (SELECT key, 'g' AS "group", ms, seq, 'c' || (user_id % 4) AS consumer, ms + user_id * 1000 AS delivery_ms, user_id % 5 + 1 AS deliveries FROM ex WHERE event_id % 3 = 0),
 sg AS (SELECT s_suppkey AS member, (s_suppkey * 7919 % 36000) / 100.0::DOUBLE - 180.0 AS lon, (s_suppkey * 104729 % 17000) / 100.0::DOUBLE - 85.0 AS lat FROM supplier)
 """
 
+#: A key's hash slot: CRC16, bit by bit.
+_SLOT = "list_reduce(list_prepend(0::BIGINT, flatten(list_transform(range(length(p_name)), lambda i: list_transform(range(8), lambda k: (ascii(substr(p_name, i + 1, 1))::BIGINT >> (7 - k)) & 1)))), lambda crc, bit: xor((crc << 1) & 65535, CASE WHEN (crc >> 15) <> bit THEN 4129 ELSE 0 END)) & 16383"
+
 # Sorted sets
 
 
@@ -259,7 +265,7 @@ def _(t: Tables) -> DataFrame:
     return zsets.zadd_to(t.parts_z(), new, gt=True)[1]
 
 
-@query("zset_zrandmember")
+@query("zset_zrandmember", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:' || key || ':' || member), member) AS r FROM zo) WHERE r <= 2")
 def _(t: Tables) -> DataFrame:
     return zsets.zrandmember(t.orders_z(), 2)
 
@@ -286,8 +292,8 @@ def _(t: Tables) -> DataFrame:
 @query("set_sinter", "SELECT member FROM se WHERE key IN (SELECT DISTINCT key FROM se ORDER BY key LIMIT 3) GROUP BY member HAVING count(*) = 3")
 def _(t: Tables) -> DataFrame:
     e = t.event_s()
-    first = e.select("key").distinct().orderBy("key").limit(3)
-    return e.join(F.broadcast(first), "key").groupBy("member").agg(F.count("*").alias("n")).where("n = 3").select("member")  # three rows
+    first = [r["key"] for r in e.select("key").distinct().orderBy("key").limit(3).collect()]
+    return sets.sinter([e.where(F.col("key") == k) for k in first])
 
 
 @query("set_sinter_pair", "SELECT a.member FROM ss a JOIN ss b ON a.member = b.member AND a.key = 1 AND b.key = 2")
@@ -342,12 +348,12 @@ def _(t: Tables) -> DataFrame:
     return sets.store(s, 7, sets.sdiff(sets.members(s, 1), [sets.members(s, 2)]))
 
 
-@query("set_spop")
+@query("set_spop", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:' || key || ':' || member), member) AS r FROM ss) WHERE r <= 3")
 def _(t: Tables) -> DataFrame:
     return sets.spop(t.supplier_s(), 3)[0]
 
 
-@query("set_srandmember_repeats")
+@query("set_srandmember_repeats", ", p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:' || key || ':' || member), member) AS r, count(*) OVER (PARTITION BY key) AS n FROM ss) SELECT key, draw, member FROM p JOIN (SELECT DISTINCT key, unnest(range(1, 6)) AS draw FROM ss) d USING (key) WHERE r = ('0x' || substr(md5('0:' || key || ':' || draw), 1, 15))::BIGINT % n + 1")
 def _(t: Tables) -> DataFrame:
     return hashes.sample(t.supplier_s(), "member", -5)
 
@@ -428,7 +434,7 @@ def _(t: Tables) -> DataFrame:
     return hashes.hreplace(t.customer_h(), new.select(F.col("c_custkey").alias("key"), F.lit("only").alias("field"), F.lit("x").alias("value"), F.lit(1).alias("seq")))
 
 
-@query("hash_hrandfield")
+@query("hash_hrandfield", "SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('0:' || key || ':' || field), field) AS r FROM hc) WHERE r <= 1")
 def _(t: Tables) -> DataFrame:
     return hashes.sample(t.customer_h(), "field", 1)
 
@@ -462,9 +468,9 @@ def _(t: Tables) -> DataFrame:
     return t.part_v().select("key", strings.setrange(F.col("value"), 2, F.lit("XYZ")).cast("string").alias("value"))
 
 
-@query("string_append", "SELECT user_id AS key, string_agg(left(event_type, 1), '' ORDER BY event_id) AS value FROM events GROUP BY key")
+@query("string_append", "SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS value FROM events GROUP BY key")
 def _(t: Tables) -> DataFrame:
-    return strings.append(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 1).alias("value")))
+    return strings.append(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value")))
 
 
 @query("string_incrby", "SELECT user_id AS key, sum(event_id)::BIGINT AS value FROM events GROUP BY key")
@@ -726,7 +732,7 @@ def _(t: Tables) -> DataFrame:
     return generic.scan_by(t.part.select(F.col("p_partkey").alias("key")), "key", 100, "1*", 25)
 
 
-@query("generic_scan_slots")
+@query("generic_scan_slots", f"SELECT p_name AS key, 'string' AS type, slot FROM (SELECT p_name, {_SLOT} AS slot FROM part) WHERE slot > 100 OR slot = 100 AND p_name > '' ORDER BY slot, key LIMIT 50")
 def _(t: Tables) -> DataFrame:
     return generic.scan(t.part.select(F.col("p_name").alias("key"), F.lit("string").alias("type")), (100, ""), type_="string", count=50)
 
@@ -752,7 +758,7 @@ def _(t: Tables) -> DataFrame:
     return out.select("key", "field", "value")
 
 
-@query("cluster_keyslot", "SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, flatten(list_transform(range(length(p_name)), lambda i: list_transform(range(8), lambda k: (ascii(substr(p_name, i + 1, 1))::BIGINT >> (7 - k)) & 1)))), lambda crc, bit: xor((crc << 1) & 65535, CASE WHEN (crc >> 15) <> bit THEN 4129 ELSE 0 END)) & 16383 AS slot FROM part")
+@query("cluster_keyslot", f"SELECT p_partkey, {_SLOT} AS slot FROM part")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", keyslot(F.col("p_name")).cast("bigint").alias("slot"))
 
@@ -807,12 +813,12 @@ def _(t: Tables) -> DataFrame:
     return streams.xdel(x, x.where("event_id % 4 = 0").select("key", "ms", "seq"))
 
 
-@query("stream_xadd_late_drop", "SELECT key, ms, seq, arrival FROM (SELECT *, max(ms * 1000000 + seq) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id % 3 AS seq, event_id AS arrival FROM events)) WHERE top IS NULL OR ms * 1000000 + seq > top")
+@query("stream_xadd_late_drop", "SELECT key, ms, seq, arrival FROM (SELECT *, max(ms * 1000000 + seq) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id % 3 AS seq, event_id AS arrival FROM events)) WHERE top IS NULL OR ms * 1000000 + seq > top")
 def _(t: Tables) -> DataFrame:
     return streams.accepted(t.events.select(F.col("user_id").alias("key"), scalars.millis(F.col("ts")).alias("ms"), (F.col("event_id") % 3).alias("seq"), F.col("event_id").alias("arrival")))
 
 
-@query("stream_xadd_auto_id", "SELECT key, m AS ms, row_number() OVER (PARTITION BY key, m ORDER BY arrival) - 1 AS seq, arrival FROM (SELECT user_id AS key, event_id AS arrival, max(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM events)")
+@query("stream_xadd_auto_id", "SELECT key, m AS ms, row_number() OVER (PARTITION BY key, m ORDER BY arrival) - 1 AS seq, arrival FROM (SELECT user_id AS key, event_id AS arrival, max(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM events)")
 def _(t: Tables) -> DataFrame:
     return streams.auto_ids(t.events.select(F.col("user_id").alias("key"), scalars.millis(F.col("ts")).alias("ms"), F.col("event_id").alias("arrival"))).select("key", "ms", F.col("seq").cast("bigint").alias("seq"), "arrival")
 
@@ -895,21 +901,21 @@ def _(t: Tables) -> DataFrame:
     return geo.geopos(geo.geoadd(t.supplier_g())).select("member", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
-@query("geo_geodist", f"SELECT a.member AS a, b.member AS b, round({_SPHERE.format(x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')} / 1000, 3) AS dist FROM ({_AT}) a JOIN ({_AT}) b ON b.member = a.member + 1")
+@query("geo_geodist", f"SELECT a.member AS a, b.member AS b, round({_SPHERE.format(x1='a.lon', y1='a.lat', x2='b.lon', y2='b.lat')} / 1000, 4) AS dist FROM ({_AT}) a JOIN ({_AT}) b ON b.member = a.member + 1")
 def _(t: Tables) -> DataFrame:
     z = geo.geoadd(t.supplier_g())
     pairs = z.select("key", F.col("member").alias("a"), (F.col("member") + 1).alias("b"))
-    return geo.geodist(z, pairs, "km").where("dist is not null").select("a", "b", F.round("dist", 3).alias("dist"))
+    return geo.geodist(z, pairs, "km").where("dist is not null").select("a", "b", "dist")
 
 
 _CENTRES = [("geo", "c1", 15.0, 37.0), ("geo", "c2", -100.0, 40.0), ("geo", "c3", 120.0, -30.0)]
 _NEAR = "SELECT centre, member, d FROM (SELECT centre, member, lon, lat, clon, clat, {d} AS d FROM ({at}) p, (VALUES ('c1', 15.0, 37.0), ('c2', -100.0, 40.0), ('c3', 120.0, -30.0)) c(centre, clon, clat))"
 
 
-@query("geo_geosearch_radius", f"SELECT centre, member, round(d / 1000, 3) AS dist FROM ({_NEAR.format(d=_SPHERE.format(x1='clon', y1='clat', x2='lon', y2='lat'), at=_AT)}) WHERE d <= 3000000")
+@query("geo_geosearch_radius", f"SELECT centre, member, round(d / 1000, 4) AS dist FROM ({_NEAR.format(d=_SPHERE.format(x1='clon', y1='clat', x2='lon', y2='lat'), at=_AT)}) WHERE d <= 3000000")
 def _(t: Tables) -> DataFrame:
     found = geo.geosearch(geo.geoadd(t.supplier_g()), t.literal(_CENTRES, "key string, centre string, lon double, lat double"), radius=3000, unit="km")
-    return found.select("centre", "member", F.round("dist", 3).alias("dist"))
+    return found.select("centre", "member", "dist")
 
 
 @query("geo_geosearch_count", f"SELECT centre, member FROM (SELECT centre, member, row_number() OVER (PARTITION BY centre ORDER BY d, member) AS r FROM ({_NEAR.format(d=_SPHERE.format(x1='clon', y1='clat', x2='lon', y2='lat'), at=_AT)}) WHERE d <= 5000000) WHERE r <= 2")
@@ -924,7 +930,12 @@ def _(t: Tables) -> DataFrame:
     return found.select("centre", "member")
 
 
-@query("geo_geohash")
+_BIT = "(({x} >> {k}) & 1)"
+_PLACES = [_BIT.format(x="yx"[k % 2 == 0], k=25 - k // 2) for k in range(50)]
+_LETTERS = " || ".join(f"substr('{gh.ALPHABET}', {' + '.join(f'{1 << 4 - i} * {_PLACES[5 * k + i]}' for i in range(5))} + 1, 1)" for k in range(10))
+
+
+@query("geo_geohash", f"SELECT member, {_LETTERS} || '0' AS geohash FROM (SELECT member, floor((lon + 180) / 360 * 67108864)::BIGINT AS x, floor((lat + 90) / 180 * 67108864)::BIGINT AS y FROM ({_AT}))")
 def _(t: Tables) -> DataFrame:
     return geo.geohash(geo.geoadd(t.supplier_g())).select("member", "geohash")
 
@@ -955,3 +966,388 @@ def _(t: Tables) -> DataFrame:
 @query("pubsub_numpat", "SELECT 2 AS numpat")
 def _(t: Tables) -> DataFrame:
     return pubsub.numpat(_subscriptions(t))
+
+
+# Options and commands of one key
+
+
+def _near(centre: str, lon: str, lat: str, radius: float, more: str = "") -> str:
+    return f"SELECT *, {_SPHERE.format(x1=lon, y1=lat, x2='p.lon', y2='p.lat')} AS d FROM ({_AT}) p {centre} WHERE d <= {radius} {more}"
+
+
+@query("geo_frommember", f"SELECT centre, member, round(d / 1609.344, 4) AS dist FROM ({_near(f'JOIN (SELECT member AS centre, lon AS clon, lat AS clat FROM ({_AT}) WHERE member % 7 = 0) c ON true', 'clon', 'clat', 2500 * 1609.344)})")
+def _(t: Tables) -> DataFrame:
+    z = geo.geoadd(t.supplier_g())
+    centres = z.where("member % 7 = 0").select("key", F.col("member").alias("centre"), "member")
+    return geo.geosearch(z, centres, radius=2500, unit="mi").select("centre", "member", "dist")
+
+
+def _cell_sql(x: str, y: str) -> str:
+    return " + ".join([f"((({x} >> {k}) & 1) << {2 * k + 1}) + ((({y} >> {k}) & 1) << {2 * k})" for k in range(26)])
+
+
+_HASHED = f"SELECT member, lon, lat, {_cell_sql('x', 'y')} AS hash FROM (SELECT *, floor((lon + 180) / 360 * 67108864)::BIGINT AS x, floor((lat + {gh.LAT_MAX}) / {2 * gh.LAT_MAX} * 67108864)::BIGINT AS y FROM ({_AT}))"
+
+
+@query("geo_any_withhash", f"SELECT member, hash FROM (SELECT member, hash, row_number() OVER (ORDER BY hash, member) AS r FROM ({_HASHED}) WHERE {_SPHERE.format(x1='120.0', y1='-30.0', x2='lon', y2='lat')} <= 6000000) WHERE r <= 5")
+def _(t: Tables) -> DataFrame:
+    return geo.georadius(geo.geoadd(t.supplier_g()), "geo", 6000, "km", lon=120.0, lat=-30.0, count=5, any_=True).select("member", "hash")
+
+
+@query("geo_georadiusbymember_desc", f"SELECT member, dist FROM (SELECT member, round(d, 4) AS dist, row_number() OVER (ORDER BY d DESC, member) AS r FROM ({_near(f'JOIN (SELECT lon AS clon, lat AS clat FROM ({_AT}) WHERE member = 3) c ON true', 'clon', 'clat', 9000000)})) WHERE r <= 4")
+def _(t: Tables) -> DataFrame:
+    return geo.georadius(geo.geoadd(t.supplier_g()), "geo", 9000000, member=3, count=4, descending=True).select("member", "dist")
+
+
+@query("geo_geosearchstore", f"SELECT 'geo' AS key, member, hash::DOUBLE AS score FROM ({_HASHED}) UNION ALL SELECT 'near', member, hash::DOUBLE FROM ({_HASHED}) WHERE {_SPHERE.format(x1='15.0', y1='37.0', x2='lon', y2='lat')} <= 4000000")
+def _(t: Tables) -> DataFrame:
+    z = geo.geoadd(t.supplier_g())
+    return geo.geosearch_store(z, "near", geo.georadius(z, "geo", 4000, "km", lon=15.0, lat=37.0))
+
+
+@query("geo_georadius_storedist", f"SELECT 'geo' AS key, member, hash::DOUBLE AS score FROM ({_HASHED}) UNION ALL SELECT 'near', member, round(d / 0.3048, 4) FROM ({_near('', '15.0', '37.0', 4000000)})")
+def _(t: Tables) -> DataFrame:
+    z = geo.geoadd(t.supplier_g())
+    return geo.geosearch_store(z, "near", geo.georadius(z, "geo", 4000 / 0.3048 * 1000, "ft", lon=15.0, lat=37.0), distances=True)
+
+
+@query("geo_geoadd_xx_ch", "SELECT 'geo' AS key, 0::BIGINT AS added, count(*) AS changed FROM supplier WHERE s_suppkey % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    g = t.supplier_g()
+    moved = g.where("member % 2 = 0").select("key", "member", (-F.col("lon")).alias("lon"), (-F.col("lat")).alias("lat")).unionByName(t.literal([("geo", -5, 1.0, 1.0)], "key string, member long, lon double, lat double"))
+    return geo.geoadd_to(geo.geoadd(g), moved, xx=True)[1]
+
+
+@query("string_get", "SELECT key, value FROM pv WHERE key = 7")
+def _(t: Tables) -> DataFrame:
+    return strings.get(t.part_v(), 7)
+
+
+@query("string_getset", "SELECT key, value AS old, 'new' AS value FROM pv WHERE key % 3 = 0 UNION ALL SELECT -1, NULL, 'new'")
+def _(t: Tables) -> DataFrame:
+    v = t.part_v()
+    writes = v.where("key % 3 = 0").select("key").unionByName(t.literal([(-1,)], "key long")).withColumn("value", F.lit("new"))
+    return strings.getset(v, writes)
+
+
+@query("string_getdel", "SELECT key, value FROM pv WHERE key % 3 <> 0")
+def _(t: Tables) -> DataFrame:
+    v = t.part_v()
+    return strings.getdel(v, v.where("key % 3 = 0").select("key"))[1]
+
+
+@query("string_getex_persist", "SELECT key, type, CASE WHEN key % 2 = 1 THEN expire_at_ms END AS expire_at_ms FROM dl WHERE key % 2 = 0 OR expire_at_ms IS NULL OR expire_at_ms > 1705276800000")
+def _(t: Tables) -> DataFrame:
+    d = t.deadlines()
+    return strings.getex(d, d.where("key % 2 = 0").select("key"), None, NOW)[1]
+
+
+@query("string_getex_px", f"SELECT key, type, CASE WHEN key % 2 = 0 THEN {NOW} + 5000 ELSE expire_at_ms END AS expire_at_ms FROM dl WHERE key % 2 = 0 OR expire_at_ms IS NULL OR expire_at_ms > {NOW}")
+def _(t: Tables) -> DataFrame:
+    d = t.deadlines()
+    return strings.getex(d, d.where("key % 2 = 0").select("key"), F.lit(NOW + 5000), NOW)[1]
+
+
+@query("string_setex_keepttl", f"SELECT key, CASE WHEN key % 2 = 0 THEN 'new' ELSE type END AS value, CASE WHEN key % 4 = 0 THEN {NOW} ELSE expire_at_ms END AS expire_at_ms FROM dl")
+def _(t: Tables) -> DataFrame:
+    old = t.deadlines().select("key", F.col("type").alias("value"), "expire_at_ms")
+    new = old.where("key % 2 = 0").select("key", F.lit("new").alias("value"), F.when(F.col("key") % 4 == 0, F.lit(NOW)).alias("expire_at_ms"))
+    return strings.set_values(old, new, "XX", keep_ttl=True)
+
+
+@query("string_incrbyfloat", "SELECT user_id AS key, rtrim(rtrim(sum(event_id::DECIMAL(20,2) / 4)::DECIMAL(38,2)::VARCHAR, '0'), '.') AS value FROM events GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    return strings.incrbyfloat(t.events.select(F.col("user_id").alias("key"), (F.col("event_id") / 4).alias("delta")))
+
+
+@query("hash_hincrbyfloat", "SELECT user_id AS key, event_type AS field, rtrim(rtrim(sum(event_id::DECIMAL(20,2) / 4)::DECIMAL(38,2)::VARCHAR, '0'), '.') AS value FROM events GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return hashes.hincrbyfloat(t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("field"), (F.col("event_id") / 4).alias("delta")))
+
+
+@query("string_lcs_length", "SELECT p_partkey, length(p_brand) AS n, length(p_brand) - 1 AS m FROM part")
+def _(t: Tables) -> DataFrame:
+    b = F.col("p_brand")
+    return t.part.select("p_partkey", scalars.lcs_length(b, b).alias("n"), scalars.lcs_length(b, F.substring(b, 2, 100)).alias("m"))
+
+
+_BITS = "array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: to_base(ascii(substr(p_name, i::INT, 1)), 2, 8)), '')"
+
+
+@query("bitmap_setbit", "SELECT DISTINCT key, bit FROM ub WHERE NOT (key = '2024-01-05' AND bit = 3) UNION ALL SELECT '2024-01-05', 100000")
+def _(t: Tables) -> DataFrame:
+    b = t.user_b().distinct()
+    return bitmaps.setbit(bitmaps.setbit(b, "2024-01-05", 3, False), "2024-01-05", 100000, True)
+
+
+@query("bitmap_bitcount_units", f"SELECT p_partkey, length(replace(substr(bits, 6, 30), '0', '')) AS a, length(replace(substr(bits, length(bits) - 20, 17), '0', '')) AS b, length(replace(right(bits, 24), '0', '')) AS c FROM (SELECT p_partkey, {_BITS} AS bits FROM part)")
+def _(t: Tables) -> DataFrame:
+    v = F.col("p_name")
+    return t.part.select("p_partkey", bitmaps.bitcount_bytes(v, 5, 34, "BIT").alias("a"), bitmaps.bitcount_bytes(v, -21, -5, "BIT").alias("b"), bitmaps.bitcount_bytes(v, -3, -1).alias("c"))
+
+
+@query("bitmap_bitpos_units", f"SELECT p_partkey, instr(bits, '1') - 1 AS a, instr(substr(bits, 17), '1') + 15 AS b, CASE WHEN instr(substr(bits, 10, 2), '0') > 0 THEN instr(substr(bits, 10, 2), '0') + 8 ELSE -1 END AS c, -1 AS d FROM (SELECT p_partkey, {_BITS} AS bits FROM part)")
+def _(t: Tables) -> DataFrame:
+    v = F.col("p_name")
+    return t.part.select("p_partkey", bitmaps.bitpos_bytes(v).alias("a"), bitmaps.bitpos_bytes(v, True, 2).alias("b"), bitmaps.bitpos_bytes(v, False, 9, 10, "BIT").alias("c"), bitmaps.bitpos_bytes(v, True, 900, 950).alias("d"))
+
+
+@query("generic_randomkey", "SELECT key IN (SELECT key FROM dl WHERE expire_at_ms IS NULL OR expire_at_ms > 1705276800000) AS live FROM (SELECT min(key) AS key FROM dl WHERE expire_at_ms IS NULL)")
+def _(t: Tables) -> DataFrame:
+    d = t.deadlines()
+    drawn = generic.randomkey(d, NOW)
+    return drawn.join(d, "key").select((F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > NOW)).alias("live"))
+
+
+def _databases(t: Tables) -> DataFrame:
+    return t.part.select((F.col("p_size") % 4).cast("tinyint").alias("db"), F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+
+
+@query("generic_select", "SELECT (p_size % 4)::TINYINT AS db, p_partkey AS key, p_name AS value FROM part WHERE p_size % 4 = 2")
+def _(t: Tables) -> DataFrame:
+    return Keyspace({"strings": _databases(t)}).select(2)["strings"]
+
+
+@query("generic_flushdb", "SELECT (p_size % 4)::TINYINT AS db, p_partkey AS key, p_name AS value FROM part WHERE p_size % 4 <> 2")
+def _(t: Tables) -> DataFrame:
+    return generic.flushdb(_databases(t), 2)
+
+
+@query("generic_flushall", "SELECT 0::BIGINT AS keys")
+def _(t: Tables) -> DataFrame:
+    return generic.flushdb(_databases(t)).agg(F.count("*").alias("keys"))
+
+
+@query("generic_renamenx", "SELECT CASE key WHEN 5 THEN -5 ELSE key END AS key, value FROM pv")
+def _(t: Tables) -> DataFrame:
+    return generic.rename(generic.rename(t.part_v(), 5, -5, only_if_new=True), 6, 7, only_if_new=True)
+
+
+@query("generic_msetnx", "SELECT key, value FROM pv UNION ALL SELECT -1, 'x' UNION ALL SELECT -2, 'y'")
+def _(t: Tables) -> DataFrame:
+    pairs = t.literal([(0, -1, "w"), (1, -1, "x"), (2, -2, "y")], "pos int, key long, value string")
+    taken = t.literal([(0, -3, "w"), (1, 1, "x")], "pos int, key long, value string")
+    return generic.mset(generic.mset(t.part_v(), pairs, only_if_new=True), taken, only_if_new=True)
+
+
+@query("zset_zrangestore", "SELECT * FROM zo UNION ALL SELECT -1, member, score FROM (SELECT *, row_number() OVER (ORDER BY score, member) AS r FROM zo WHERE key = 1) WHERE r BETWEEN 2 AND 4")
+def _(t: Tables) -> DataFrame:
+    z = t.orders_z()
+    return zsets.store(z, -1, zsets.zrange(z.where("key = 1"), 1, 3))
+
+
+@query("sort_store", "SELECT key, pos, value FROM ul WHERE key <> 3 UNION ALL SELECT 3, row_number() OVER (ORDER BY p_size, p_partkey), p_partkey::VARCHAR FROM (SELECT * FROM part ORDER BY p_size, p_partkey LIMIT 20)")
+def _(t: Tables) -> DataFrame:
+    weights = t.part.select(F.concat(F.lit("w_"), F.col("p_partkey")).alias("key"), F.col("p_size").cast("string").alias("value"))
+    return sorting.store(t.user_l(), 3, sorting.sort(t.part.select(F.col("p_partkey").alias("element")), by="w_*", count=20, strings=weights))
+
+
+@query("stream_xadd_partial_id", "SELECT key, ms, row_number() OVER (PARTITION BY key, ms ORDER BY arrival) - 1 AS seq, arrival FROM (SELECT *, max(ms) OVER (PARTITION BY key ORDER BY arrival) AS top FROM (SELECT user_id AS key, epoch_us(ts) // 1000 // 3600000 * 3600000 AS ms, event_id AS arrival FROM events)) WHERE ms = top")
+def _(t: Tables) -> DataFrame:
+    hour = F.floor(scalars.millis(F.col("ts")) / 3600000) * 3600000
+    return streams.partial_ids(t.events.select(F.col("user_id").alias("key"), hour.alias("ms"), F.col("event_id").alias("arrival"))).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+_LOG = f"lg AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'new' ELSE key END AS key, ms, seq, event_id AS arrival FROM ex WHERE ms >= {NOW}), ac AS (SELECT * FROM (SELECT *, max(ms * 1000000 + seq) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM lg) WHERE top IS NULL OR ms * 1000000 + seq > top)"
+
+
+def _new_entries(t: Tables) -> tuple[DataFrame, DataFrame]:
+    x = t.event_x()
+    name = F.when(F.col("event_id") % 5 == 0, "new").otherwise(F.col("key"))
+    return x.where(F.col("ms") < NOW).select("key", "ms", "seq"), x.where(F.col("ms") >= NOW).select(name.alias("key"), "ms", "seq", F.col("event_id").alias("arrival"))
+
+
+@query("stream_xadd_nomkstream_minid", f", {_LOG} SELECT key, ms, seq FROM (SELECT key, ms, seq FROM ex WHERE ms < {NOW} UNION ALL SELECT key, ms, seq FROM ac WHERE key <> 'new') WHERE ms >= 1705000000000")
+def _(t: Tables) -> DataFrame:
+    return streams.xadd(*_new_entries(t), nomkstream=True, minid="1705000000000")
+
+
+@query("stream_xadd_maxlen", f", {_LOG} SELECT key, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms DESC, seq DESC) AS r FROM (SELECT key, ms, seq FROM ex WHERE ms < {NOW} UNION ALL SELECT key, ms, seq FROM ac)) WHERE r <= 25")
+def _(t: Tables) -> DataFrame:
+    return streams.xadd(*_new_entries(t), maxlen=25)
+
+
+@query("stream_next_id", "SELECT key, ms, seq FROM (SELECT key, max(ms) AS ms, arg_max(seq, ms * 1000000 + seq) + 1 AS seq FROM ex GROUP BY key)")
+def _(t: Tables) -> DataFrame:
+    tops = streams.last_ids(t.event_x())
+    after = tops.select("key", streams.next_id(F.col("last_ms"), F.col("last_seq"), F.lit(NOW)).alias("i"))
+    return after.select("key", F.col("i.ms").cast("bigint").alias("ms"), F.col("i.seq").cast("bigint").alias("seq"))
+
+
+@query("stream_xtrim_limit", "SELECT key, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r, count(*) OVER (PARTITION BY key) AS n FROM ex) WHERE r > least((greatest(n - 130, 0) // 50) * 50, 100)")
+def _(t: Tables) -> DataFrame:
+    return streams.xtrim_maxlen(t.event_x().select("key", "ms", "seq"), 130, node=50, limit=120)
+
+
+@query("stream_xtrim_minid_nodes", f"SELECT key, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r, count(*) FILTER (WHERE ms < {NOW}) OVER (PARTITION BY key) AS old FROM ex) WHERE r > (old // 40) * 40")
+def _(t: Tables) -> DataFrame:
+    return streams.xtrim_minid(t.event_x().select("key", "ms", "seq"), str(NOW), node=40, limit=0)
+
+
+@query("stream_xclaim_options", f"SELECT key, \"group\", ms, seq, 'me' AS consumer, {NOW} - 7000 AS delivery_ms, 9::BIGINT AS deliveries FROM ex CROSS JOIN (SELECT 'g' AS \"group\") WHERE event_id % 5 = 0 AND event_id % 3 <> 0 UNION ALL SELECT key, \"group\", ms, seq, CASE WHEN hit THEN 'me' ELSE consumer END, CASE WHEN hit THEN {NOW} - 7000 ELSE delivery_ms END, CASE WHEN hit THEN 9 ELSE deliveries END FROM (SELECT pe.*, ex.event_id % 5 = 0 AND {NOW} - delivery_ms >= 1000 AS hit FROM pe JOIN ex USING (key, ms, seq))")
+def _(t: Tables) -> DataFrame:
+    x = t.event_x()
+    ids = x.where("event_id % 5 = 0").select("key", F.lit("g").alias("group"), "ms", "seq")
+    return streams.xclaim(t.pending(), ids, x, "me", NOW, 1000, force=True, retrycount=9, idle=7000)
+
+
+@query("stream_xclaim_lastid", f"SELECT key, 'g' AS \"group\", CASE WHEN key = 'click' THEN {NOW} ELSE 1705000000000 END AS last_ms, 0::BIGINT AS last_seq FROM ex GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    moved = streams.advance(streams.advance(_groups(t), "click", "g", NOW, 0), "view", "g", 5, 5)
+    return moved.select("key", "group", "last_ms", F.col("last_seq").cast("bigint").alias("last_seq"))
+
+
+_WALK = f"wk AS (SELECT *, count(*) FILTER (WHERE gone OR {NOW} - delivery_ms >= 0) OVER (PARTITION BY key ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30 AND r <= 300 AS walked FROM (SELECT pe.*, ex.event_id % 2 = 0 AS gone, row_number() OVER (PARTITION BY pe.key ORDER BY ms, seq) AS r FROM pe JOIN ex USING (key, ms, seq) WHERE ms >= 1704500000000))"
+
+
+@query("stream_xautoclaim_next", f", {_WALK} SELECT key, \"group\", coalesce(min(ms) FILTER (WHERE NOT walked), 0) AS next_ms, coalesce(arg_min(seq, ms * 1000000 + seq) FILTER (WHERE NOT walked), 0) AS next_seq FROM wk GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return streams.xautoclaim_next(t.pending(), t.event_x().where("event_id % 2 <> 0"), NOW, 0, 30, "1704500000000")
+
+
+@query("stream_xautoclaim_justid", f", {_WALK} SELECT pe.key, pe.\"group\", pe.ms, pe.seq, CASE WHEN hit THEN 'me' ELSE pe.consumer END AS consumer, CASE WHEN hit THEN {NOW} ELSE pe.delivery_ms END AS delivery_ms, pe.deliveries FROM pe LEFT JOIN (SELECT key, ms, seq, gone, NOT gone AND {NOW} - delivery_ms >= 0 AS hit FROM wk WHERE walked) w ON pe.key = w.key AND pe.ms = w.ms AND pe.seq = w.seq WHERE coalesce(NOT gone, true)")
+def _(t: Tables) -> DataFrame:
+    return streams.xautoclaim_pending(t.pending(), t.event_x().where("event_id % 2 <> 0"), "me", NOW, 0, 30, "1704500000000", justid=True)
+
+
+def _consumers(t: Tables) -> DataFrame:
+    seen = t.pending().groupBy("key", "group", "consumer").agg(F.max("delivery_ms").alias("seen_ms"))
+    return seen.withColumn("active_ms", F.when(F.col("consumer") == "c0", F.lit(0)).otherwise(F.col("seen_ms") - 5))
+
+
+@query("stream_xinfo_consumers", f"SELECT key, \"group\", consumer, pending, greatest({NOW} - top, 0) AS idle, CASE WHEN consumer = 'c0' THEN -1 ELSE {NOW} + 5 - top END AS inactive FROM (SELECT key, \"group\", consumer, count(*) AS pending, max(delivery_ms) AS top FROM pe GROUP BY ALL)")
+def _(t: Tables) -> DataFrame:
+    return streams.xinfo_consumers(_consumers(t), t.pending(), NOW)
+
+
+@query("stream_xinfo_full", "SELECT key, n AS xlen, string_agg(ms || '-' || seq, ',' ORDER BY ms, seq) AS entries FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r, count(*) OVER (PARTITION BY key) AS n FROM ex) WHERE r <= 4 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    full = streams.xinfo_full(t.event_x(), _groups(t), t.pending(), 4)[0]
+    return full.select("key", "xlen", F.array_join(F.transform("entries", lambda e: F.concat_ws("-", e["ms"], e["seq"])), ",").alias("entries"))
+
+
+@query("stream_xinfo_full_groups", "SELECT key, \"group\", n AS pel_count, string_agg(ms || '-' || seq || ' ' || consumer, ',' ORDER BY ms, seq) AS pending FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r, count(*) OVER (PARTITION BY key) AS n FROM pe) WHERE r <= 4 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    full = streams.xinfo_full(t.event_x(), _groups(t), t.pending(), 4)[1]
+    return full.select("key", "group", "pel_count", F.array_join(F.transform("pending", lambda e: F.concat(e["ms"], F.lit("-"), e["seq"], F.lit(" "), e["consumer"])), ",").alias("pending"))
+
+
+@query("stream_xgroup_create", "SELECT key, 'g' AS \"group\", 1705000000000 AS last_ms FROM ex GROUP BY key UNION ALL SELECT 'click', 'h', 0")
+def _(t: Tables) -> DataFrame:
+    return streams.xgroup_create(_groups(t), "click", "h").select("key", "group", "last_ms")
+
+
+@query("stream_xgroup_setid_destroy", "SELECT key, 'g' AS \"group\", CASE WHEN key = 'click' THEN 77 ELSE 1705000000000 END AS last_ms FROM ex WHERE key <> 'view' GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    return streams.xgroup_destroy(streams.xgroup_setid(_groups(t), "click", "g", 77, 0), "view", "g").select("key", "group", "last_ms")
+
+
+@query("stream_xgroup_consumers", "SELECT key, \"group\", consumer FROM pe GROUP BY ALL UNION ALL SELECT 'click', 'g', 'fresh'")
+def _(t: Tables) -> DataFrame:
+    c = streams.xgroup_createconsumer(_consumers(t), "click", "g", "fresh", NOW)[0]
+    return streams.xgroup_createconsumer(c, "click", "g", "c1", NOW)[0].select("key", "group", "consumer")
+
+
+@query("stream_xgroup_delconsumer", "SELECT * FROM pe WHERE NOT (key = 'click' AND consumer = 'c1')")
+def _(t: Tables) -> DataFrame:
+    return streams.xgroup_delconsumer(t.pending(), "click", "g", "c1")[0]
+
+
+@query("stream_xreadgroup_history", f"SELECT key, \"group\", ms, seq, consumer, CASE WHEN consumer = 'c1' AND live THEN {NOW} ELSE delivery_ms END AS delivery_ms, deliveries + (consumer = 'c1' AND live)::INT AS deliveries FROM (SELECT pe.*, ex.event_id % 2 <> 0 AS live FROM pe JOIN ex USING (key, ms, seq))")
+def _(t: Tables) -> DataFrame:
+    return streams.xreadgroup_history(t.event_x().where("event_id % 2 <> 0"), t.pending(), "c1", NOW)[1]
+
+
+def _meta(x: DataFrame, gone: DataFrame) -> DataFrame:
+    i = F.struct("ms", "seq")
+    whole = x.groupBy("key").agg(F.count("*").alias("length"), F.max(i).alias("top"), F.min(i).alias("first"))
+    lost = gone.groupBy("key").agg(F.count("*").alias("lost"), F.max(i).alias("max_deleted"))
+    return whole.join(lost, "key", "left").select("key", "length", "top", "first", "max_deleted", (F.col("length") + F.coalesce("lost", F.lit(0))).alias("entries_added"))
+
+
+@query("stream_xreadgroup_entries_read", "SELECT key, 'g' AS \"group\", CASE WHEN key <> 'view' OR last = top THEN known + n END AS entries_read FROM (SELECT key, count(*) FILTER (WHERE ms <= 1705000000000) AS known, least(count(*) FILTER (WHERE ms > 1705000000000), 20) AS n, max(ms * 1000000 + seq) AS top, list_sort(list(ms * 1000000 + seq) FILTER (WHERE ms > 1705000000000))[least(count(*) FILTER (WHERE ms > 1705000000000), 20)] AS last FROM ex GROUP BY key)")
+def _(t: Tables) -> DataFrame:
+    # of one stream an entry behind those delivered was deleted, so that how many were read is no longer known
+    x = t.event_x()
+    gone = x.where("key = 'view'").orderBy(F.col("ms").desc(), F.col("seq").desc()).limit(2).orderBy("ms", "seq").limit(1)
+    meta = _meta(x, gone)
+    return streams.xreadgroup(x, _groups(t), t.pending(), "c9", NOW, 20, meta=meta)[1].select("key", "group", "entries_read")
+
+
+@query("stream_xsetid", "SELECT key, CASE WHEN key = 'click' THEN 1900000000000 ELSE max(ms) END AS last_ms, CASE WHEN key = 'click' THEN 1000000 ELSE count(*) END AS entries_added FROM ex GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    tops = t.event_x().groupBy("key").agg(F.max("ms").alias("last_ms"), F.max("ms").alias("top_ms"), F.lit(0).cast("bigint").alias("last_seq"), F.lit(0).cast("bigint").alias("top_seq"), F.count("*").alias("entries_added"), F.count("*").alias("length"))
+    return streams.xsetid(tops, "click", 1900000000000, 3, 1000000).select("key", "last_ms", "entries_added")
+
+
+# Transactions, scripts, logs
+
+
+def _counters(t: Tables) -> dict[str, DataFrame]:
+    return {"keys": t.part.select(F.col("p_partkey").cast("string").alias("key"), F.lit(1).cast("long").alias("version")), "strings": t.part_v()}
+
+
+@query("tx_multi_exec", "SELECT CASE key WHEN 5 THEN -5 ELSE key END AS key, value || '!' AS value FROM pv WHERE key % 3 <> 0")
+def _(t: Tables) -> DataFrame:
+    tx = transactions.Transaction(_counters(t))
+    tx.watch("5")
+    tx.multi(lambda f: (f | {"strings": f["strings"].where("key % 3 <> 0")}, 1))
+    tx.multi(lambda f: (f["no such table"], None))  # fails alone
+    tx.multi(lambda f: (f | {"strings": generic.rename(f["strings"], 5, -5)}, "OK"))
+    tx.multi(lambda f: (f | {"strings": f["strings"].withColumn("value", F.concat("value", F.lit("!")))}, "OK"))
+    return tx.exec()[0]["strings"]
+
+
+@query("tx_watch_aborts", "SELECT key, value FROM pv")
+def _(t: Tables) -> DataFrame:
+    before = _counters(t)
+    tx = transactions.Transaction(before)
+    tx.watch("5", "missing")
+    tx.multi(lambda f: (f | {"strings": f["strings"].where("key < 0")}, 1))
+    moved = before | {"keys": before["keys"].withColumn("version", F.when(F.col("key") == "5", F.lit(2)).otherwise(F.col("version")))}
+    return tx.exec(moved)[0]["strings"]
+
+
+@query("tx_unwatch_discard", "SELECT key, value FROM pv WHERE key < 10")
+def _(t: Tables) -> DataFrame:
+    before = _counters(t)
+    tx = transactions.Transaction(before)
+    tx.watch("5")
+    tx.multi(lambda f: (f | {"strings": f["strings"].where("key < 0")}, 1))
+    tx.discard()
+    tx.watch("6")
+    tx.unwatch()
+    tx.multi(lambda f: (f | {"strings": f["strings"].where("key < 10")}, 1))
+    return tx.exec(before | {"keys": before["keys"].withColumn("version", F.col("version") + 1)})[0]["strings"]
+
+
+_SUM = "def total(pdf, args):\n    return pd.DataFrame({'key': [pdf['key'].iloc[0]], 'n': [int(pdf['event_id'].sum()) * int(args[0])]})\n"
+
+
+@query("script_evalsha", "SELECT event_type AS key, 10 * sum(event_id)::BIGINT AS n FROM events GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    registry = scripts.Registry()
+    sha = registry.script_load(_SUM, "key string, n long", "total")
+    return registry.evalsha(sha, t.events.select(F.col("event_type").alias("key"), "event_id"), None, ["10"])
+
+
+@query("function_fcall_ro", "SELECT event_type AS key, sum(event_id)::BIGINT AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    registry = scripts.Registry()
+    registry.function_load("lib", [scripts.Function("total", _SUM, "key string, n long", ["no-writes"])])
+    return registry.fcall("total", t.events.select(F.col("event_type").alias("key"), "event_id"), ["click", "view"], ["1"], read_only=True)
+
+
+def _commands(t: Tables) -> DataFrame:
+    key, cmd = F.concat(F.lit("u:"), F.col("user_id")), F.when(F.col("event_id") % 3 == 0, "INCRBY").otherwise("SET")
+    return t.events.select(F.col("event_id").alias("seq"), scalars.millis(F.col("ts")).alias("ts_ms"), F.lit(0).cast("tinyint").alias("db"), key.alias("key"), cmd.alias("cmd"), F.array(F.col("event_id").cast("string")).alias("args"))
+
+
+@query("log_fold", "SELECT 'u:' || user_id AS key, (coalesce(max(event_id) FILTER (WHERE event_id % 3 <> 0), 0) + coalesce(sum(event_id) FILTER (WHERE event_id % 3 = 0 AND event_id > coalesce(top, -1)), 0))::BIGINT::VARCHAR AS value FROM (SELECT *, max(event_id) FILTER (WHERE event_id % 3 <> 0) OVER (PARTITION BY user_id) AS top FROM events) GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    return fold.fold(_commands(t), NOW).select("key", "value")
+
+
+@query("log_monitor", "SELECT event_id AS seq, '\"' || CASE WHEN event_id % 3 = 0 THEN 'INCRBY' ELSE 'SET' END || '\" \"u:' || user_id || '\" \"' || event_id || '\"' AS line FROM events WHERE user_id::VARCHAR LIKE '1%'")
+def _(t: Tables) -> DataFrame:
+    return resp.monitor(_commands(t), "u:1*")
