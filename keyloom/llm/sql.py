@@ -34,28 +34,34 @@ SELECT doc_id, item_id, n AS item_shingles, matched FROM m JOIN sized USING (ite
 """
 
 
-def _mixing(alpha: dict[str, float], sweeps: int) -> str:
+def _mixing(alpha: dict[str, float], sweeps: int, tolerance: float, settled: int, gain: float) -> str:
+    """Raking as a recursive query: a step is a sweep, and its error and the one before decide on another."""
     dims = ("source", "lang", "topic")
-    topic = """CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'none' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '{') OR contains(text, '=') THEN 'code'
-      WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, '?') THEN 'questions' ELSE 'prose' END"""
+    fewer = lambda x: f"(length(body) - length(replace(body, {x}, '')))"
+    topic = f"""CASE WHEN tokens = 0 THEN 'none' WHEN {fewer("'|'")} * 50 >= length(body) THEN 'table' WHEN (length(body) - length(translate(body, '#$%&*+<=>^_{{}}~', ''))) * 100 >= length(body) THEN 'code'
+      WHEN contains(body, '://') OR regexp_matches(body, '[A-Za-z0-9]@[A-Za-z0-9]') THEN 'contact' WHEN tokens < 6 * ({fewer("chr(10)")} + 1) THEN 'list' WHEN tokens < 100 THEN 'note' ELSE 'prose' END"""
+    known = lambda x: f"coalesce('=' || {x}, '')"
+    goals = ", ".join(f"g_{x}" for x in dims)
     steps = [
-        f"d AS (SELECT doc_id, coalesce(source, '∅') AS source, coalesce(lang, '∅') AS lang, {topic} AS topic, len({_WORDS}) AS tokens FROM documents)",
+        f"d AS (SELECT doc_id, {known('source')} AS source, {known('lang')} AS lang, '=' || {topic} AS topic, tokens FROM (SELECT *, coalesce(text, '') AS body, len({_WORDS}) AS tokens FROM documents))",
         "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
-        "r0 AS (SELECT *, tokens AS raked FROM c WHERE tokens > 0)",
+        "r0 AS (SELECT * FROM c WHERE tokens > 0)",
+        "total AS (SELECT sum(tokens) AS total FROM r0)",
     ]
     for x in dims:
-        steps.append(f"t_{x} AS (SELECT {x}, pow(sum(tokens), {alpha[x]}) / sum(pow(sum(tokens), {alpha[x]})) OVER () * sum(sum(tokens)) OVER () AS t_{x} FROM r0 GROUP BY {x})")
-    k = 0
-    for _ in range(sweeps):
-        for x in dims:
-            steps.append(f"r{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, raked * t_{x} / sum(raked) OVER (PARTITION BY {x}) AS raked FROM r{k} JOIN t_{x} USING ({x}))")
-            k += 1
-    steps.append(f"p AS (SELECT source, lang, topic, raked / tokens / max(raked / tokens) OVER () AS probability FROM r{k} UNION ALL SELECT source, lang, topic, 1.0 FROM c WHERE tokens = 0)")
+        steps.append(f"t_{x} AS (SELECT {x}, w / sum(w) OVER () * total AS g_{x} FROM (SELECT {x}, pow(sum(tokens) / any_value(total), {alpha[x]}) AS w, any_value(total) AS total FROM r0, total GROUP BY {x}))")
+    inner = f"SELECT * FROM r WHERE error > {tolerance!r} AND (k < {settled} OR error <= {gain} * before) AND k < {sweeps}"
+    inner = f"SELECT * REPLACE (k + 1 AS k, error AS before, 0.0::DOUBLE AS error) FROM ({inner})"
+    for x in dims:
+        inner = f"SELECT * EXCLUDE own REPLACE (raked * g_{x} / own AS raked, greatest(error, abs(own - g_{x}) / g_{x}) AS error) FROM (SELECT *, sum(raked) OVER (PARTITION BY {x}) AS own FROM ({inner}))"
+    steps.append(f"r AS (SELECT 0 AS k, source, lang, topic, tokens, {goals}, tokens AS raked, 'inf'::DOUBLE AS error, 'inf'::DOUBLE AS before FROM r0 {' '.join(f'JOIN t_{x} USING ({x})' for x in dims)} UNION ALL SELECT * REPLACE (max(error) OVER () AS error) FROM ({inner}))")
+    steps.append("p AS (SELECT source, lang, topic, raked / tokens / max(raked / tokens) OVER () AS probability FROM r WHERE k = (SELECT max(k) FROM r) UNION ALL SELECT source, lang, topic, 1.0 FROM c WHERE tokens = 0)")
     draw = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0"
-    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, round(probability, 9) AS probability FROM d JOIN p USING (source, lang, topic) WHERE {draw} < probability"
+    shown = ", ".join(f"CASE WHEN {x} <> '' THEN substr({x}, 2) END AS {x}" for x in dims)
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT doc_id, {shown}, round(probability, 9) AS probability FROM d JOIN p USING (source, lang, topic) WHERE {draw} < probability"
 
 
-ORACLE["op6_mixing"] = _mixing({"source": 0.7, "lang": 1.0, "topic": 1.0}, 12)
+ORACLE["op6_mixing"] = _mixing({"source": 0.7, "lang": 1.0, "topic": 1.0}, 60, 1e-9, 8, 0.99)
 
 _BASE32 = "[" + ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, {5 * (k // 4) + 1}, 5))::BIGINT >> {15 - 5 * (k % 4)} & 31)::INT + 1, 1)" for k in range(32)) + "]"
 
