@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import _text
 
 BROADCAST_ROWS = 1_000_000  # of a few integers each, so about 32 MB as a hash table
+HOT, HOT_ROWS = 100_000, 500
 
 
 def quoted(name: str) -> Column:
@@ -83,11 +84,35 @@ def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(pieces: DataFrame, per_task: int) -> int:
+    """Into how many tasks to deal few rows of large work: each its own up to four for each core, beyond that ``per_task`` together."""
+    n, cores = pieces.count(), pieces.sparkSession.sparkContext.defaultParallelism
+    return max(min(n, 4 * cores), n // per_task, 1)
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small``, marked for broadcast if its rows are counted and few; otherwise as it is, for a shuffled join."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def join_spread(rows: DataFrame, known: DataFrame, key: str, size: str = "n") -> DataFrame:
+    """``rows`` with what ``known`` says of their key: a row for each key, ``size`` of which counts the key's rows and goes.
+
+    Keys with more than one in ``HOT`` of the rows, fewer than ``HOT`` therefore, are sent to the rows, so that a key's
+    rows never meet in one task; the others are joined by a shuffle.
+    """
+    total = known.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(total // HOT, HOT_ROWS)
+    few, rest = known.where(hot).drop(size), known.where(~hot).drop(size)
+    plain = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)  # fewer than HOT rows
+    return plain.unionByName(rows.join(F.broadcast(few), key))  # fewer than HOT rows
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns called c0, c1 and so on, for operators that add columns of their own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
     """``rows`` whose key isn't in ``gone``; the rows stay where they are as long as ``gone`` is small enough to send round."""
     return rows.join(bounded(gone), rows[key] == gone[gone_key], "left_anti")

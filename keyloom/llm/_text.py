@@ -93,7 +93,7 @@ def _first(of: np.ndarray, data: np.ndarray, at: int, stop: int) -> int:
     return stop
 
 
-def _cut_after(data: np.ndarray, at: int, stop: int) -> int:
+def cut_after(data: np.ndarray, at: int, stop: int) -> int:
     """The first place from ``at`` on where a word begins behind white space, or ``stop``."""
     return _first(~SPACE, data, _first(SPACE, data, at - 1, stop), stop)
 
@@ -108,7 +108,7 @@ def word_pieces(column: pa.Array | pa.ChunkedArray, back: int = 0, size: int | N
     data, offsets = column_bytes(column)
     for a, b in pieces(offsets, size):
         at, stop = int(offsets[a]), int(offsets[b])
-        end = _cut_after(data, at + size, stop) if stop - at > size else stop
+        end = cut_after(data, at + size, stop) if stop - at > size else stop
         if end == stop:
             yield a, b, split_words(data[at:stop], offsets[a : b + 1] - at), True, True
             continue
@@ -124,7 +124,7 @@ def word_pieces(column: pa.Array | pa.ChunkedArray, back: int = 0, size: int | N
                 at += int(starts[-back]) if len(starts) >= back else 0
             else:
                 at = end
-            opens, end = False, _cut_after(data, min(end + size, stop), stop)
+            opens, end = False, cut_after(data, min(end + size, stop), stop)
 
 
 def release() -> None:

@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import _text
-from keyloom.llm._shared import cut
+from keyloom.llm._shared import bounded, quoted, with_made
 
 NAMES = ["words", "word_length", "word_length_spread", "upper", "digit", "mark", "symbol", "bar", "doubled_mark", "line_words", "short_lines", "distinct_words", "distinct_pairs", "repeated_lines", "sentence_ends", "wide"]
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05  # shrinkage
+SAMPLE = 500_000  # labelled rows to learn from, about, at most
+LONG = 4 << 20  # bytes of a text from which its statistics are gathered window by window
 THRESHOLD = 0.3  # score from which a text counts as good
 
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 _CLASS = np.zeros((256, 7), bool)
 _CLASS[65:91, 0] = True  # upper-case letters
 _CLASS[48:58, 1] = True  # digits
@@ -39,7 +42,8 @@ def features(column: pa.Array) -> np.ndarray:
     data, offsets = _text.column_bytes(column)
     out = np.zeros((len(offsets) - 1, len(NAMES)))
     for a, b in _text.pieces(offsets):
-        out[a:b] = _piece(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own = data[offsets[a] : offsets[b]]
+        out[a:b] = _piece(own, offsets[a : b + 1] - offsets[a]) if len(own) <= LONG else _long(own)
     return out
 
 
@@ -58,44 +62,89 @@ def _distinct(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(own[new], minlength=n).astype(np.float64)
 
 
+def _merged(known: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([known, new]))
+
+
+def _long(data: np.ndarray, size: int = _text.PIECE) -> np.ndarray:
+    """The statistics of one long text, in windows: beside them only the hashes of its different words, pairs and lines are held."""
+    share, doubled, solid, sums = np.zeros(7), 0, 0, np.zeros(3)
+    seen = {k: np.zeros(0, np.uint64) for k in ("words", "pairs", "lines")}
+    lines, short, begin, last = 0, 0, 0, np.zeros(0, np.uint64)
+    at, stop = 0, len(data)
+    while at < stop:
+        end = _text.cut_after(data, min(at + size, stop), stop)
+        own = data[at:end]
+        share += [np.count_nonzero(_CLASS[own, k]) for k in range(7)]
+        solid += np.count_nonzero(~_text.SPACE[own])
+        doubled += np.count_nonzero((own[1:] == own[:-1]) & (_CLASS[own[1:], 2] | _CLASS[own[1:], 3]))
+        words = _text.split_words(own, np.array([0, len(own)]), lower=False)
+        sums += [len(words.lens), words.lens.sum(), (words.lens.astype(np.float64) ** 2).sum()]
+        h = _text.xxh64(words.buffer, words.starts, words.lens)
+        row = np.concatenate([last, h])
+        seen["words"], seen["pairs"] = _merged(seen["words"], h), _merged(seen["pairs"], row[:-1] * PAIR + row[1:])
+        last = row[-1:]
+        ends = np.flatnonzero(own == 10) + at + 1
+        ends = np.append(ends, stop) if end == stop and (not len(ends) or ends[-1] < stop) else ends
+        if len(ends):
+            starts = np.concatenate([[begin], ends[:-1]])
+            seen["lines"] = _merged(seen["lines"], _text.xxh64(data[begin : ends[-1]], starts - begin, ends - starts))
+            lines, short, begin = lines + len(ends), short + np.count_nonzero(ends - starts < 20), ends[-1]
+        at = end
+    one = lambda x: np.array([x], np.float64)
+    distinct = {k: one(len(v)) for k, v in seen.items()}
+    return _row(one(sums[0]), one(sums[1]), one(sums[2]), [one(x) for x in share], one(max(solid, 1)), one(doubled), one(lines), one(short), distinct)
+
+
+def _row(many: np.ndarray, letters: np.ndarray, squares: np.ndarray, share: list[np.ndarray], solid: np.ndarray, doubled: np.ndarray, lines: np.ndarray, short: np.ndarray, distinct: dict[str, np.ndarray]) -> np.ndarray:
+    """Statistics, transformed, from each text's counts."""
+    some, rows = np.maximum(many, 1), np.maximum(lines, 1)
+    mean = letters / some
+    out = [
+        np.log1p(many),
+        np.log1p(mean),
+        np.log1p(np.sqrt(np.maximum(squares / some - mean**2, 0))),
+        *(np.sqrt(share[k] / solid) for k in range(5)),
+        np.sqrt(doubled / solid),
+        np.log1p(many / rows),
+        np.sqrt(short / rows),
+        distinct["words"] / some,
+        distinct["pairs"] / np.maximum(many - 1, 1),
+        np.sqrt(np.maximum(1 - distinct["lines"] / rows, 0)) * (lines > 0),
+        np.sqrt(share[5] / some),
+        np.sqrt(share[6] / solid),
+    ]
+    return np.stack(out, axis=1) * (many > 0)[:, None]
+
+
 def _piece(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     words = _text.split_words(data, offsets, lower=False)
-    many = np.diff(words.first).astype(np.float64)
-    some = np.maximum(many, 1)
-    share = [_sums(_CLASS[data, k], offsets) for k in range(7)]
-    solid = np.maximum(_sums(~_text.SPACE[data], offsets), 1)
-    mean = _sums(words.lens, words.first) / some
-    spread = np.sqrt(np.maximum(_sums(words.lens.astype(np.float64) ** 2, words.first) / some - mean**2, 0))
+    many = np.diff(words.first)
     doubled = np.zeros(len(data), bool)
     if len(data) > 1:
         doubled[1:] = (data[1:] == data[:-1]) & (_CLASS[data[1:], 2] | _CLASS[data[1:], 3])
-    owner = np.repeat(np.arange(n), np.diff(words.first))
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        doubled[inner] = False
+    owner = np.repeat(np.arange(n), many)
     h = _text.xxh64(words.buffer, words.starts, words.lens)
-    pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     inside = owner[1:] == owner[:-1]
     ends = np.flatnonzero(data == 10) + 1
     edge = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], ends[~np.isin(ends, offsets)]]))
     stop = np.append(edge[1:], len(data))
     line_owner = np.searchsorted(offsets, edge, "right") - 1
-    lines = np.bincount(line_owner, minlength=n).astype(np.float64)
-    line_hash = _text.xxh64(data, edge, stop - edge)
-    rows = np.maximum(lines, 1)
-    out = [
-        np.log1p(many),
-        np.log1p(mean),
-        np.log1p(spread),
-        *(np.sqrt(share[k] / solid) for k in range(5)),
-        np.sqrt(_sums(doubled, offsets) / solid),
-        np.log1p(many / rows),
-        np.sqrt(np.bincount(line_owner[stop - edge < 20], minlength=n) / rows),
-        _distinct(h, owner, n) / some,
-        _distinct(pair[inside], owner[1:][inside], n) / np.maximum(many - 1, 1),
-        np.sqrt(1 - _distinct(line_hash, line_owner, n) / rows) * (lines > 0),
-        np.sqrt(share[5] / some),
-        np.sqrt(share[6] / solid),
-    ]
-    return np.stack(out, axis=1) * (many > 0)[:, None]
+    distinct = {"words": _distinct(h, owner, n), "pairs": _distinct((h[:-1] * PAIR + h[1:])[inside], owner[1:][inside], n), "lines": _distinct(_text.xxh64(data, edge, stop - edge), line_owner, n)}
+    return _row(
+        many.astype(np.float64),
+        _sums(words.lens, words.first),
+        _sums(words.lens.astype(np.float64) ** 2, words.first),
+        [_sums(_CLASS[data, k], offsets) for k in range(7)],
+        np.maximum(_sums(~_text.SPACE[data], offsets), 1),
+        _sums(doubled, offsets),
+        np.bincount(line_owner, minlength=n).astype(np.float64),
+        np.bincount(line_owner[stop - edge < 20], minlength=n),
+        distinct,
+    )
 
 
 @dataclass
@@ -134,41 +183,28 @@ def fit(n: np.ndarray, total: np.ndarray, square: np.ndarray, to_pooled: float =
     return Model(mean, factor, log_det, np.log(share))
 
 
-def _with_arrow(docs: DataFrame, text: str, add: list[tuple[str, str]], make) -> DataFrame:
-    """``docs`` with columns that ``make`` computes from the text column; a column of such a name is replaced."""
-    kept = [c for c in docs.columns if c not in [a for a, _ in add]]
-    names = [*kept, *[a for a, _ in add]]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(t).alias(a) for a, t in add]).schema
-    at = kept.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], names=names)
-
-    return chosen.mapInArrow(run, schema)
-
-
 def _vectors(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.reshape(-1))
 
 
 def with_features(docs: DataFrame, text: str = "text", name: str = "features") -> DataFrame:
-    return _with_arrow(docs, text, [(name, "array<double>")], lambda c: [_vectors(features(c))])
+    """``docs`` with the statistics of each text; null texts count as empty."""
+    return with_made(docs, text, {name: "array<double>"}, lambda: lambda c: [_vectors(features(c))])
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of each text, 0 to 1, higher for likelier good ones; null texts are scored as empty."""
-    return _with_arrow(docs, text, [(name, "double")], lambda c: [pa.array(model.score(features(c)))])
+    """``docs`` with the score of each text, 0 to 1, higher for likelier good ones; null texts are scored as empty.
+
+    Rows come back as they are, repeated ones and null keys too, other columns whatever their names; one called ``name``,
+    in any case of letters, is replaced.  An empty table gives an empty result.
+    """
+    return with_made(docs, text, {name: "double"}, lambda: lambda c: [pa.array(model.score(features(c)))])
 
 
 def with_scores_of(ready: DataFrame, model: Model, features: str = "features", name: str = "score") -> DataFrame:
     """As ``with_scores``, from features that are there already and are dropped."""
-
-    def make(c: pa.Array) -> list[pa.Array]:
-        return [pa.array(model.score(np.array(c.flatten().to_numpy()).reshape(-1, len(NAMES))))]
-
-    return _with_arrow(ready, features, [(name, "double")], make).drop(features)
+    make = lambda c: [pa.array(model.score(np.array(c.flatten().to_numpy()).reshape(-1, len(NAMES))))]
+    return with_made(ready, features, {name: "double"}, lambda: make, keep=False)
 
 
 def train(labelled: DataFrame, features: str = "features", label: str = "label") -> Model:
@@ -195,13 +231,26 @@ def train(labelled: DataFrame, features: str = "features", label: str = "label")
     return fit(sums[:2], sums[2 : 2 + 2 * d].reshape(2, d), sums[2 + 2 * d :].reshape(2, d, d))
 
 
-def learn(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", label: str = "quality") -> Model:
-    """Fit on the documents for which ``use`` (of the key) holds, joined with their labels on the key."""
-    own = labels.select(F.col(key).alias("label_id"), F.col(label).alias("label")).where(F.col("label").isNotNull())
-    rows = docs.where(use).select(F.col(key).alias("id"), "features")
-    return train(rows.join(own, F.col("id") == F.col("label_id")))
+def chosen_labels(labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
+    """(label_key, label): labels of 0 or 1, all of them or, where there are more than ``sample``, about so many by a hash of the key."""
+    own = labels.select(quoted(key).alias("label_key"), quoted(label).cast("int").alias("label")).where("label in (0, 1) and label_key is not null")
+    n = own.count()
+    share = F.pmod(F.xxhash64("label_key", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * sample / n) if n > sample else F.lit(True)
+    return bounded(own.where(share))
+
+
+def learn(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fit on the documents, with ``features``, for which ``use`` (of the key) holds, joined with their labels on the key.
+
+    A document with several labels counts with each, repeated documents each time; labels of null or of other numbers, and
+    those without a document, have no say.
+    """
+    rows = docs.where(use).select(quoted(key).alias("key"), "features")
+    return train(rows.join(chosen_labels(labels, key, label, sample), F.col("key") == F.col("label_key")).select("features", "label"))
 
 
-def learn_from_texts(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    ready = cut(with_features(docs.where(use).select(F.col(key), F.col(text).alias("text"))).drop("text"), "features")
-    return learn(ready, labels, F.lit(True), key, label)
+def learn_from_texts(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
+    """As ``learn``, from texts: only those that have a chosen label are looked through."""
+    rows = docs.where(use).select(quoted(key).alias("key"), quoted(text).alias("text"))
+    rows = rows.join(chosen_labels(labels, key, label, sample), F.col("key") == F.col("label_key")).select("text", "label")
+    return train(with_features(rows).drop("text"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from keyloom.llm import _text
+from keyloom.llm import _shared, _text
 from keyloom.llm.components import connected_components
 
 
@@ -76,3 +76,23 @@ def test_components(spark, shape):
     rows = [*edges, *edges[:3], (None, 1)]
     got = connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i, i % 7 if i < 60 else 3) for i in range(200)] + [(500, None)], "id long, k long")
+    known = rows.where("k is not null").groupBy("k").count().selectExpr("k", "k * 10 as v", "count as n").where("k <> 6")
+    got = sorted((r["id"], r["k"], r["v"]) for r in _shared.join_spread(rows, known, "k").collect())
+    assert got == [(i, k, k * 10) for i in range(200) if (k := i % 7 if i < 60 else 3) != 6]
+
+
+def test_a_cluster_needs_its_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _shared.shared_dir(Session)
