@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import cut, remove
+from keyloom.llm._shared import cut, join_spread, remove
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         k += 1
     if labels is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    out = cut(labels.join(least, "label").select("node", "component"), "components")
+    least = cut(labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")), "least", used)
+    out = cut(join_spread(labels, least, "label").select("node", "component"), "components")
     for path in used:
         remove(spark, path)
     return out

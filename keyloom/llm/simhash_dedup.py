@@ -5,11 +5,15 @@ A text's fingerprint is the 64-bit SimHash of its word shingles.  Two fingerprin
 non-zero vector m(i) of RADIUS + 1 bits, and table v keeps bit i when the parity of m(i) & v is odd.  The bits in which
 a pair differs span at most RADIUS dimensions, so some v is orthogonal to all of them, and in that table the pair shares
 its key.  No pair within the radius is missed.
+
+Near copies by the similarity of five-word shingles are found otherwise, as no radius of such fingerprints holds them all
+without holding half of the corpus: by MinHash bands, whose families are then compared by exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -19,16 +23,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.llm import _text
-from keyloom.llm._shared import bounded, cut, without
+from keyloom.llm._shared import bounded, carried, cut, join_spread, quoted, with_made, without
 from keyloom.llm.components import connected_components
 
 WIDTH = 3  # words in a shingle
 RADIUS = 3  # bits in which linked fingerprints may differ
-SIMILAR_RADIUS = 4  # bits in which word fingerprints of similar texts may differ, as the tests estimate it
 SIMILARITY = 0.8  # share of common five-word shingles from which texts count as near copies
-SLACK = 0.03  # below it that a sketch's estimate may lie, about its standard error there
 WORDS = 5  # words in a shingle of that share
-BINS = 256  # of a text's sketch
 BANDS, ROWS = 40, 6  # MinHash bands of a text and the values in each: a similarity of 0.8 shares none 5 times in a million
 FACTORS = np.random.default_rng(5).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
@@ -36,20 +37,16 @@ BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cu
 
 def simhash(column: pa.Array, width: int = WIDTH) -> np.ndarray:
     """SimHash of every text of a string column, as unsigned 64-bit integers; 0 for texts without words or null."""
-    data, offsets = _text.column_bytes(column)
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    for a, b in _text.pieces(offsets):
-        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        starts, lens, cum = _text.shingle_spans(words, width)
-        counts = np.zeros((b - a, 64), np.int64)
+    counts, many = np.zeros((len(column), 64), np.int64), np.zeros(len(column), np.int64)
+    for a, b, words, _, closes in _text.word_pieces(column, width - 1):
+        starts, lens, cum = _text.shingle_spans(words, width, closes)
+        many[a:b] += np.diff(cum)
         for at in range(0, len(starts), _text.SHINGLES):
             to = min(at + _text.SHINGLES, len(starts))
             h = _text.xxh64(words.buffer, starts[at:to], lens[at:to], 42)
-            own = np.clip(cum, at, to) - at
-            counts += _bit_counts(h, own)
-        ones = (counts * 2 > np.diff(cum)[:, None]).astype(np.uint64)
-        out[a:b] = (ones << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return out
+            counts[a:b] += _bit_counts(h, np.clip(cum, at, to) - at)
+    ones = (counts * 2 > many[:, None]).astype(np.uint64)
+    return (ones << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def _bit_counts(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
@@ -72,16 +69,7 @@ def _bit_counts(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` without the text, and its fingerprint as a signed 64-bit ``fp``."""
-    kept = [c for c in docs.columns if c not in (text, "fp")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = pa.array(simhash(batch.column(len(kept)), width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fp], names=[*kept, "fp"])
-
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("fp")).schema
-    return chosen.mapInArrow(run, schema)
+    return with_made(docs, text, {"fp": "long"}, lambda: lambda c: [pa.array(simhash(c, width).view(np.int64))], keep=False)
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -129,33 +117,30 @@ def spanning_forest(fp: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp) of ``docs``, and per fingerprint (fp, root, component_id); root names a component even without keys."""
-    rows = cut(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", width), "fingerprints")
-    named = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    """Rows (id, fp) of ``docs``, and per fingerprint (fp, root, component_id, n rows); root names a component even without keys."""
+    rows = cut(fingerprints(docs.select(quoted(key).alias("id"), quoted(text).alias("text")), "text", width), "fingerprints")
+    named = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     linked = connected_components(fingerprint_links(named.select("fp"), radius)).toDF("fp", "component")
-    root = F.coalesce("component", "fp")
-    classes = cut(named.join(linked, "fp", "left").select("fp", "least", root.alias("root")), "classes")
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, classes.join(ids, "root").select("fp", "root", "component_id")
+    return rows, _named(named.join(linked, "fp", "left").withColumn("root", F.coalesce("component", "fp")))
 
 
-def _hashes(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of ranges a to b of texts, the hashes of all their shingles and the b - a + 1 offsets into them."""
-    data, offsets = _text.column_bytes(column)
-    for a, b in _text.pieces(offsets):
-        words = _text.split_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        starts, lens, cum = _text.shingle_spans(words, width)
-        at = range(0, len(starts), _text.SHINGLES)
-        parts = [_text.xxh64(words.buffer, starts[k : k + _text.SHINGLES], lens[k : k + _text.SHINGLES], 42) for k in at]
-        yield a, b, np.concatenate([np.zeros(0, np.uint64), *parts]), cum
+def _named(nodes: DataFrame) -> DataFrame:
+    """(fp, root, component_id, n) of nodes (fp, root, least, n): the least key of all the root's nodes."""
+    classes = cut(nodes.select("fp", "least", "n", "root"), "classes")
+    ids = cut(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "roots")
+    return cut(join_spread(classes, ids, "root", "nodes").select("fp", "root", "component_id", "n"), "groups")
 
 
-def _sketch(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
-    n = len(cum) - 1
-    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, np.repeat(np.arange(n), np.diff(cum)) * BINS + (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(8))
-    code = (least % np.uint64(15) + np.uint64(1)).astype(np.uint8)
-    return np.where(least == np.iinfo(np.uint64).max, np.uint8(0), code).reshape(n, BINS)
+def _hashes(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of ranges a to b of texts, the hashes of all their shingles and the b - a + 1 offsets into them.  Those of a long text come at once."""
+    held = []
+    for a, b, words, _, closes in _text.word_pieces(column, width - 1):
+        starts, lens, cum = _text.shingle_spans(words, width, closes)
+        at = range(0, len(starts), _text.SHINGLES)
+        held += [_text.xxh64(words.buffer, starts[k : k + _text.SHINGLES], lens[k : k + _text.SHINGLES], 42) for k in at]
+        if closes:
+            h, held = np.concatenate([np.zeros(0, np.uint64), *held]), []
+            yield a, b, h, cum if b - a > 1 else np.array([0, len(h)])
 
 
 def _bands(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
@@ -170,60 +155,30 @@ def _bands(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every text the SimHash of its single words, a one-permutation MinHash sketch of its shingles, and its bands.
+def with_shingles(docs: DataFrame, text: str = "text", width: int = WORDS, only: tuple[str, ...] = ("bands", "shingles")) -> DataFrame:
+    """``docs`` without the text, with the columns ``only`` and node: a hash of all shingles, equal for copies whatever their case and white space.
 
-    A sketch has a number for each of ``BINS`` bins: 0 if no shingle falls in it, otherwise 1 to 15 by the least hash that
-    does.  A band is a hash of ``ROWS`` MinHash values, each by an order of its own, and of the band's number: texts of a
-    similarity s share it with probability s ** ROWS, whatever their length.
+    A band is a hash of ``ROWS`` MinHash values, each by an order of its own, and of the band's number: texts of a
+    similarity s share it with probability s ** ROWS, whatever their length; bands are null without shingles.  Shingles
+    are the different hashes in ascending order, eight bytes each.
     """
-    out, bands = np.zeros((len(column), BINS), np.uint8), np.zeros((len(column), BANDS), np.int64)
-    for a, b, h, cum in _hashes(column, width):
-        out[a:b], bands[a:b] = _sketch(h, cum), _bands(h, cum)
-    return simhash(column, 1), out, bands
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches: equal bins among those not empty in both, less chance agreement; texts without shingles equal each other."""
-    filled = ((a > 0) | (b > 0)).sum(axis=1)
-    equal = ((a == b) & (a > 0)).sum(axis=1)
-    share = (equal / np.maximum(filled, 1) - 1 / 15) / (1 - 1 / 15)
-    return np.where(filled == 0, 1.0, share)
+    made = {c: {"bands": "array<long>", "shingles": "binary"}[c] for c in only} | {"node": "long"}
 
+    def make(column: pa.Array) -> list[pa.Array]:
+        node = np.zeros(len(column), np.uint64)
+        out: dict[str, list] = {c: [] for c in only}
+        for a, b, h, cum in _hashes(column, width):
+            full = np.flatnonzero(np.diff(cum))
+            if len(full):
+                node[a + full] = np.add.reduceat(h, cum[:-1][full])
+            if "bands" in out:
+                out["bands"] += [x if n else None for x, n in zip(_bands(h, cum), np.diff(cum), strict=True)]
+            if "shingles" in out:
+                out["shingles"] += [np.unique(h[x:y]).tobytes() for x, y in pairwise(cum)]
+        types = {"bands": pa.list_(pa.int64()), "shingles": pa.binary()}
+        return [*[pa.array(out[c], types[c]) for c in only], pa.array(node.view(np.int64))]
 
-def with_sketches(docs: DataFrame, text: str = "text", width: int = WORDS, only: tuple[str, ...] = ("fp", "sketch", "bands", "shingles")) -> DataFrame:
-    """``docs`` without the text, with the columns ``only`` and node: a hash of all shingles, equal for copies whatever their case and white space.
-
-    fp, sketch (two bins a byte) and bands are those of ``sketches``, bands null without shingles; shingles are the
-    different hashes in ascending order, eight bytes each.
-    """
-    kept = [c for c in docs.columns if c not in (text, "fp", "sketch", "bands", "shingles", "node")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(kept))
-            node = np.zeros(len(column), np.uint64)
-            made: dict[str, list] = {c: [] for c in only}
-            for a, b, h, cum in _hashes(column, width):
-                full = np.flatnonzero(np.diff(cum))
-                if len(full):
-                    node[a + full] = np.add.reduceat(h, cum[:-1][full])
-                if "sketch" in made:
-                    made["sketch"] += [x.tobytes() for x in (lambda s: s[:, ::2] << 4 | s[:, 1::2])(_sketch(h, cum))]
-                if "bands" in made:
-                    made["bands"] += [x if n else None for x, n in zip(_bands(h, cum), np.diff(cum), strict=True)]
-                if "shingles" in made:
-                    made["shingles"] += [np.unique(h[x:y]).tobytes() for x, y in zip(cum[:-1], cum[1:], strict=True)]
-            if "fp" in made:
-                made["fp"] = simhash(column, 1).view(np.int64)
-            types = {"fp": pa.int64(), "sketch": pa.binary(), "shingles": pa.binary(), "bands": pa.list_(pa.int64())}
-            columns = [*batch.columns[: len(kept)], *[pa.array(made[c], types[c]) for c in only], pa.array(node.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *only, "node"])
-
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    types = {"fp": "long", "sketch": "binary", "shingles": "binary", "bands": "array<long>"}
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(types[c]).alias(c) for c in only], F.lit(None).cast("long").alias("node")).schema
-    return chosen.mapInArrow(run, schema)
+    return with_made(docs, text, made, lambda: make, keep=False)
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
@@ -274,7 +229,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float
     else:
         wanted = cut(nodes.join(family, "node").where("least is not null").select(F.col("least").alias("wanted")).distinct(), "wanted")
         texts = docs.join(bounded(wanted), docs["id"] == F.col("wanted"), "left_semi").unionByName(docs.where("id is null"))
-        sets = with_sketches(texts.select("text"), only=("shingles",)).dropDuplicates(["node"])
+        sets = with_shingles(texts.select("text"), only=("shingles",)).dropDuplicates(["node"])
     met = dealt.join(sets, "node").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     met = met.select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node", "shingles")
 
@@ -291,44 +246,44 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Null and empty texts have fingerprint zero and link like any other.  Null keys form part of a component without
     naming it (a component of null keys only has a null id).  Repeated rows come back as often as they went in; an
-    empty table gives an empty result; further columns are ignored, whatever their names.
+    empty table gives an empty result; further columns are ignored, whatever their names.  Long texts are read in windows.
     """
     rows, classes = _classes(docs, key, text, width, radius)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes.drop("root"), "fp").select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
+    return join_spread(rows, classes.drop("root"), "fp").select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
 def _similar_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """As ``_classes``, by similarity: ``fp`` is the node there."""
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = cut(with_sketches(texts, only=("bands",)), "bands")
-    named = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    texts = docs.select(quoted(key).alias("id"), quoted(text).alias("text"))
+    rows = cut(with_shingles(texts, only=("bands",)), "bands")
+    named = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
     linked = connected_components(similar_links(named, texts)).toDF("node", "component")
-    classes = cut(named.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "classes")
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", F.col("node").alias("fp")), classes.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    nodes = named.join(linked, "node", "left").select(F.col("node").alias("fp"), "least", "n", F.coalesce("component", "node").alias("root"))
+    return rows.select("id", F.col("node").alias("fp")), _named(nodes)
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS, similar: bool = False) -> DataFrame:
-    """``docs``, all columns, with one row of each near-duplicate group: the one with the smallest key.
+    """``docs``, all columns whatever their names, with one row of each near-duplicate group: the one with the smallest key.
 
     Groups are those of ``simhash_groups``, or with ``similar`` of texts whose five-word shingles agree to ``SIMILARITY``:
     MinHash bands find the families and exact similarity of shingles links within them.
 
     Rows whose key is null or repeated are told apart by their fingerprint: of those that tie for their group's place
-    the one with the smallest text stays; a null key has its place only in a group of null keys.
+    the one with the smallest text stays; a null key has its place only in a group of null keys.  Null and empty texts are
+    copies of each other, and an empty table gives an empty result.
     """
     rows, classes = _similar_classes(docs, key, text) if similar else _classes(docs, key, text, width, radius)
-    classes = cut(classes, "groups")
-    repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
-    repeated = cut(repeated, "repeated")
-    placed = rows.join(classes, "fp").select("id", "component_id")
+    own = carried(docs)
+    key_at, text_at = (f"c{docs.columns.index(c)}" for c in (key, text))
+    repeated = cut(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
+    placed = join_spread(rows, classes.drop("root"), "fp").select("id", "component_id")
     gone = placed.where("id <> component_id").select("id").union(repeated).distinct()
     gone = cut(gone.toDF("gone_id"), "gone")
-    kept = without(docs.where(F.col(key).isNotNull()), gone, key, "gone_id")
-    odd = docs.join(bounded(repeated.toDF("odd_id")), docs[key] == F.col("odd_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    told = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    marked = with_sketches(told, only=()).select("row", F.col("node").alias("fp")) if similar else fingerprints(told, "text", width)
-    tied = marked.join(classes, "fp").where(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))
-    place = W.partitionBy("root").orderBy(F.col(f"row.`{text}`").asc_nulls_first())
-    return kept.unionByName(tied.withColumn("place", F.row_number().over(place)).where("place = 1").select("row.*"))
+    kept = without(own.where(F.col(key_at).isNotNull()), gone, key_at, "gone_id")
+    odd = own.join(bounded(repeated.toDF("odd_id")), F.col(key_at) == F.col("odd_id"), "left_semi").unionByName(own.where(F.col(key_at).isNull()))
+    told = odd.withColumn("told", F.col(text_at))
+    marked = with_shingles(told, "told", only=()).withColumnRenamed("node", "fp") if similar else fingerprints(told, "told", width)
+    tied = marked.join(classes.drop("n"), "fp").where(F.col(key_at).eqNullSafe(F.col("component_id")))
+    first = tied.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy(F.col(text_at).asc_nulls_first()))).where("place = 1")
+    return kept.unionByName(first.select(*own.columns)).toDF(*docs.columns)

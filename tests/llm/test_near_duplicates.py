@@ -85,9 +85,10 @@ def test_masks_cover_every_pair_within_the_radius():
 
 def test_representatives_of_odd_rows(spark):
     rows = [(5, "same text here now"), (5, "same text here now"), (3, "same text here now"), (None, "same text here now"), (None, "lonely null words stand"), (None, "lonely null words stand"), (9, "repeated key of its own"), (9, "repeated key of its own"), (7, None), (8, "")]
-    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, root string")
+    docs = spark.createDataFrame([(i, t, *"klmnopqrs") for i, t in rows], "doc_id long, text string, root string, odd_id string, gone_id string, fp string, told string, place string, c0 string, node string, `a.b` string")
     kept = simhash_dedup.keep_representatives(docs)
     assert kept.columns == docs.columns
+    assert sorted(map(str, simhash_dedup.keep_representatives(docs, similar=True).collect())) == sorted(map(str, kept.collect()))
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect())
     assert got == [("3", "same text here now"), ("7", "None"), ("9", "repeated key of its own"), ("None", "lonely null words stand")]
     assert simhash_dedup.simhash_groups(docs).count() == len(rows)
@@ -158,21 +159,9 @@ def test_similar_texts(spark):
     assert simhash_dedup.keep_representatives(docs.limit(0), similar=True).count() == 0
 
 
-def test_sketches_estimate_similarity():
-    rng = random.Random(8)
-    import pyarrow as pa
-
-    for share in (0.0, 0.3, 0.8, 1.0):
-        w = [f"a{rng.randrange(10**6)}" for _ in range(1500)]
-        v = w[: int(len(w) * share)] + [f"b{rng.randrange(10**6)}" for _ in range(len(w) - int(len(w) * share))]
-        _, s, _ = simhash_dedup.sketches(pa.array([" ".join(w), " ".join(v)]))
-        true = share / (2 - share)
-        assert abs(simhash_dedup.similarity(s[:1], s[1:])[0] - true) < 0.1
-
-
 @pytest.mark.parametrize("block", [4, 20, 512])
 def test_large_keys_lose_no_similar_pair(spark, block):
-    """Texts in which one word prevails share a fingerprint: dealt by bands and blocks they link as by brute force."""
+    """Texts in which one word prevails share a word fingerprint: dealt by bands and blocks they link as by brute force."""
     rng = random.Random(9)
     texts = []
     for k in range(12):
@@ -181,18 +170,14 @@ def test_large_keys_lose_no_similar_pair(spark, block):
             v = list(w)
             v[2 * rng.randrange(60)] = f"c{rng.randrange(10**5)}"
             texts.append(" ".join(v))
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    nodes = simhash_dedup.with_sketches(docs).cache()
-    got = nodes.drop("id", "text").distinct()
-    links = {(r["src"], r["dst"]) for r in simhash_dedup.similar_links(got, block=block).collect()}
-    rows = sorted((r["id"], r["node"], r["fp"], r["sketch"]) for r in nodes.collect())
-    packed = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
-    sketch = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(rows), -1)
-    near = lambda i, j: (rows[i][2] ^ rows[j][2]).bit_count() <= simhash_dedup.SIMILAR_RADIUS and simhash_dedup.similarity(sketch[i : i + 1], sketch[j : j + 1])[0] >= simhash_dedup.SIMILARITY - simhash_dedup.SLACK
-    linked = lambda i, j: rows[i][1] == rows[j][1] or (rows[i][1], rows[j][1]) in links or (rows[j][1], rows[i][1]) in links
-    n = list(range(len(rows)))
-    assert groups(n, linked) == groups(n, near)
-    assert len(set(groups(n, near))) >= 12
+    nodes = simhash_dedup.with_shingles(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).cache()
+    node = {r["id"]: r["node"] for r in nodes.select("id", "node").collect()}
+    links = {(r["src"], r["dst"]) for r in simhash_dedup.similar_links(nodes.drop("id").dropDuplicates(["node"]), block=block).collect()}
+    sets = [shingles(t) for t in texts]
+    n = list(range(len(texts)))
+    linked = lambda i, j: node[i] == node[j] or (node[i], node[j]) in links or (node[j], node[i]) in links
+    want = groups(n, lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    assert groups(n, linked) == want and len(set(want)) >= 12
 
 
 def shingles(t):
@@ -233,7 +218,7 @@ def test_similar_pairs_share_a_band_at_any_length(spark):
     assert len(pairs) >= 200
     assert {n for n, *_ in pairs} == {12, 20, 40, 80, 300, 1000}
     docs = spark.createDataFrame([(2 * i + k, t) for i, (_, *both) in enumerate(pairs) for k, t in enumerate(both)], "id long, text string")
-    nodes = simhash_dedup.with_sketches(docs, only=("bands",)).cache()
+    nodes = simhash_dedup.with_shingles(docs, only=("bands",)).cache()
     place = {r["id"]: r["node"] for r in nodes.collect()}
     family = {r["node"]: r["component"] for r in connected_components(simhash_dedup.band_links(nodes.distinct())).collect()}
     assert [n for i, (n, *_) in enumerate(pairs) if place[2 * i] != place[2 * i + 1] and family.get(place[2 * i], 0) != family.get(place[2 * i + 1], 1)] == []
@@ -259,7 +244,7 @@ def test_similar_links_are_exact(spark, block):
         texts += [" ".join([*w, *[f"x{rng.randrange(10**7)}" for _ in range(own)]]) for _ in range(60)]
     for low, high in ((0.76, 0.8), (0.8, 0.83)):
         texts += [t for _, *both in similar_pairs(rng, (30, 100, 400), low, high, 12) for t in both]
-    nodes = simhash_dedup.with_sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).cache()
+    nodes = simhash_dedup.with_shingles(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).cache()
     place = {r["node"]: r["id"] for r in nodes.select("node", "id").collect()}
     links = [(place[r["src"]], place[r["dst"]]) for r in simhash_dedup.similar_links(nodes.drop("id", "text"), block=block).collect()]
     sets = [shingles(t) for t in texts]
