@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import cut
+from keyloom.llm._shared import cut, join_spread, quoted
 from keyloom.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -113,9 +113,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     n_links counts the other rows linked directly, component_id is the smallest key reachable, kept marks the row that has
     it.  Vectors that cannot link (see ``usable``) stand alone, and only vectors of one length link.  Equal vectors are one
     class with a count, so copies are never compared.  Rows with null keys count, but name no component and are not kept.
+    Repeated rows link with each other, an empty table gives an empty result, and other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("embedding"), usable(F.col(embedding)).alias("fine"))
+    rows = vectors.select(quoted(key).alias("id"), quoted(embedding).alias("embedding"), usable(quoted(embedding)).alias("fine"))
     able = rows.where("fine")
     classes = able.groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "n", "least", "embedding"), "vectors")  # written once, so the numbers hold
@@ -131,9 +132,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     found = cut(found, "links")
     links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     linked = connected_components(found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))).toDF("id", "component")
-    named = cut(classes.join(links, "id", "left").join(linked, "id", "left").select("id", "n", "least", "embedding", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("root")), "named")
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "root").select("embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    done = able.select("id", "embedding").join(named, "embedding").select("id", "n_links", "component_id")
+    linked_to = classes.join(links, "id", "left").join(linked, "id", "left")
+    named = cut(linked_to.select("id", "n", "least", "embedding", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("root")), "named")
+    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "roots")
+    named = join_spread(named, roots, "root", "nodes").select("embedding", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    done = join_spread(able.select("id", "embedding"), cut(named, "classes"), "embedding").select("id", "n_links", "component_id")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return done.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
