@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.llm._shared import others, quoted
+
 GROUPS = 256  # groups within a shard whose rows are numbered apart
 
 
@@ -38,23 +40,35 @@ def jump_shard(key: Column, shards: int) -> Column:
     return shard(F.xxhash64(key))
 
 
+MADE = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
 def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
-    """``docs`` with size, text_crc32, law, shard, slot and grown_shard; columns of those names are replaced.
+    """``docs`` with size, text_crc32, law, shard, slot and grown_shard, in place of columns so called in any case of letters.
 
-    Slots number a shard's rows from 0 without gaps.  A shard is cut into ``groups`` by a hash of the key; rows are
-    numbered within a group by (key, checksum), behind the rows of the groups before it, so no task sorts a whole shard.
-    Size is the text's UTF-8 bytes (null: none) plus 1; null and empty texts have checksum 0.  Null keys share a shard.
+    Slots number a shard's rows from 0 without gaps.  A shard is cut into ``groups`` by a hash of the key and checksum;
+    rows are numbered within a group by (key, checksum), behind the rows of the groups before it, so no task sorts a whole
+    shard.  Size is the text's UTF-8 bytes (null: none) plus 1; null and empty texts have checksum 0.  Null keys share a
+    shard, and so do repeated ones, each with a slot of its own.  An empty table gives an empty result.  Other columns may
+    have any name: they go through under names of their own.
     """
-    made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
-    group = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(1)), F.lit(groups)).cast("int")
-    counted = docs.select(F.col(f"`{key}`").alias("k")).select(jump_shard(F.col("k"), shards).alias("shard"), F.pmod(F.xxhash64("k", F.lit(1)), F.lit(groups)).cast("int").alias("group")).groupBy("shard", "group").agg(F.count("*").alias("n"))
+    kept = others(docs, MADE)
+    carried = [f"c{i}" for i in range(len(kept))]
+    body = F.coalesce(quoted(text), F.lit("")).cast("binary")
+    rows = docs.select(
+        *[quoted(c).alias(name) for c, name in zip(kept, carried, strict=True)],
+        quoted(key).alias("key"),
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+    )
+    group = F.pmod(F.xxhash64("key", "text_crc32", F.lit(1)), F.lit(groups)).cast("int")
+    placed = rows.withColumns({"shard": jump_shard(F.col("key"), shards), "group": group})
+    counted = placed.groupBy("shard", "group").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
-    starts = counted.select(F.col("shard").alias("s"), F.col("group").alias("g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    placed = rows.withColumns({"size": (F.octet_length(body) + 1).cast("long"), "text_crc32": F.crc32(body), "law": F.lit("key"), "shard": jump_shard(F.col(f"`{key}`"), shards), "grown_shard": jump_shard(F.col(f"`{key}`"), shards + 1), "_group": group})
-    within = W.partitionBy("shard", "_group").orderBy(F.col(f"`{key}`").asc_nulls_first(), "text_crc32", "size")
-    numbered = placed.withColumn("_in_group", F.row_number().over(within) - 1)
+    starts = counted.select("shard", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("shard", "group").orderBy(F.col("key").asc_nulls_first(), "text_crc32", "size")
     # shards * groups rows at most
-    joined = numbered.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("_group") == F.col("g")))
-    return joined.select(*rows.columns, "size", "text_crc32", "law", "shard", (F.col("start") + F.col("_in_group")).cast("long").alias("slot"), "grown_shard")
+    numbered = placed.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(starts), ["shard", "group"])
+    slot = (F.col("start") + F.col("place")).cast("long")
+    done = numbered.select(*carried, "size", "text_crc32", F.lit("key"), "shard", slot, jump_shard(F.col("key"), shards + 1))
+    return done.toDF(*kept, *MADE)
