@@ -25,12 +25,12 @@ def _runs(k: int) -> str:
 
 ORACLE["op10_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-i AS (SELECT item_id, least(len(w), 5) AS k, unnest(CASE WHEN len(w) >= 5 THEN {_runs(5)} ELSE [array_to_string(w, ' ')] END) AS s FROM b WHERE len(w) > 0),
-sized AS (SELECT item_id, k, count(*) AS n FROM i GROUP BY ALL),
+b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, w, least(len(w), 5) AS k, unnest(CASE WHEN len(w) >= 5 THEN {_runs(5)} ELSE [array_to_string(w, ' ')] END) AS s FROM b WHERE len(w) > 0),
+sized AS (SELECT item_id, w, k, count(*) AS n FROM i GROUP BY ALL),
 s AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS k, unnest({_runs(k)}) AS s FROM d WHERE len(w) >= {k} AND {k} IN (SELECT k FROM sized)" for k in range(1, 6))}),
-m AS (SELECT doc_id, item_id, k, count(*) AS matched FROM s JOIN i USING (k, s) GROUP BY ALL)
-SELECT doc_id, item_id, n AS item_shingles, matched FROM m JOIN sized USING (item_id, k) WHERE matched >= ceil(n * 0.8 - 1e-9)
+m AS (SELECT doc_id, item_id, i.w AS w, k, count(*) AS matched FROM s JOIN i USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS item_shingles, matched FROM m JOIN sized USING (item_id, w, k) WHERE matched >= ceil(n * 0.8 - 1e-9)
 """
 
 
