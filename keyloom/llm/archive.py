@@ -17,18 +17,19 @@ import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm._files import filesystem, open_new
-from keyloom.llm._shared import cut, fresh_path
+from keyloom.llm._shared import bounded, cut, fresh_path, quoted, tasks_of
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE = 128 << 20  # bytes of records after which a writer starts another package
 RANGE = 1 << 20  # bytes of neighbouring records that are read at once
-TASKS = 20_000  # at most, for reading
+PER_TASK = 64  # ranges that a task reads one after the other, where there are many
 DATE = "2024-01-01T00:00:00Z"  # records are the same on every run
 
 
@@ -46,14 +47,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def urn(page_id: str | None) -> str:
+    """A page's identifier; null has one that no text has."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name and name.startswith("<urn:page:") else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC record, as bytes.  A revisit has the response's HTTP headers, its payload's length among them, but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     uri = "".join(c if c.isprintable() and not c.isspace() else f"%{ord(c):02X}" for c in url or "")
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:page:{'null' if page_id is None else page_id}>",
+        "WARC-Record-ID": urn(page_id),
         "WARC-Target-URI": uri,
         "WARC-Date": DATE,
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
@@ -61,7 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Length": len(block),
     }
     if revisit:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{'null' if refers_to is None else refers_to}>"}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": urn(refers_to)}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -84,7 +94,7 @@ class _Package:
         self.warc = self.zip.open(zipfile.ZipInfo(WARC, (2024, 1, 1, 0, 0, 0)), "w", force_zip64=True)
         self.at, self.lines = 0, []
 
-    def add(self, page_id: int | None, url: str | None, raw: bytes) -> None:
+    def add(self, page_id: str | None, url: str | None, raw: bytes) -> None:
         packed = gzip.compress(raw, 1, mtime=0)
         self.warc.write(packed)
         self.lines.append(json.dumps({"id": page_id, "url": url, "offset": self.at, "length": len(packed)}))
@@ -101,16 +111,17 @@ class _Package:
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write a record per row to packages under ``folder``; returns (package), one row each.
 
-    The payload is the html in UTF-8, nothing for null.  Of rows with equal payloads those with the largest key are
-    responses and the others revisits that refer to it; null keys come last.  Only digests with more than one row are
-    looked up, and each attempt of a task writes packages of its own, of which only those returned count.
+    The payload is the html in UTF-8, nothing for null.  Of rows with equal payloads those with the largest key (by the
+    order of its type) are responses and the others revisits that refer to it; null keys come last.  Only digests with more
+    than one row are looked up, and each attempt of a task writes packages of its own, of which only those returned count.
+    Keys may be of any type that reads back from its text.  Other columns are ignored.
     """
-    body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), F.sha1(body).alias("digest"))
+    body = F.coalesce(quoted(html), F.lit("")).cast("binary")
+    rows = pages.select(quoted(key).alias("page_id"), quoted(url).cast("string").alias("url"), quoted(html).cast("string").alias("html"), F.sha1(body).alias("digest"))
     shared = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").drop("n")
-    marked = rows.join(cut(shared, "digests"), "digest", "left")
+    marked = rows.join(bounded(cut(shared, "digests")), "digest", "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    marked = marked.select(F.col("page_id").cast("string"), "url", "html", F.when(revisit, F.col("refers_to")).cast("string").alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
@@ -217,20 +228,15 @@ def locate(packages: DataFrame, size: int = RANGE) -> DataFrame:
     return packages.select("package").mapInArrow(run, "package string, start long, length long")
 
 
-def _page(urn: str | None) -> int | None:
-    text = (urn or "").removeprefix("<urn:page:").rstrip(">")
-    return int(text) if text and text != "null" else None
-
-
 def read(ranges: DataFrame) -> DataFrame:
     """The records in ``ranges``: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload).
 
     A revisit's payload is null, its length and digest those of the full payload that it stands for; a response's are
     computed from what was read, and a digest that differs from the record's header is an error.
     """
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,15 +255,19 @@ def read(ranges: DataFrame) -> DataFrame:
                     stated = fields["warc-payload-digest"].removeprefix("sha1:")
                     if not again and (len(payload) != told or digest(payload) != stated):
                         raise ValueError(f"record {fields['warc-record-id']} is damaged")
-                    rows.append((_page(fields["warc-record-id"]), fields["warc-target-uri"], told, stated, fields["warc-type"], _page(fields.get("warc-refers-to")), None if again else payload))
+                    rows.append((page_of(fields["warc-record-id"]), fields["warc-target-uri"], told, stated, fields["warc-type"], page_of(fields.get("warc-refers-to")), None if again else payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return ranges.mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write ``pages`` to packages in the shared folder and read the records back from them."""
+    """Write ``pages`` to packages in the shared folder and read the records back from them: a row for every row, with page_id of the key's type.
+
+    Repeated rows, null keys and empty pages come back as they are; an empty table gives an empty result.
+    """
     packages = write(pages, fresh_path(pages.sparkSession, "archives"), key, url, html)
     ranges = cut(locate(packages), "ranges")
-    # rows are few and their work is large, so their number and not their size decides on the tasks
-    return read(ranges.repartition(min(max(ranges.count(), 1), TASKS), "package", "start"))
+    back = read(ranges.repartition(tasks_of(ranges, PER_TASK), "package", "start"))
+    kind = pages.select(quoted(key)).schema[0].dataType
+    return back.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})

@@ -143,15 +143,17 @@ def draw(key: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, targets: dict[str, dict[str | None, float]] | None = None, alpha: dict[str, float] = ALPHA, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The sampled rows of ``docs``, with columns _source, _lang, _topic and _probability (in place of any so called).
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, targets: dict[str, dict[str | None, float]] | None = None, alpha: dict[str, float] = ALPHA, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, marks: bool = True) -> DataFrame:
+    """The sampled rows of ``docs``, and with ``marks`` columns _source, _lang, _topic and _probability (in place of any so called).
 
     Null is a source, language or topic of its own, apart from any text.  Repeated rows are drawn together, null keys as
     one; rows without words are sampled as ``cell_probabilities`` says.  An empty table gives an empty result, and other
     columns may have any name.  One short row for each combination that occurs is broadcast, while those are few.
     """
-    docs = docs.select(*[quoted(c) for c in others(docs, MADE)])
+    if marks:
+        docs = docs.select(*[quoted(c) for c in others(docs, MADE)])
     marked = _marked(docs, key, text, topic)
     cells = _probabilities(marked.select("tokens", *DIMS), targets, alpha, sweeps, tolerance)
     kept = marked.join(bounded(cells.select(*DIMS, "probability")), DIMS).where(draw(F.col("key")) < F.col("probability"))
-    return kept.select("row.*", *[_shown(F.col(d)).alias(f"_{d}") for d in DIMS], F.col("probability").alias("_probability"))
+    made = [*[_shown(F.col(d)).alias(f"_{d}") for d in DIMS], F.col("probability").alias("_probability")]
+    return kept.select("row.*", *(made if marks else []))

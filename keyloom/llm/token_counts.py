@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.llm import _text
 from keyloom.llm._files import filesystem, open_new
-from keyloom.llm._shared import cut, fresh_path
+from keyloom.llm._shared import cut, fresh_path, quoted, tasks_of
 
 BLOCK = 4 << 20  # tokens looked through by one step of a task
-TASKS = 20_000  # at most, for the scan
+PER_TASK = 16  # blocks that a task looks through one after the other, where there are many
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-pair tokenizers of this family cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,7 +41,7 @@ class Tokenizer:
         self.of = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Identifiers of a text; none for null.  Cut at line ends first, so that no call has to hold a whole long text."""
+        """Identifiers of a text; none for null.  The whole text goes through at once."""
         if not text:
             return np.zeros(0, self.dtype)
         return np.array(self.of.encode_ordinary(text), self.dtype)
@@ -52,7 +53,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     Returns (file, tokens, place, key): for every file its length in tokens, and for every document its place in it.
     Each attempt of a task writes a file of its own; only files in the result count.
     """
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    chosen = docs.select(quoted(key).alias("id"), quoted(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Tokenizer(tokenizer)
@@ -64,13 +65,16 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                     uri, out = open_new(folder, "tokens")
                 out.write(of.encode(batch.column(1)[k].as_py()).tobytes())
                 out.write(end)
-            ids += batch.column(0).to_pylist()
+            ids.append(batch.column(0))
         if out is not None:
             tokens = out.tell() // np.dtype(of.dtype).itemsize
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [uri] * len(ids), "tokens": [tokens] * len(ids), "place": np.arange(len(ids)), "id": pa.array(ids, pa.int64())})
+            ids = pa.concat_arrays(ids)
+            yield pa.RecordBatch.from_pydict({"file": [uri] * len(ids), "tokens": [tokens] * len(ids), "place": np.arange(len(ids)), "id": ids})
+        _text.release()
 
-    return cut(chosen.mapInArrow(run, "file string, tokens long, place long, id long"), "token-files").withColumnRenamed("id", key)
+    schema = chosen.select(F.lit("").alias("file"), *[F.lit(0).cast("long").alias(c) for c in ("tokens", "place")], "id").schema
+    return cut(chosen.mapInArrow(run, schema), "token-files").withColumnRenamed("id", key)
 
 
 def scan(files: DataFrame, end: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
@@ -81,8 +85,7 @@ def scan(files: DataFrame, end: int, dtype: str = "<u2", block: int = BLOCK) ->
     width = np.dtype(dtype).itemsize
     steps = F.when(F.col("tokens") > 0, F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block).cast("long")))
     blocks = files.select("file", "tokens", F.explode(steps).alias("at"))
-    # rows are few and their work is large, so their number and not their size decides on the tasks
-    blocks = blocks.repartition(min(max(blocks.count(), 1), TASKS), "file", "at")
+    blocks = blocks.repartition(tasks_of(blocks, PER_TASK), "file", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +111,13 @@ def scan(files: DataFrame, end: int, dtype: str = "<u2", block: int = BLOCK) ->
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
     """(key, n_tokens) of every row of ``docs``, by way of token files in the shared folder.
 
-    Null and empty texts have no tokens; repeated rows and null keys come back as they are.
+    Null and empty texts have no tokens; repeated rows and null keys, of any type, come back as they are.  An empty table
+    gives an empty result, and other columns are ignored.  A text goes through the tokenizer whole: of a very long one a
+    task holds the text and four bytes for each token.
     """
     spark: SparkSession = docs.sparkSession
     of = Tokenizer(tokenizer)
-    written = write_files(docs, fresh_path(spark, "tokens"), key, text, tokenizer)
+    written = write_files(docs.select(quoted(key).alias("key"), quoted(text).alias("text")), fresh_path(spark, "tokens"), "key", "text", tokenizer)
     files = written.select("file", "tokens").where("place = 0")
     counted = scan(files, of.end, of.dtype, block)
-    return written.join(counted, ["file", "place"]).select(key, "n_tokens")
+    return written.join(counted, ["file", "place"]).select(F.col("key").alias(key), "n_tokens")

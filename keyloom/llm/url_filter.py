@@ -7,17 +7,19 @@ character's mask allows (Shift-And), and lets stars keep theirs.  Thousands of U
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import _text
+from keyloom.llm._shared import others, quoted, with_made
 
 SLICE = 1 << 14  # URLs that step together
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -95,42 +97,39 @@ class Automaton:
         return (state[:, last // 64] >> (last % 64).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def url_parts(url: str | None) -> tuple[str, str]:
+def url_parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path of a URL; both empty for null and where ``://`` is missing."""
-    if url is None or (at := url.find("://")) < 0:
-        return "", ""
-    rest = url[at + 3 :]
-    ends = [i for i in map(rest.find, "?#") if i >= 0]
-    rest = rest[: min(ends, default=len(rest))]
-    cut = rest.find("/")
-    host, path = (rest, "") if cut < 0 else (rest[:cut], rest[cut:])
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+    shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    host, path = (F.coalesce(F.regexp_extract(url, shape, k), F.lit("")) for k in (1, 2))
+    return F.translate(host, UPPER, UPPER.lower()), path
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule (null if none fits) and verdict; columns of those names are replaced.
+    """``pages`` with host, path, rule (null if none fits) and verdict; columns of those names, in any case of letters, are replaced.
 
     Of the rules that fit, the one with the longest name wins, of equally long ones the longer host, then the first given.
-    Null and empty URLs have empty parts, fit no rule and get ``default``.
+    Null and empty URLs have empty parts, fit no rule and get ``default``.  Every row gives a row, repeated ones too, and
+    an empty table an empty result; other columns may have any name.
     """
-    made = ["host", "path", "rule", "verdict"]
-    kept = [c for c in pages.columns if c not in made]
-    chosen = pages.select(*[F.col(f"`{c}`") for c in kept])
-    schema = chosen.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast("string").alias(c) for c in made]).schema
     best = sorted(rules, key=lambda r: (-len(r.name), -len(r.host)))
-    at = kept.index(url)
+    kept = others(pages, ["host", "path", "rule", "verdict"])
+    own = pages.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], *[c.alias(n) for c, n in zip(url_parts(quoted(url)), ("host", "path"), strict=True)])
+    own = own.withColumn("name", F.concat(F.lit("."), "host", "path"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
         automaton = Automaton([r.glob for r in best])
-        names, verdicts = np.array([*[r.name for r in best], None], object), np.array([*[r.verdict for r in best], default], object)
-        for big in batches:
-            for begin in range(0, big.num_rows, SLICE):
-                batch = big.slice(begin, SLICE)
-                parts = [url_parts(u) for u in batch.column(at).to_pylist()]
-                data, offsets = _text.column_bytes(pa.array([f".{h}{p}" for h, p in parts], pa.string()))
-                fits = automaton.match(data, offsets[:-1], np.diff(offsets)) if best else np.zeros((len(parts), 0), bool)
-                won = np.concatenate([fits, np.ones((len(parts), 1), bool)], axis=1).argmax(axis=1)
-                made_now = [[h for h, _ in parts], [p for _, p in parts], list(names[won]), list(verdicts[won])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.string()) for x in made_now]], names=[*kept, *made])
-
-    return chosen.mapInArrow(run, schema)
+        names, verdicts = pa.array([*[r.name for r in best], None], pa.string()), pa.array([*[r.verdict for r in best], default], pa.string())
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            won = []
+            for at in range(0, len(column), SLICE):
+                data, offsets = _text.column_bytes(column.slice(at, SLICE))
+                fits = automaton.match(data, offsets[:-1], np.diff(offsets)) if best else np.zeros((len(offsets) - 1, 0), bool)
+                won.append(np.concatenate([fits, np.ones((len(fits), 1), bool)], axis=1).argmax(axis=1))
+            place = pa.array(np.concatenate([np.zeros(0, np.int64), *won]))
+            return [names.take(place), verdicts.take(place)]
+
+        return make
+
+    done = with_made(own, "name", {"rule": "string", "verdict": "string"}, start, keep=False)
+    return done.toDF(*kept, "host", "path", "rule", "verdict")

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -52,7 +53,7 @@ def test_zip64_and_other_writers(tmp_path, monkeypatch):
 
 
 def test_records_parse_back():
-    raw = archive.record(3, "http://x", b"body\r\n\r\nmore", None, False)
+    raw = archive.record("3", "http://x", b"body\r\n\r\nmore", None, False)
     head, block = archive.parse_record(raw)
     assert head["warc-type"] == "response" and block.endswith(b"body\r\n\r\nmore") and raw.endswith(b"\r\n\r\n")
     assert gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(raw))).read() == raw
@@ -88,15 +89,24 @@ def test_scan_stitches_blocks(spark, tmp_path, block, dtype):
 RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("block", "org", "/es/")]
 
 
+def parts(url):
+    """Host and path by their definition."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = re.split(r"[?#]", url.split("://", 1)[1])[0]
+    cut = rest.find("/") if "/" in rest else len(rest)
+    return re.sub("[A-Z]", lambda m: m[0].lower(), rest[:cut]), rest[cut:]
+
+
 def fits(rule, host, path):
     return (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path)
 
 
 def test_rules(spark):
-    urls = [None, "", "no scheme", "http://example.com/en/7x", "HTTP://A.EXAMPLE.Com/en/8", "http://com/en/", "http://xcom/en/", "http://a.org/x.com/en/", "http://x.com?/en/", "http://x.com#/en/", "http://x.com/EN/", "http://é.com/en/é?q", "x://b.org/es/?a://c.com/en/", "http://", "http://" + "a." * 3000 + "com/en/z"]
+    urls = [None, "", "no scheme", "http://example.com/en/7x", "HTTP://A.EXAMPLE.Com/en/8", "http://com/en/", "http://xcom/en/", "http://a.org/x.com/en/", "http://x.com?/en/", "http://x.com#/en/", "http://x.com/EN/", "http://é.com/en/é?q", "x://b.org/es/?a://c.com/en/", "a\nb://É.Com/\nen/", "İ://I.ORG/es/7", "http://", "http://" + "a." * 3000 + "com/en/z"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id int, url string, rule string")
     for r in url_filter.judge(pages, RULES).collect():
-        host, path = url_filter.url_parts(urls[r["page_id"]])
+        host, path = parts(urls[r["page_id"]])
         best = max((x for x in RULES if fits(x, host, path)), key=lambda x: len(x.name), default=None)
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best.name, best.verdict if best else "allow")
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
@@ -124,3 +134,16 @@ def test_automaton_is_a_glob_matcher():
     for i, t in enumerate(texts):
         for j, g in enumerate(globs):
             assert got[i, j] == model(g, t), (g, t)
+
+
+def test_text_keys_and_odd_columns(spark):
+    """Keys that are texts, null among them and a text that says so, and columns called as the operators' own."""
+    keys = ["a", None, "null", "", "ü / ?>", "b"]
+    rows = [(k, "http://x.com/en/1", "same" if k in ("a", "b") else f"t{i}", "w", 1, 2) for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "id string, url string, text string, `Host` string, c0 int, `a.b` int")
+    back = archive.round_trip(frame, "id", "url", "text").collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in back) == sorted((str(k), "revisit" if k == "a" else "response", "b" if k == "a" else None) for k in keys)
+    assert sorted(str(r["id"]) for r in token_counts.token_counts(frame, "id").collect()) == sorted(map(str, keys))
+    judged = url_filter.judge(frame, RULES)
+    assert judged.columns == ["id", "url", "text", "c0", "a.b", "host", "path", "rule", "verdict"]
+    assert {(r["host"], r["verdict"], r["c0"], r["a.b"]) for r in judged.unionByName(judged).collect()} == {("x.com", "block", 1, 2)}

@@ -39,6 +39,13 @@ def test_assignment(spark):
     assert sharding.assign(docs.limit(0), 16).count() == 0
 
 
+def test_sharding_takes_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "t", 1, 2, 3, 4, 5, 6)] * 3, "doc_id long, text string, s int, g int, start int, `Shard` int, `group` int, `a.b` int")
+    out = sharding.assign(docs, 4)
+    assert out.columns == ["doc_id", "text", "s", "g", "start", "group", "a.b", *sharding.MADE]
+    assert sorted(r["slot"] for r in out.collect()) == [0, 1, 2] and {(r["s"], r["g"], r["start"], r["group"], r["a.b"]) for r in out.collect()} == {(1, 2, 3, 5, 6)}
+
+
 def corpus(spark):
     rows = [(i, "word " * (1 + i % 7) + ("| a | b " if i % 5 == 0 else "") + ("?" if i % 3 == 0 else ""), ["en", "de", None][i % 3], "hot" if i % 2 else f"s{i % 10}") for i in range(2000)]
     rows += [(None, None, None, None), (5000, "", "en", "only-empty"), (5000, "", "en", "only-empty")]
