@@ -43,13 +43,15 @@ def bit_text(value: Column) -> Column:
 
 
 def _range(n: Column, start: int, end: int) -> tuple[Column, Column]:
-    """First and last place of a range over n places; negative ones count from the end, and the range is clamped."""
-    first = F.greatest((n + start) if start < 0 else F.lit(start), F.lit(0))
-    return first, F.least((n + end) if end < 0 else F.lit(end), n - 1)
+    """First and last place of a range over n places; negative ones count from the end, and both are clamped to the value."""
+    first, last = (F.greatest((n + x) if x < 0 else F.lit(x), F.lit(0)) for x in (start, end))
+    return first, F.least(last, n - 1)
 
 
 def bitcount_bytes(value: Column, start: int | None = None, end: int | None = None, unit: str = "BYTE") -> Column:
     """BITCOUNT of bytes, 0 for a missing value: set bits, all or those between two bytes or (BIT) two bits, both included."""
+    if start is not None and end is not None and 0 > start > end:
+        return F.lit(0)
     if start is not None and unit == "BIT":
         bits = bit_text(F.coalesce(value.cast("binary"), F.lit(b"")))
         first, last = _range(F.length(bits), start, -1 if end is None else end)
@@ -64,15 +66,16 @@ def bitcount_bytes(value: Column, start: int | None = None, end: int | None = No
 def bitpos_bytes(value: Column, on: bool = True, start: int | None = None, end: int | None = None, unit: str = "BYTE") -> Column:
     """BITPOS of bytes: place of the first bit that is ``on`` within a range of bytes or (BIT) bits, -1 where there is none.
 
-    Looking for a clear bit without an end, a value of set bits has one behind its last; a missing value is all clear.
+    Looking for a clear bit without an end, a value of set bits has one behind its last.  A missing value is all clear, an
+    empty one has no bits.
     """
     bits = bit_text(F.coalesce(value.cast("binary"), F.lit(b"")))
     width = 8 if unit == "BYTE" else 1
     first, last = _range(F.floor(F.length(bits) / width).cast("int"), start or 0, -1 if end is None else end)
     first, last = first * width, last * width + width - 1
     at = F.locate("1" if on else "0", F.substring(bits, first + 1, F.greatest(last - first + 1, F.lit(0))))
-    beyond = F.lit(-1) if on or end is not None else F.when((first <= last) | (F.length(bits) == 0), F.length(bits)).otherwise(F.lit(-1))
-    return F.when(at > 0, first + at - 1).otherwise(beyond).cast("bigint")
+    beyond = F.lit(-1) if on or end is not None else F.when(first <= last, F.length(bits)).otherwise(F.lit(-1))
+    return F.when(value.isNull(), F.lit(-1 if on else 0)).when(at > 0, first + at - 1).otherwise(beyond).cast("bigint")
 
 
 def bitpos(bits: DataFrame, on: bool = True, length: int | None = None) -> DataFrame:

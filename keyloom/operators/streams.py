@@ -75,7 +75,7 @@ def whole_id(text: Column) -> Column:
     number = lambda c: c.try_cast("decimal(20,0)")
     wrong = F.raise_error(F.lit("ERR Invalid stream ID specified as stream command argument")).cast("decimal(20,0)")
     fits = lambda c: F.when(number(c).between(0, _number(MAX_SEQ)), number(c)).otherwise(wrong)
-    return F.struct(fits(F.get(parts, F.lit(0))).alias("ms"), F.when(F.size(parts) == 1, F.lit(0).cast("decimal(20,0)")).otherwise(fits(F.get(parts, F.lit(1)))).alias("seq"))
+    return F.struct(fits(F.get(parts, F.lit(0))).alias("ms"), F.when(F.size(parts) == 1, F.lit(0).cast("decimal(20,0)")).when(F.size(parts) > 2, wrong).otherwise(fits(F.get(parts, F.lit(1)))).alias("seq"))
 
 
 def next_id(last_ms: Column, last_seq: Column, now_ms: Column) -> Column:
