@@ -271,3 +271,47 @@ def test_representatives_are_those_of_exact_similarity(spark):
     want = groups([d for d, _ in docs], lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
     kept = [r["doc_id"] for r in simhash_dedup.keep_representatives(frame, similar=True).collect()]
     assert sorted(kept) == sorted(set(want))
+
+
+def test_recall_over_ten_thousand_documents(spark):
+    """Every document whose id 50 divides, against all rows: no pair from 0.8 up is in two groups, and groups hold together by such pairs."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows, groups_of = simhash_dedup._similar_classes(frame, "doc_id", "text")
+    group = {r["id"]: r["component_id"] for r in rows.join(groups_of, "fp").collect()}
+    sets = {r["doc_id"]: np.unique([hash(x) for x in shingles(r["text"])]).astype(np.int64) for r in frame.collect()}
+    ids = np.array(sorted(sets))
+    assert len(ids) >= 10_000
+    held, size = np.concatenate([sets[d] for d in ids]), np.array([len(sets[d]) for d in ids])
+    owner = np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    pairs = missed = 0
+    for d in ids[ids % 50 == 0].tolist():
+        own = sets[d]
+        first, last = np.searchsorted(held, own), np.searchsorted(held, own, "right")
+        common = np.bincount(np.concatenate([np.zeros(0, np.int64), *[owner[a:b] for a, b in zip(first, last, strict=True)]]), minlength=len(ids))
+        near = ids[(common >= 0.8 * (len(own) + size - common)) & (ids != d) & (common > 0)].tolist()
+        pairs += len(near)
+        missed += sum(group[e] != group[d] for e in near)
+        assert near or not len(own) or group[d] == d
+    assert pairs > 50 and missed == 0, (pairs, missed)
+
+
+def test_embedding_recall_over_all_rows(spark):
+    """n_links of every vector against all rows: a plain table's, and 1,500 more at cosines of 0.9 to 0.93 to one of them."""
+    rng = np.random.default_rng(13)
+    base = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float64)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    near = base[rng.integers(0, 500, 1500)]
+    off = rng.standard_normal(near.shape)
+    off -= (off * near).sum(axis=1)[:, None] * near
+    cos = rng.uniform(0.9, 0.93, len(near))[:, None]
+    x = np.concatenate([base, cos * near + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1)[:, None]])
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    most = (x @ x.T >= 0.9 - 1e-9).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(frame).collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    asked = np.arange(len(x)) % 50 == 0
+    assert (got <= most).all() and links[asked].sum() > 50
+    assert got[asked].sum() >= 0.9 * links[asked].sum() and got.sum() >= 0.98 * links.sum(), (got.sum(), links.sum())
