@@ -90,9 +90,67 @@ def test_packed_encodings():
     assert rdb.ziplist(b"\0" * 10 + b"\x00\x02hi" + b"\x04\xf3" + b"\x02\xc0\xfe\xff" + b"\xff") == [b"hi", b"2", b"-2"]
     assert rdb.intset(b"\x02\0\0\0\x02\0\0\0\x01\x00\xff\xff") == [b"1", b"-1"]
     with pytest.raises(ValueError, match="not supported"):
-        list(rdb.parse(b"REDIS0011" + b"\x0f\x01k"))
+        list(rdb.parse(b"REDIS0011" + b"\x07\x01k"))
 
 
 def test_live_rows(spark):
     state = spark.createDataFrame(pd.DataFrame({"key": ["a"], "expire_at_ms": [5]}))
     assert fold.live_rows(state, 5).count() == 0 and fold.live_rows(state, 4).count() == 1
+
+
+STREAM = [
+    (0, "x", "stream", 99, "5-1", '["a", "1", "b", "ü"]', None, 0),
+    (0, "x", "stream", 99, "5-7", '["a", "' + "v" * 5000 + '"]', None, 1),
+    (0, "x", "stream", 99, "1700000000000-0", "[]", None, 2),
+    (0, "x", "stream_meta", 99, None, '{"length": 3, "last": "1700000000000-3", "first": "5-1", "max_deleted": "4-0", "entries_added": 9}', None, None),
+    (0, "x", "stream_group", 99, "g", '{"last": "5-7", "entries_read": null}', None, None),
+    (0, "x", "stream_group", 99, "h", '{"last": "5-1", "entries_read": 70000}', None, None),
+    (0, "x", "stream_consumer", 99, "c", '{"group": "g", "seen_ms": 7, "active_ms": 6}', None, None),
+    (0, "x", "stream_pending", 99, "5-1", '{"group": "g", "delivery_ms": 3, "deliveries": 2, "consumer": "c"}', None, None),
+]
+
+
+def test_streams_in_snapshots(spark, tmp_path):
+    frame = spark.createDataFrame([*STREAM, *[(1, "y", "stream", None, f"{i}-0", f'["n", "{i}"]', None, i - 1) for i in range(1, 251)]], rdb.ROWS)
+    whole = rdb.file_of((r["db"], r["body"]) for r in rdb.export(frame).orderBy("db", "key").collect())
+    (tmp_path / "x.rdb").write_bytes(whole)
+    back = rdb.read_rdb(spark, f"file://{tmp_path}/x.rdb")
+    assert sorted(map(str, map(tuple, back.where("key = 'x'").collect()))) == sorted(map(str, STREAM))
+    assert back.where("key = 'y' and type = 'stream'").count() == 250
+    with pytest.raises(ValueError, match="checksum"):
+        list(rdb.parse(whole[:40] + bytes([whole[40] ^ 1]) + whole[41:]))
+
+
+def test_stream_nodes_of_other_writers():
+    """A master entry with fields, an entry that shares them, one deleted, one with its own; version 1 without counters."""
+    item = rdb._item
+    parts = [2, 1, 2, "f", "g", 0, 2, 0, 0, "1", "2", 5, 3, 1, 0, "3", "4", 5, 0, 2, 4, 1, "h", "5", 6]
+    body = b"".join(map(item, parts))
+    node = (len(body) + 7).to_bytes(4, "little") + len(parts).to_bytes(2, "little") + body + b"\xff"
+    key = (9).to_bytes(8, "big") + (1).to_bytes(8, "big")
+    raw = b"\x01" + rdb._bytes(key) + rdb._bytes(node) + bytes([2, 11, 5, 0])
+    rows = rdb._stream(rdb._Input(raw), rdb.STREAM)
+    assert rows[:2] == [("stream", "9-1", '["f", "1", "g", "2"]', 0), ("stream", "11-5", '["h", "5"]', 1)]
+    assert '"entries_added": 2' in rows[2][2]
+
+
+def test_crc64():
+    assert rdb.crc64(b"123456789") == 0xE9C6D914C4B8D9CA and rdb.crc64(b"") == 0
+    raw = bytes(range(256)) * 41
+    assert len({rdb.crc64(raw, lanes) for lanes in (1, 7, 2048)}) == 1
+
+
+def test_dump_and_restore(spark):
+    rows = spark.createDataFrame([(0, "s", "string", 5, None, "v" * 300, None, None), (0, "z", "zset", None, "m", None, 1.5, None), (0, "l", "list", None, None, "a", None, 0), (0, "l", "list", None, None, "b", None, 1), *STREAM], rdb.ROWS)
+    dumped = rdb.dump(rows).cache()
+    same = lambda df: sorted(map(str, df.drop("expire_at_ms").collect()))
+    with_ttl = dumped.withColumn("ttl", F.when(F.col("key") == "s", 50).otherwise(0).cast("long"))
+    back = rdb.restore(with_ttl, 1000)
+    assert same(back) == same(rows)
+    assert {r["key"]: r["expire_at_ms"] for r in back.collect()} == {"s": 1050, "z": None, "l": None, "x": None}
+    assert {r["key"] for r in rdb.restore(with_ttl, 1000, absttl=True).collect()} == {"z", "l", "x"}
+    with pytest.raises(Exception, match="BUSYKEY"):
+        rdb.restore(with_ttl, 1000, rows.where("key = 'z'")).collect()
+    assert rdb.restore(with_ttl, 1000, rows, replace=True).count() == rows.count()
+    with pytest.raises(Exception, match="checksum are wrong"):
+        rdb.restore(with_ttl.withColumn("payload", F.concat(F.col("payload"), F.lit(b"x"))), 1000).collect()
