@@ -56,10 +56,13 @@ def lrange(lists: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def lset(lists: DataFrame, index: int, value: str) -> DataFrame:
-    """LSET at an index of every list; an index that none has is an error in the reply, here a list without change."""
+    """LSET at an index of every list; one that a list doesn't have is an error."""
     want = index + 1 if index >= 0 else -index
     side = _head if index >= 0 else _tail
-    return side(lists).withColumn("value", F.when(F.col("rn") == want, F.lit(value)).otherwise(F.col("value"))).drop("rn")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n"))
+    wrong = F.raise_error(F.lit("ERR index out of range")).cast("string")
+    new = F.when(F.col("n") < want, wrong).when(F.col("rn") == want, F.lit(value)).otherwise(F.col("value"))
+    return side(lists).join(sizes, "key").withColumn("value", new).select(*lists.columns)
 
 
 def linsert(lists: DataFrame, pivot: str, value: str, after: bool = False) -> DataFrame:

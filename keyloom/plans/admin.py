@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.command_keys import command_keys
 from keyloom.functions.glob import glob_match
 
 
@@ -42,6 +43,37 @@ def info(frames: dict[str, DataFrame]) -> DataFrame:
     return frames["keys"].groupBy("db").agg(F.count("*").alias("keys"), F.count("expire_at_ms").alias("expires"), F.avg("expire_at_ms").alias("avg_expire_at_ms"))
 
 
+def ping(message: str | None = None) -> str:
+    """PING, and with a message ECHO."""
+    return "PONG" if message is None else message
+
+
+def wait(replicas: int, timeout_ms: int) -> int:
+    """WAIT: there are no replicas, so none has acknowledged and nothing is waited for."""
+    if replicas < 0 or timeout_ms < 0:
+        raise ValueError("value is out of range, must be positive")
+    return 0
+
+
+def getkeys(log: DataFrame) -> DataFrame:
+    """COMMAND GETKEYS of a log (cmd, key, args): its rows with ``keys``."""
+    words = F.when(F.col("key").isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array("key"), F.coalesce("args", F.array().cast("array<string>"))))
+    return log.withColumn("keys", command_keys(F.col("cmd"), words))
+
+
+def metrics(frames: dict[str, DataFrame], prefix: str = "keyloom") -> DataFrame:
+    """Metrics in the text form that monitoring systems scrape: a line for the rows of each frame, and keys and expiring keys by database."""
+    rows = None
+    for name, frame in sorted(frames.items()):
+        one = frame.agg(F.count("*").alias("n")).select(F.format_string(f'{prefix}_rows{{table="{name}"}} %d', "n").alias("line"))
+        rows = one if rows is None else rows.unionByName(one)
+    if "keys" in frames:
+        about = info(frames)
+        for column in ("keys", "expires"):
+            rows = rows.unionByName(about.select(F.format_string(f'{prefix}_{column}{{db="%d"}} %d', F.col("db").cast("int"), column).alias("line")))
+    return rows
+
+
 class SlowLog:
     """SLOWLOG: runs that took long, newest first, at most ``size``; LATENCY: their percentiles."""
 

@@ -49,6 +49,12 @@ class Store:
     def load(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{version or self.version()}/{name}")
 
+    def changes(self, name: str, since: int, until: int | None = None) -> DataFrame:
+        """The feed of changes between two versions of a table: its rows with ``change`` + for those that came and - for those that went."""
+        old, new = self.load(name, since), self.load(name, until)
+        came, went = new.exceptAll(old), old.exceptAll(new)
+        return came.withColumn("change", F.lit("+")).unionByName(went.withColumn("change", F.lit("-")))
+
     def compact(self, name: str, files: int, by: str = "key") -> DataFrame:
         """A table rewritten as few files clustered by key, for range pruning; save the result as a new version."""
         return self.load(name).repartitionByRange(files, by).sortWithinPartitions(by)

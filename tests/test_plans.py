@@ -154,3 +154,47 @@ def test_dump_and_restore(spark):
     assert rdb.restore(with_ttl, 1000, rows, replace=True).count() == rows.count()
     with pytest.raises(Exception, match="checksum are wrong"):
         rdb.restore(with_ttl.withColumn("payload", F.concat(F.col("payload"), F.lit(b"x"))), 1000).collect()
+
+
+def test_keys_of_commands(spark):
+    cases = [
+        ("get", "a", [], ["a"]),
+        ("MSET", "a", ["1", "b", "2"], ["a", "b"]),
+        ("DEL", "a", ["b", "c"], ["a", "b", "c"]),
+        ("BITOP", "AND", ["d", "a", "b"], ["d", "a", "b"]),
+        ("BLPOP", "a", ["b", "0"], ["a", "b"]),
+        ("RENAME", "a", ["b"], ["a", "b"]),
+        ("ZUNIONSTORE", "d", ["2", "a", "b", "WEIGHTS", "1", "2"], ["d", "a", "b"]),
+        ("ZINTER", "2", ["a", "b", "WITHSCORES"], ["a", "b"]),
+        ("EVAL", "return 1", ["1", "k", "arg"], ["k"]),
+        ("XREAD", "COUNT", ["2", "streams", "a", "b", "0", "0"], ["a", "b"]),
+        ("SORT", "a", ["BY", "w_*", "store", "d"], ["a", "d"]),
+        ("GEORADIUS", "g", ["1", "1", "1", "m", "STOREDIST", "d"], ["g", "d"]),
+        ("XGROUP", "CREATE", ["s", "g", "$"], ["s"]),
+        ("PING", None, None, []),
+        ("ZUNION", "x", ["a"], []),
+    ]
+    log = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "seq int, cmd string, key string, args array<string>")
+    assert {r["seq"]: r["keys"] for r in admin.getkeys(log).collect()} == {i: c[3] for i, c in enumerate(cases)}
+
+
+def test_changes_and_metrics(spark, tmp_path):
+    store = transactions.Store(spark, f"file://{tmp_path}/feed")
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "2")], "key string, value string")
+    new = spark.createDataFrame([("a", "9"), ("b", "2")], "key string, value string")
+    store.save({"strings": old})
+    store.save({"strings": new})
+    assert sorted(tuple(r) for r in store.changes("strings", 1).collect()) == [("a", "1", "-"), ("a", "9", "+"), ("b", "2", "-")]
+    keys = spark.createDataFrame([(0, "a", None), (0, "b", 5), (2, "c", None)], "db int, key string, expire_at_ms long")
+    lines = {r["line"] for r in admin.metrics({"keys": keys, "strings": new}).collect()}
+    assert lines == {'keyloom_rows{table="keys"} 3', 'keyloom_rows{table="strings"} 2', 'keyloom_keys{db="0"} 2', 'keyloom_keys{db="2"} 1', 'keyloom_expires{db="0"} 1', 'keyloom_expires{db="2"} 0'}
+    assert admin.ping() == "PONG" and admin.ping("x") == "x" and admin.wait(1, 5) == 0
+
+
+def test_lset_range(spark):
+    from keyloom.operators import lists
+
+    frame = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 5, "z")], "key string, pos long, value string")
+    assert sorted(map(tuple, lists.lset(frame, -1, "new").collect())) == [("a", 0, "x"), ("a", 1, "new"), ("b", 5, "new")]
+    with pytest.raises(Exception, match="index out of range"):
+        lists.lset(frame, 1, "new").collect()
