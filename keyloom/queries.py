@@ -507,6 +507,22 @@ def _(t: Tables) -> DataFrame:
     return strings.lcs(t.part.select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b")))
 
 
+#: Row by row of the dynamic programme, with texts for lengths: a place takes the nearest one at or before it that matches or exceeds its left neighbour.
+ORACLE["string_lcs"] = """
+WITH RECURSIVE pairs AS (SELECT p_partkey, p_name AS a, p_type AS b, string_split(p_type, '') AS t, length(p_type) AS m FROM part),
+r AS (
+  SELECT p_partkey, 0 AS i, list_transform(range(m + 1), lambda k: '') AS p FROM pairs
+  UNION ALL
+  SELECT p_partkey, i + 1, list_prepend('', list_transform(range(1, m + 1), lambda j: coalesce(v[list_max(list_filter(range(1, j + 1), lambda k: stop[k]))], '')))
+  FROM (SELECT *, list_transform(range(1, m + 1), lambda k: t[k] = c OR length(p[k + 1]) > CASE WHEN k = 1 THEN 0 ELSE best[k - 1] END) AS stop,
+          list_transform(range(1, m + 1), lambda k: CASE WHEN t[k] = c THEN p[k] || c ELSE p[k + 1] END) AS v
+        FROM (SELECT *, list_transform(range(1, m + 1), lambda j: list_max(hits[1:j])) AS best
+              FROM (SELECT p_partkey, i, p, t, m, substr(a, i + 1, 1) AS c, list_transform(range(1, m + 1), lambda k: CASE WHEN t[k] = substr(a, i + 1, 1) THEN length(p[k]) + 1 ELSE length(p[k + 1]) END) AS hits
+                    FROM r JOIN pairs USING (p_partkey) WHERE i < length(a)))))
+SELECT p_partkey, a, b, p[m + 1] AS lcs, length(p[m + 1]) AS length FROM r JOIN pairs USING (p_partkey) WHERE i = length(a)
+"""
+
+
 @query("bitmap_bitcount", "SELECT key, count(DISTINCT bit) AS bitcount FROM ub GROUP BY key")
 def _(t: Tables) -> DataFrame:
     return bitmaps.bitcount(t.user_b())
