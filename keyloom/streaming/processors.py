@@ -131,3 +131,58 @@ def serve_waiters(items: DataFrame, waiters: DataFrame) -> DataFrame:
     from keyloom.keyspace import ranked
 
     return ranked(items, ["key"], [F.col("pos")]).join(ranked(waiters, ["key"], [F.col("since")]), ["key", "rn"]).drop("rn")
+
+
+class Waiters(StatefulProcessor):
+    """BLPOP, BRPOP and their kin on a stream: items and those who wait for them, in line and across batches.
+
+    Rows (key, arrival, now_ms, action, value, waiter, until_ms, left): ``push`` a value to an end, ``wait`` for one from an
+    end until a time (0: for ever), ``unblock`` a waiter, ``tick`` to tell the time.  Out come (key, waiter, value, outcome):
+    ``served`` in the order in which they began to wait, ``timeout`` with the key's first row whose clock has reached the
+    deadline, ``unblocked``.  The rows' clocks alone decide, so a replay gives the same replies.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState("items", "n long", "value string")
+        self.line = handle.getMapState("line", "n long", "waiter string, until_ms long, left boolean")
+
+    def _late(self, now_ms: int) -> list[tuple[str, None, str]]:
+        late = [(n[0], w) for n, w in self.line.iterator() if 0 < w[1] <= now_ms]
+        for n, _ in late:
+            self.line.removeKey((n,))
+        return [(w[0], None, "timeout") for _, w in sorted(late)]
+
+    def _served(self) -> list[tuple[str, str, str]]:
+        out, places = [], sorted(n[0] for n in self.items.keys())  # noqa: SIM118
+        for n, w in sorted((n[0], tuple(w)) for n, w in self.line.iterator()):
+            if not places:
+                break
+            at = places.pop(0 if w[2] else -1)
+            out.append((w[0], self.items.getValue((at,))[0], "served"))
+            self.items.removeKey((at,))
+            self.line.removeKey((n,))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for r in pd.concat(list(rows)).sort_values("arrival").itertuples():
+            out += self._late(int(r.now_ms))
+            if r.action == "push":
+                places = [n[0] for n in self.items.keys()]  # noqa: SIM118
+                at = (min(places) - 1 if r.left else max(places) + 1) if places else 0
+                self.items.updateValue((at,), (r.value,))
+            elif r.action == "wait":
+                self.line.updateValue((int(r.arrival),), (r.waiter, int(r.until_ms), bool(r.left)))
+            elif r.action == "unblock":
+                for n in [n for n, w in self.line.iterator() if w[0] == r.waiter]:
+                    self.line.removeKey(n)
+                    out.append((r.waiter, None, "unblocked"))
+            out += self._served()
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "waiter", "value", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+def blocking_pops(actions: DataFrame) -> DataFrame:
+    return actions.groupBy("key").transformWithStateInPandas(Waiters(), "key string, waiter string, value string, outcome string", "Append", "None")

@@ -46,3 +46,16 @@ def test_waiters_are_served_in_line(spark):
     items = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, pos long, value string")
     waiters = spark.createDataFrame([("k", "w2", 20), ("k", "w1", 10), ("k", "w3", 30)], "key string, waiter string, since long")
     assert sorted((r["waiter"], r["value"]) for r in processors.serve_waiters(items, waiters).collect()) == [("w1", "a"), ("w2", "b")]
+
+
+def test_waiters_across_batches(spark, tmp_path):
+    """Two wait before anything is there, one gives up, one is let go, ends differ, and what is left waits for the next."""
+    schema = "key string, arrival long, now_ms long, action string, value string, waiter string, until_ms long, left boolean"
+    far = 1 << 45
+    wait = lambda t, who, until=0, left=True: ("k", t, t, "wait", None, who, until, left)
+    push = lambda t, value, left=False: ("k", t, t, "push", value, None, 0, left)
+    first = [wait(1, "a"), wait(2, "b", far + 10), wait(3, "c"), ("k", 4, 4, "unblock", None, "c", 0, True), ("other", 5, 5, "wait", None, "o", 0, True)]
+    second = [push(6, "one"), ("k", 7, far + 10, "push", "two", None, 0, False), ("k", 8, far + 11, "push", "three", None, 0, False)]
+    third = [wait(9, "d", 0, False), wait(10, "e"), wait(11, "f")]
+    got = run(spark, tmp_path, processors.blocking_pops, [first, second, third], schema)
+    assert sorted((r["waiter"], str(r["value"]), r["outcome"]) for r in got) == [("a", "one", "served"), ("b", "None", "timeout"), ("c", "None", "unblocked"), ("d", "three", "served"), ("e", "two", "served")]
