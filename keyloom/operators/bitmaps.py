@@ -123,17 +123,16 @@ def bitfield(frame: DataFrame, operations: list[tuple], value: str = "value") ->
 
 def _bitfield(raw: bytes, steps: list[tuple]) -> tuple[list[int | None], bytes]:
     replies: list[int | None] = []
-    overflow = "WRAP"
+    raw, overflow = bytearray(raw), "WRAP"
     for step in steps:
         if step[0] == "OVERFLOW":
             overflow = step[1]
             continue
         signed, width = step[1][0] == "i", int(step[1][1:])
         at = int(step[2][1:]) * width if str(step[2]).startswith("#") else int(step[2])
-        padded = raw.ljust(max(len(raw), -(-(at + width) // 8)), b"\0")
-        total = len(padded) * 8
-        number = int.from_bytes(padded, "big")
-        shift = total - at - width
+        first, last = at // 8, -(-(at + width) // 8)  # the bytes that hold the field
+        piece = raw[first:last].ljust(last - first, b"\0")
+        number, shift = int.from_bytes(piece, "big"), last * 8 - at - width
         old = number >> shift & (1 << width) - 1
         old -= (signed and old >> width - 1) << width
         if step[0] == "GET":
@@ -152,5 +151,7 @@ def _bitfield(raw: bytes, steps: list[tuple]) -> tuple[list[int | None], bytes]:
                 new -= (signed and new >> width - 1) << width
         replies.append(old if step[0] == "SET" else new)
         number = number & ~((1 << width) - 1 << shift) | (new & (1 << width) - 1) << shift
-        raw = number.to_bytes(len(padded), "big")
-    return replies, raw
+        if len(raw) < last:
+            raw.extend(bytes(last - len(raw)))
+        raw[first:last] = number.to_bytes(last - first, "big")
+    return replies, bytes(raw)

@@ -75,6 +75,14 @@ class Registry:
     def function_list(self, pattern: str = "*") -> list[tuple[str, list[str]]]:
         return [(k, [f.name for f in v]) for k, v in sorted(self.libraries.items()) if fnmatchcase(k, pattern)]
 
+    def function_stats(self) -> dict[str, int]:
+        """FUNCTION STATS: how many libraries and functions there are.  None runs outside of a query, so there is none to name."""
+        return {"libraries": len(self.libraries), "functions": sum(map(len, self.libraries.values()))}
+
+    def kill(self) -> None:
+        """SCRIPT KILL, FUNCTION KILL: a script runs within a query, and ends with the query's own cancellation."""
+        raise ValueError("NOTBUSY No scripts in execution right now.")
+
     def function_dump(self) -> str:
         return json.dumps({k: [vars(f) for f in v] for k, v in self.libraries.items()})
 

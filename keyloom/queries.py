@@ -969,19 +969,36 @@ def _(t: Tables) -> DataFrame:
     return pubsub.receivers(messages, _subscriptions(t), ["c*", "*i*"], ["event_id"]).select("event_id", "receivers")
 
 
-@query("pubsub_numsub", "SELECT * FROM (VALUES ('click', 2), ('view', 1), ('none', 0)) r(channel, numsub)")
+#: Two users in three subscribe to the types of their events, the others to patterns of their first letters.
+_SE = "sub AS (SELECT DISTINCT 's' || user_id AS session, CASE WHEN user_id % 3 = 0 THEN 'pattern' ELSE 'channel' END AS kind, CASE WHEN user_id % 3 = 0 THEN left(event_type, 2) || '*' ELSE event_type END AS name FROM events)"
+
+
+def _sessions(t: Tables) -> DataFrame:
+    by_pattern = F.col("user_id") % 3 == 0
+    name = F.when(by_pattern, F.concat(F.substring("event_type", 1, 2), F.lit("*"))).otherwise(F.col("event_type"))
+    return t.events.select(F.concat(F.lit("s"), F.col("user_id")).alias("session"), F.when(by_pattern, "pattern").otherwise("channel").alias("kind"), name.alias("name")).distinct()
+
+
+@query("pubsub_numsub", f", {_SE} SELECT channel, count(DISTINCT session) AS numsub FROM (SELECT DISTINCT event_type AS channel FROM events UNION ALL SELECT 'none') c LEFT JOIN sub ON kind = 'channel' AND name = channel GROUP BY channel")
+def _(t: Tables) -> DataFrame:
+    wanted = t.events.select(F.col("event_type").alias("channel")).distinct().unionByName(t.literal([("none",)], "channel string"))
+    return pubsub.numsub(_sessions(t), wanted)
+
+
+@query("pubsub_channels", f", {_SE} SELECT DISTINCT name AS channel FROM sub WHERE kind = 'channel' AND name LIKE '%c%'")
 def _(t: Tables) -> DataFrame:
-    return pubsub.numsub(_subscriptions(t), t.literal([("click",), ("view",), ("none",)], "channel string"))
+    return pubsub.channels(_sessions(t), "*c*")
 
 
-@query("pubsub_channels", "SELECT * FROM (VALUES ('click')) r(channel)")
+@query("pubsub_numpat", f", {_SE} SELECT count(DISTINCT name) AS numpat FROM sub WHERE kind = 'pattern'")
 def _(t: Tables) -> DataFrame:
-    return pubsub.channels(_subscriptions(t), "c*")
+    return pubsub.numpat(_sessions(t))
 
 
-@query("pubsub_numpat", "SELECT 2 AS numpat")
+@query("pubsub_subscribe", f", {_SE} SELECT * FROM sub WHERE session <> 's1' UNION SELECT 's1', 'channel', unnest(['a', 'b']) UNION SELECT 's2', 'pattern', 'x*'")
 def _(t: Tables) -> DataFrame:
-    return pubsub.numpat(_subscriptions(t))
+    own = pubsub.subscribe(pubsub.unsubscribe(_sessions(t), "s1"), "s1", ["a", "b", "a"])
+    return pubsub.unsubscribe(pubsub.subscribe(own, "s2", ["x*", "y*"], "pattern"), "s2", ["y*"], "pattern")
 
 
 # Options and commands of one key
