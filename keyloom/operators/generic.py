@@ -135,3 +135,16 @@ def restore(payloads: DataFrame, schema: str, existing: DataFrame | None = None,
 def slots(frame: DataFrame, key: Column | None = None) -> DataFrame:
     """Keys per hash slot."""
     return frame.select(keyslot(key if key is not None else F.col("key").cast("string")).alias("slot")).groupBy("slot").agg(F.count("*").alias("keys"))
+
+
+def countkeysinslot(frame: DataFrame, slot: int) -> DataFrame:
+    """CLUSTER COUNTKEYSINSLOT."""
+    return getkeysinslot(frame, slot).agg(F.count("*").alias("keys"))
+
+
+def getkeysinslot(frame: DataFrame, slot: int, count: int | None = None) -> DataFrame:
+    """CLUSTER GETKEYSINSLOT: different keys of a slot, ``count`` at most, in key order."""
+    if not 0 <= slot < 16384:
+        raise ValueError("Invalid or out of range slot")
+    rows = frame.where(keyslot(F.col("key").cast("string")) == slot).select("key").distinct()
+    return rows if count is None else rows.orderBy("key").limit(count)

@@ -6,6 +6,7 @@ The same functions work when messages are a stream: a stream joined with a stati
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions.glob import glob_match
@@ -43,6 +44,18 @@ def receivers(messages: DataFrame, subscriptions: DataFrame, patterns: list[str]
     return messages.select(*by).join(sent, by, "left").select(*by, F.coalesce("receivers", F.lit(0)).alias("receivers"))
 
 
+def limited(sent: DataFrame, order: str, frames: int = 10_000, size: int = 128 << 20, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Back-pressure on deliveries that wait to be read: (those that go out, sessions that are closed).
+
+    A session whose queue would pass ``frames`` messages or ``size`` bytes is closed with the first one beyond; it gets
+    what came before, and nothing after.
+    """
+    so_far = W.partitionBy("session").orderBy(order, "channel").rowsBetween(W.unboundedPreceding, W.currentRow)
+    queued = sent.withColumns({"_n": F.count("*").over(so_far), "_size": F.sum(F.coalesce(F.octet_length(payload), F.lit(0))).over(so_far)})
+    fits = (F.col("_n") <= frames) & (F.col("_size") <= size)
+    return queued.where(fits).drop("_n", "_size"), queued.where(~fits).groupBy("session").agg(F.min(order).alias("closed_at"))
+
+
 def channels(subscriptions: DataFrame, pattern: str | None = None) -> DataFrame:
     """PUBSUB CHANNELS: different channels with subscribers, sorted."""
     rows = subscriptions.where("kind = 'channel'").select(F.col("name").alias("channel")).distinct()

@@ -1001,6 +1001,36 @@ def _(t: Tables) -> DataFrame:
     return pubsub.unsubscribe(pubsub.subscribe(own, "s2", ["x*", "y*"], "pattern"), "s2", ["y*"], "pattern")
 
 
+_QUEUED = f", {_SE}, q AS (SELECT session, event_id, event_type AS channel, row_number() OVER (PARTITION BY session ORDER BY event_id, event_type) AS n, sum(length(props)) OVER (PARTITION BY session ORDER BY event_id, event_type ROWS UNBOUNDED PRECEDING) AS size FROM events JOIN sub ON kind = 'channel' AND name = event_type)"
+
+
+def _waiting(t: Tables) -> DataFrame:
+    messages = t.events.select("event_id", F.col("event_type").alias("channel"), F.col("props").alias("payload"))
+    return pubsub.deliveries(messages, _sessions(t), [])
+
+
+@query("pubsub_backpressure", f"{_QUEUED} SELECT session, event_id, channel FROM q WHERE n <= 40 AND size <= 1000")
+def _(t: Tables) -> DataFrame:
+    return pubsub.limited(_waiting(t), "event_id", 40, 1000)[0].select("session", "event_id", "channel")
+
+
+@query("pubsub_closed_sessions", f"{_QUEUED} SELECT session, min(event_id) AS closed_at FROM q WHERE n > 40 OR size > 1000 GROUP BY session")
+def _(t: Tables) -> DataFrame:
+    return pubsub.limited(_waiting(t), "event_id", 40, 1000)[1]
+
+
+@query("cluster_getkeysinslot", f"SELECT DISTINCT p_name AS key FROM part WHERE {_SLOT} = (SELECT {_SLOT} FROM part ORDER BY p_name LIMIT 1)")
+def _(t: Tables) -> DataFrame:
+    names = t.part.select(F.col("p_name").alias("key"))
+    slot = names.orderBy("key").limit(1).select(keyslot(F.col("key")).alias("slot")).first()["slot"]
+    return generic.getkeysinslot(names, slot)
+
+
+@query("cluster_countkeysinslot", f"SELECT count(DISTINCT p_name) AS keys FROM part WHERE {_SLOT} = 100")
+def _(t: Tables) -> DataFrame:
+    return generic.countkeysinslot(t.part.select(F.col("p_name").alias("key")), 100)
+
+
 # Options and commands of one key
 
 
