@@ -32,6 +32,7 @@ SIMILARITY = 0.8  # share of common five-word shingles from which texts count as
 WORDS = 5  # words in a shingle of that share
 BANDS, ROWS = 40, 6  # MinHash bands of a text and the values in each: a similarity of 0.8 shares none 5 times in a million
 FACTORS = np.random.default_rng(5).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+HELD = 1 << 21  # shingles in a block of texts that are compared, about
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
 
 
@@ -160,9 +161,9 @@ def with_shingles(docs: DataFrame, text: str = "text", width: int = WORDS, only:
 
     A band is a hash of ``ROWS`` MinHash values, each by an order of its own, and of the band's number: texts of a
     similarity s share it with probability s ** ROWS, whatever their length; bands are null without shingles.  Shingles
-    are the different hashes in ascending order, eight bytes each.
+    are the different hashes in ascending order, eight bytes each; size counts all, repeats included.
     """
-    made = {c: {"bands": "array<long>", "shingles": "binary"}[c] for c in only} | {"node": "long"}
+    made = {c: {"bands": "array<long>", "shingles": "binary", "size": "long"}[c] for c in only} | {"node": "long"}
 
     def make(column: pa.Array) -> list[pa.Array]:
         node = np.zeros(len(column), np.uint64)
@@ -173,9 +174,11 @@ def with_shingles(docs: DataFrame, text: str = "text", width: int = WORDS, only:
                 node[a + full] = np.add.reduceat(h, cum[:-1][full])
             if "bands" in out:
                 out["bands"] += [x if n else None for x, n in zip(_bands(h, cum), np.diff(cum), strict=True)]
+            if "size" in out:
+                out["size"] += np.diff(cum).tolist()
             if "shingles" in out:
                 out["shingles"] += [np.unique(h[x:y]).tobytes() for x, y in pairwise(cum)]
-        types = {"bands": pa.list_(pa.int64()), "shingles": pa.binary()}
+        types = {"bands": pa.list_(pa.int64()), "shingles": pa.binary(), "size": pa.int64()}
         return [*[pa.array(out[c], types[c]) for c in only], pa.array(node.view(np.int64))]
 
     return with_made(docs, text, made, lambda: make, keep=False)
@@ -213,16 +216,18 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return edges
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float = SIMILARITY, block: int = 2 * BLOCK) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float = SIMILARITY, block: int = 2 * BLOCK, held: int = HELD) -> DataFrame:
     """Links (src, dst) that span the same components as all pairs of ``nodes`` whose shingles have a Jaccard similarity of ``least`` or more.
 
-    ``nodes`` has node and bands, and either shingles or, as least, the key of a row of ``docs`` (id, text) to make them
-    from.  Nodes that share bands, directly or through others, make up a family; within it every pair is compared by
-    exact similarity.  A family of more than ``block`` nodes is cut into blocks that meet two by two, so that no task
-    takes a whole one.
+    ``nodes`` has node and bands, and either shingles or size and, as least, the key of a row of ``docs`` (id, text) to
+    make them from.  Nodes that share bands, directly or through others, make up a family; within it every pair is
+    compared by exact similarity.  A family of more than ``block`` nodes, or ``held`` shingles, is cut into blocks that
+    meet two by two, so that no task takes a whole one.
     """
     family = connected_components(band_links(nodes)).toDF("node", "family")
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    size = F.col("size") if "size" in nodes.columns else F.octet_length("shingles") / 8
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / held))
+    sizes = family.join(nodes.select("node", size.alias("size")), "node").groupBy("family").agg(parts.cast("int").alias("m"))
     dealt = family.join(sizes, "family").withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     if docs is None:
         sets = nodes.select("node", "shingles")
@@ -256,8 +261,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 def _similar_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """As ``_classes``, by similarity: ``fp`` is the node there."""
     texts = docs.select(quoted(key).alias("id"), quoted(text).alias("text"))
-    rows = cut(with_shingles(texts, only=("bands",)), "bands")
-    named = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
+    rows = cut(with_shingles(texts, only=("bands", "size")), "bands")
+    named = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
     linked = connected_components(similar_links(named, texts)).toDF("node", "component")
     nodes = named.join(linked, "node", "left").select(F.col("node").alias("fp"), "least", "n", F.coalesce("component", "node").alias("root"))
     return rows.select("id", F.col("node").alias("fp")), _named(nodes)

@@ -233,8 +233,8 @@ def test_similar_pairs_are_found_at_any_length(spark):
     assert [n for i, (n, *_) in enumerate(pairs) if 2 * i + 1 in kept] == []
 
 
-@pytest.mark.parametrize("block", [16, 512])
-def test_similar_links_are_exact(spark, block):
+@pytest.mark.parametrize(("block", "held"), [(16, 1 << 21), (512, 1 << 21), (512, 1500)])
+def test_similar_links_are_exact(spark, block, held):
     """Families of templated texts on both sides of 0.8 and pairs close to it link as by brute force."""
     rng = random.Random(11)
     texts = []
@@ -246,7 +246,7 @@ def test_similar_links_are_exact(spark, block):
         texts += [t for _, *both in similar_pairs(rng, (30, 100, 400), low, high, 12) for t in both]
     nodes = simhash_dedup.with_shingles(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).cache()
     place = {r["node"]: r["id"] for r in nodes.select("node", "id").collect()}
-    links = [(place[r["src"]], place[r["dst"]]) for r in simhash_dedup.similar_links(nodes.drop("id", "text"), block=block).collect()]
+    links = [(place[r["src"]], place[r["dst"]]) for r in simhash_dedup.similar_links(nodes.drop("id", "text"), block=block, held=held).collect()]
     sets = [shingles(t) for t in texts]
     assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in links)
     both = {*links, *((b, a) for a, b in links)}
