@@ -6,13 +6,16 @@ non-zero vector m(i) of RADIUS + 1 bits, and table v keeps bit i when the parity
 a pair differs span at most RADIUS dimensions, so some v is orthogonal to all of them, and in that table the pair shares
 its key.  No pair within the radius is missed.
 
-Near copies by the similarity of five-word shingles are found otherwise, as no radius of such fingerprints holds them all
-without holding half of the corpus: by MinHash bands, whose families are then compared by exact similarity.
+Near copies by the similarity of five-word shingles differ in more bits than one such fingerprint can cover.  They have
+a long fingerprint, the SimHash of their different five-word shingles: ``PARTS`` parts of it meet under covering masks,
+each as above, pairs that meet are held against ``SPARE`` words of it that belong to no part, and the families of what
+is left are compared by exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -30,8 +33,11 @@ WIDTH = 3  # words in a shingle
 RADIUS = 3  # bits in which linked fingerprints may differ
 SIMILARITY = 0.8  # share of common five-word shingles from which texts count as near copies
 WORDS = 5  # words in a shingle of that share
-BANDS, ROWS = 40, 6  # MinHash bands of a text and the values in each: a similarity of 0.8 shares none 5 times in a million
-FACTORS = np.random.default_rng(5).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+PARTS, BITS = 12, 24  # parts of a long fingerprint and bits of each: at 0.8 no part is within the radius 5 times in a million
+SPARE, SPARE_RADIUS = 3, 57  # words beside the parts, and bits in which they may differ: more at 0.8 once in ten million
+FIRST = -(-PARTS * BITS // 64)  # the first spare word
+RUN = 64  # rows of a group up to which all its pairs are compared side by side with other groups'
+SAMPLE = 50_000  # nodes that tell which keys are large
 HELD = 1 << 21  # shingles in a block of texts that are compared, about
 BLOCK = 256  # fingerprints of one key compared in one group; larger keys are cut into pairs of blocks
 
@@ -73,9 +79,9 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
     return with_made(docs, text, {"fp": "long"}, lambda: lambda c: [pa.array(simhash(c, width).view(np.int64))], keep=False)
 
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
+def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """The tables' bit masks, as signed 64-bit integers."""
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(64)]
+    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
     masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -144,24 +150,27 @@ def _hashes(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray
             yield a, b, h, cum if b - a > 1 else np.array([0, len(h)])
 
 
-def _bands(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
-    full = np.flatnonzero(np.diff(cum))
-    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(cum) - 1, axis=0)
-    if len(full):
-        high, starts = (h >> np.uint64(32)).astype(np.uint32), cum[:-1][full]
-        for k, factor in enumerate(FACTORS):
-            least = np.minimum.reduceat(high * factor, starts).astype(np.uint64)
-            keys[full, k // ROWS] = (keys[full, k // ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            keys[full, k // ROWS] ^= keys[full, k // ROWS] >> np.uint64(29)
-    return keys.view(np.int64)
+def _long_simhash(h: np.ndarray, cum: np.ndarray) -> np.ndarray:
+    """SimHash of the hashes h[cum[i]:cum[i + 1]], for every i, in ``FIRST + SPARE`` words of 64 bits."""
+    many, out = np.diff(cum), np.zeros((len(cum) - 1, FIRST + SPARE), np.uint64)
+    for k in range(FIRST + SPARE):
+        counts = np.zeros((len(many), 64), np.int64)
+        for at in range(0, len(h), _text.SHINGLES):
+            to = min(at + _text.SHINGLES, len(h))
+            x = h[at:to] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            counts += _bit_counts(x ^ (x >> np.uint64(31)), np.clip(cum, at, to) - at)
+        out[:, k] = np.packbits(counts * 2 > many[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def with_shingles(docs: DataFrame, text: str = "text", width: int = WORDS, only: tuple[str, ...] = ("bands", "shingles")) -> DataFrame:
     """``docs`` without the text, with the columns ``only`` and node: a hash of all shingles, equal for copies whatever their case and white space.
 
-    A band is a hash of ``ROWS`` MinHash values, each by an order of its own, and of the band's number: texts of a
-    similarity s share it with probability s ** ROWS, whatever their length; bands are null without shingles.  Shingles
-    are the different hashes in ascending order, eight bytes each; size counts all, repeats included.
+    Bands are the words of the long fingerprint: a bit is 1 if set in over half of a hash of each different shingle, and
+    texts of a similarity of 0.8 differ in 15 % of the bits, whatever their length; null without shingles.  Shingles are
+    the different hashes in ascending order, eight bytes each; size counts all, repeats included.
     """
     made = {c: {"bands": "array<long>", "shingles": "binary", "size": "long"}[c] for c in only} | {"node": "long"}
 
@@ -172,23 +181,122 @@ def with_shingles(docs: DataFrame, text: str = "text", width: int = WORDS, only:
             full = np.flatnonzero(np.diff(cum))
             if len(full):
                 node[a + full] = np.add.reduceat(h, cum[:-1][full])
+            sets = [np.unique(h[x:y]) for x, y in pairwise(cum)] if only and only != ("size",) else []
             if "bands" in out:
-                out["bands"] += [x if n else None for x, n in zip(_bands(h, cum), np.diff(cum), strict=True)]
+                words = _long_simhash(np.concatenate([h[:0], *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+                out["bands"] += [x if n else None for x, n in zip(words.view(np.int64), np.diff(cum), strict=True)]
             if "size" in out:
                 out["size"] += np.diff(cum).tolist()
             if "shingles" in out:
-                out["shingles"] += [np.unique(h[x:y]).tobytes() for x, y in pairwise(cum)]
+                out["shingles"] += [x.tobytes() for x in sets]
         types = {"bands": pa.list_(pa.int64()), "shingles": pa.binary(), "size": pa.int64()}
         return [*[pa.array(out[c], types[c]) for c in only], pa.array(node.view(np.int64))]
 
     return with_made(docs, text, made, lambda: make, keep=False)
 
 
-def band_links(nodes: DataFrame) -> DataFrame:
-    """Links (src, dst) from every node to the least one it shares a band with: as many as bands, however large a key."""
-    keyed = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    return keyed.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """A row (cell, a, b, c) for each node, part and covering mask: the cell holds the part's masked bits, the rest are the spare words."""
+    masks = covering_masks(RADIUS, BITS)
+    cells = []
+    for p in range(PARTS):
+        word, shift = divmod(p * BITS, 64)
+        part = F.shiftrightunsigned(F.col("bands")[word], shift)
+        if shift + BITS > 64:
+            part = part.bitwiseOR(F.shiftleft(F.col("bands")[word + 1], 64 - shift))
+        cells += [part.bitwiseAND(F.lit(m)) + F.lit((p * len(masks) + v) << BITS) for v, m in enumerate(masks)]
+    return nodes.select(F.explode(F.array(*cells)).alias("cell"), *[F.col("bands")[FIRST + i].alias(c) for i, c in enumerate("abc")])
+
+
+def _far(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    return reduce(np.add, [np.bitwise_count(u ^ v) for u, v in zip(x, y, strict=True)]) > SPARE_RADIUS
+
+
+def _near_in_groups(group: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """For each row the first one of its component, of all pairs within ``SPARE_RADIUS`` in a run of one group."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    ends = np.append(starts[1:], len(group))
+    left = np.repeat(ends, ends - starts) - np.arange(len(group))  # rows of the group from here on
+    at = np.flatnonzero(np.repeat(ends - starts, ends - starts) <= RUN)
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, RUN):
+        at = at[left[at] > step]
+        if not len(at):
+            break
+        near = at[~_far([w[at] for w in words], [w[at + step] for w in words])]
+        found.append(np.stack([near, near + step]))
+    i, j = np.concatenate(found, axis=1)
+    root, before = np.arange(len(group)), None
+    while before is None or (root != before).any():
+        before, least = root.copy(), np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    for first, end in zip(starts[ends - starts > RUN], ends[ends - starts > RUN], strict=True):
+        place, rest = np.arange(first, end), [w[first:end] for w in words]
+        front: list[list] = []
+        while len(place):
+            if not front:
+                seed, front = place[0], [[w[0] for w in rest]]
+                place, rest = place[1:], [w[1:] for w in rest]
+            far = _far(rest, front.pop())
+            if not far.all():
+                hit = np.flatnonzero(~far)
+                root[place[hit]] = seed
+                front += [[w[k] for w in rest] for k in hit]
+                place, rest = place[far], [w[far] for w in rest]
+    return root
+
+
+def _near_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst) of spare words a to the least of their component in a cell, from rows (cell, i, j, a, b, c) in ascending order."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+        cell, i, j, *words = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in range(6))
+        new = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.concatenate([[0], np.cumsum(new)])
+        end = len(group) if last else int(np.searchsorted(group, group[-1]))  # the last group may go on
+        own = [w[:end] for w in words]
+        root = _near_in_groups(group[:end], [w.view(np.uint64) for w in own]) if end else np.zeros(0, np.int64)
+        edges = np.stack([own[0][root], own[0]], axis=1)
+        edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+        rest = pa.RecordBatch.from_arrays([pa.array(x[end:]) for x in (cell, i, j, *words)], names=list("gijabc"))
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["src", "dst"]), [rest]
+
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held[1:]) >= _text.SHINGLES // 8:  # at most RUN pairs each are held
+            out, held = links(held, False)
+            yield out
+    if sum(len(b) for b in held):
+        yield links(held, True)[0]
+    _text.release()
+
+
+def band_links(nodes: DataFrame, block: int = 8 * BLOCK) -> DataFrame:
+    """Links (src, dst) that span the families of ``nodes``: of all pairs near in a part of the long fingerprint and in its spare words.
+
+    Every pair of which some part differs in at most ``RADIUS`` bits meets in some cell of the covering masks; within a
+    cell all pairs are held against each other.  Cells of more than about ``block`` nodes, which a sample tells, are cut
+    into blocks that meet two by two, so that no task takes a whole hot key; none of it loses a pair.  Nodes with the
+    same first spare word are one family.
+    """
+    nodes = nodes.where("bands is not null").select("node", "bands")
+    share = max(nodes.count() // SAMPLE, 1)
+    sampled = _keyed(nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0))
+    sizes = sampled.groupBy("cell").agg((F.count("*") * share).alias("n")).where(F.col("n") > block)
+    large = bounded(cut(sizes.select("cell", F.least(F.ceil(F.col("n") / block), F.lit(1 << 30)).cast("int").alias("m")), "large"))
+    dealt = _keyed(nodes).join(large, "cell", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("a", "b", "c"), F.col("m")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = dealt.select("cell", F.least("at", "x").alias("i"), F.greatest("at", "x").alias("j"), "a", "b", "c")
+    near = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "a").mapInArrow(_near_in_cells, "src long, dst long")
+    named = nodes.select("node", F.col("bands")[FIRST].alias("word"))
+    least = cut(named.groupBy("word").agg(F.min("node").alias("least")), "words")
+    stars = near.groupBy("dst").agg(F.collect_set("src").alias("all"))  # one or a few for each cell of a node
+    stars = stars.select(F.array_min("all").alias("src"), F.explode(F.array_append("all", F.col("dst"))).alias("dst"))
+    near = cut(stars.where("src <> dst").distinct(), "near").join(least.toDF("src", "a"), "src").join(least.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return near.unionByName(named.join(least, "word").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")))
 
 
 def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -220,7 +328,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame | None = None, least: float
     """Links (src, dst) that span the same components as all pairs of ``nodes`` whose shingles have a Jaccard similarity of ``least`` or more.
 
     ``nodes`` has node and bands, and either shingles or size and, as least, the key of a row of ``docs`` (id, text) to
-    make them from.  Nodes that share bands, directly or through others, make up a family; within it every pair is
+    make them from.  Nodes whose long fingerprints are near, directly or through others, make up a family; within it every pair is
     compared by exact similarity.  A family of more than ``block`` nodes, or ``held`` shingles, is cut into blocks that
     meet two by two, so that no task takes a whole one.
     """
@@ -272,7 +380,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     """``docs``, all columns whatever their names, with one row of each near-duplicate group: the one with the smallest key.
 
     Groups are those of ``simhash_groups``, or with ``similar`` of texts whose five-word shingles agree to ``SIMILARITY``:
-    MinHash bands find the families and exact similarity of shingles links within them.
+    long SimHash fingerprints under covering masks find the families and exact similarity of shingles links within them.
 
     Rows whose key is null or repeated are told apart by their fingerprint: of those that tie for their group's place
     the one with the smallest text stays; a null key has its place only in a group of null keys.  Null and empty texts are
