@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions.glob import glob_match
+from keyloom.keyspace import ranked
 
 
 def subscribe(subscriptions: DataFrame, session: str, names: list[str], kind: str = "channel") -> DataFrame:
@@ -44,14 +45,22 @@ def receivers(messages: DataFrame, subscriptions: DataFrame, patterns: list[str]
     return messages.select(*by).join(sent, by, "left").select(*by, F.coalesce("receivers", F.lit(0)).alias("receivers"))
 
 
+def heads(messages: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` messages of each channel."""
+    return ranked(messages, ["channel"], [F.col(order)], "_n").where(F.col("_n") <= n).drop("_n")
+
+
 def limited(sent: DataFrame, order: str, frames: int = 10_000, size: int = 128 << 20, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Back-pressure on deliveries that wait to be read: (those that go out, sessions that are closed).
 
     A session whose queue would pass ``frames`` messages or ``size`` bytes is closed with the first one beyond; it gets
-    what came before, and nothing after.
+    what came before, and nothing after.  The message that closes a session is its ``frames`` + 1st at the latest, so
+    deliveries of ``heads(messages, order, frames + 1)`` give the same: a message behind as many of its own channel is
+    behind as many in every queue, and a channel needn't be sent whole to each of its sessions.
     """
+    first = ranked(sent, ["session"], [F.col(order), F.col("channel")], "_n").where(F.col("_n") <= frames + 1)
     so_far = W.partitionBy("session").orderBy(order, "channel").rowsBetween(W.unboundedPreceding, W.currentRow)
-    queued = sent.withColumns({"_n": F.count("*").over(so_far), "_size": F.sum(F.coalesce(F.octet_length(payload), F.lit(0))).over(so_far)})
+    queued = first.withColumn("_size", F.sum(F.coalesce(F.octet_length(payload), F.lit(0))).over(so_far))
     fits = (F.col("_n") <= frames) & (F.col("_size") <= size)
     return queued.where(fits).drop("_n", "_size"), queued.where(~fits).groupBy("session").agg(F.min(order).alias("closed_at"))
 
