@@ -33,7 +33,7 @@ def test_heads_of_channels_close_the_same_sessions(spark, frames, size):
     assert {r["session"]: r["closed_at"] for r in closed.collect()} == ends
 
 
-@pytest.mark.parametrize("name", ["pubsub_backpressure"])
+@pytest.mark.parametrize("name", ["pubsub_backpressure", "pubsub_closed_sessions"])
 def test_channels_are_not_sent_whole_to_each_session(spark, name):
     plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
     assert "WindowGroupLimit [channel" in plan and "WindowGroupLimit [session" in plan
