@@ -43,6 +43,10 @@ def geodist(zsets: DataFrame, pairs: DataFrame, unit: str = "m") -> DataFrame:
     return both.select("key", "a", "b", F.round(metres / g.UNITS[unit], 4).alias("dist"))
 
 
+#: Bands that a reach is cut into, and points of a cell that its centres meet in one task.
+BANDS, BLOCK = 2, 512
+
+
 def _columns(band: Column, height: float, width: float) -> Column:
     """Into how many cells of at least ``width`` degrees, as seen at the equator, a band of latitude is cut."""
     edge = F.least(F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90)), F.lit(90.0))
@@ -66,13 +70,35 @@ def _centres_at(points: DataFrame, centres: DataFrame) -> DataFrame:
     return asked.select("key", "centre", F.coalesce("at_lon", lost).alias("lon"), F.col("at_lat").alias("lat"))
 
 
+def _met(at: DataFrame, near: DataFrame) -> DataFrame:
+    """Points joined with the centres of their cells, with both as vectors (px, py, pz; cx, cy, cz).
+
+    Blocks and not cells are dealt out, to a fixed number of tasks: few bytes make many pairs here, which sizes don't tell.
+    """
+    cell, tasks = ["key", "band", "cell"], int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = at.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    points = at.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).drop("blocks")
+    centres = near.join(blocks, cell).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    points, centres = points.withColumns(_vector("p", "lon", "lat")), centres.withColumns(_vector("c", "clon", "clat"))
+    meet = F.struct(*cell, "block").alias("meet")  # one column, which stays what rows are dealt out by when a key is a constant
+    points = points.select("key", "member", "lon", "lat", "hash", "px", "py", "pz", meet).repartition(tasks, "meet")
+    centres = centres.select("centre", "clon", "clat", "cx", "cy", "cz", meet).repartition(tasks, "meet")
+    return points.join(centres, "meet")
+
+
+def _vector(name: str, lon: str, lat: str) -> dict[str, Column]:
+    x, y = F.radians(lon), F.radians(lat)
+    return {f"{name}x": F.cos(y) * F.cos(x), f"{name}y": F.cos(y) * F.sin(x), f"{name}z": F.sin(y)}
+
+
 def geosearch(points: DataFrame, centres: DataFrame, radius: float | None = None, box: tuple[float, float] | None = None, unit: str = "m", count: int | None = None, descending: bool = False, any_: bool = False) -> DataFrame:
     """GEOSEARCH BYRADIUS or BYBOX (width, height) round many centres at once.
 
     ``points`` is (key, member, score); ``centres`` is (key, centre, lon, lat), or FROMMEMBER (key, centre, member).  The
     result has a row for each centre and point within reach, with ``dist`` in the unit, position and ``hash``, its cell.
-    Points and centres meet in cells of about the reach's size, bands of latitude cut by longitude, an equi-join on (key,
-    band, cell): a centre is compared with its neighbourhood alone.  ``count`` keeps the nearest (or farthest) of each
+    Points and centres meet in cells of about half the reach's size, bands of latitude cut by longitude, an equi-join on
+    (key, band, cell, block): a centre is compared with its neighbourhood alone, and a cell of many points is dealt over
+    several tasks.  The rows themselves grow with points times centres where the reach holds a share of all points.  ``count`` keeps the nearest (or farthest) of each
     centre, ties by member; with ``any_`` the first ones in the set's order.
     """
     if (radius is None) == (box is None) or min([radius] if box is None else box) < 0:
@@ -86,23 +112,28 @@ def geosearch(points: DataFrame, centres: DataFrame, radius: float | None = None
     angle = (radius if box is None else box[0] / 2) * scale / g.EARTH_RADIUS
     height = min(max(math.degrees(reach / g.EARTH_RADIUS), 1e-6) * 1.000001, 180.0)
     width = max(math.degrees(angle), height)
+    tall, wide = height / BANDS, width / BANDS
     cells = points.where((F.col("score") == F.floor("score")) & F.col("score").between(0, (1 << 52) - 1))
     at = geopos(cells).withColumn("hash", g.encode(F.col("lon"), F.col("lat")))
     if "member" in centres.columns:
         centres = _centres_at(at, centres)
-    band = F.floor((F.col("lat") + 90) / height)
-    at = at.withColumn("band", band).withColumn("n", _columns(F.col("band"), height, width))
+    band = F.floor((F.col("lat") + 90) / tall)
+    at = at.withColumn("band", band).withColumn("n", _columns(F.col("band"), tall, wide))
     at = at.withColumn("cell", F.least(F.floor((F.col("lon") + 180) / 360 * F.col("n")), F.col("n") - 1)).drop("n")
-    near = centres.select("key", "centre", F.col("lon").alias("clon"), F.col("lat").alias("clat"), _half_width(F.col("lat"), angle, box is not None, height).alias("half"), F.explode(F.array(*[band + d for d in (-1, 0, 1)])).alias("band"))
-    near = near.withColumn("n", _columns(F.col("band"), height, width))
+    near = centres.select("key", "centre", F.col("lon").alias("clon"), F.col("lat").alias("clat"), _half_width(F.col("lat"), angle, box is not None, height).alias("half"), F.explode(F.array(*[band + d for d in range(-BANDS, BANDS + 1)])).alias("band"))
+    near = near.withColumn("n", _columns(F.col("band"), tall, wide))
     west, east = (F.floor((F.col("clon") + way * F.col("half") + 180) / 360 * F.col("n")) for way in (-1, 1))
     round_the_earth = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
     reached = F.when(east - west + 1 >= F.col("n"), round_the_earth).otherwise(F.transform(F.sequence(west, F.least(east, west + F.col("n") - 1)), lambda i: F.pmod(i, F.col("n"))))
     near = near.select("key", "centre", "clon", "clat", "band", F.explode(reached).alias("cell"))
-    met = at.join(near, ["key", "band", "cell"]).withColumn("metres", g.distance(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
+    met = _met(at, near)
+    metres = g.distance(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))
     if radius is not None:
-        met = met.where(F.col("metres") <= reach)
-    else:
+        # the chord tells all but the rim, where it could round otherwise
+        chord, rim = (1 - sum(F.col(f"p{c}") * F.col(f"c{c}") for c in "xyz")) / 2, math.sin(min(reach / g.EARTH_RADIUS / 2, math.pi / 2)) ** 2
+        met = met.where((chord < rim - 1e-12) | ((chord < rim + 1e-12) & (metres <= reach)))
+    met = met.withColumn("metres", metres)
+    if box is not None:
         # the box's width is measured at the candidate's latitude
         along = g.distance(F.col("clon"), F.col("lat"), F.col("lon"), F.col("lat"))
         across = g.distance(F.col("lon"), F.col("clat"), F.col("lon"), F.col("lat"))

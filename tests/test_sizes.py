@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom import queries
-from keyloom.operators import pubsub
+from keyloom.operators import geo, pubsub
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +54,12 @@ def test_streams_of_any_length_are_trimmed(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     got = queries.QUERIES["stream_xtrim_approx"](spark, str(tmp_path)).select("key", "ms", "seq", "event_id", "user_id")
     assert sorted(map(tuple, got.collect())) == sorted(of_duckdb("stream_xtrim_approx", tmp_path, "events").fetchall())
+
+
+def test_points_of_one_cell_are_searched_by_several_tasks(spark):
+    rows = spark.range(4000).select(F.lit("k").alias("key"), F.col("id").alias("member"), (F.col("id") % 100 / 1000 + 15).alias("lon"), (F.col("id") / 40000 + 38).alias("lat"))
+    centres = spark.createDataFrame([("k", "c", 15.0, 38.0), ("other", "d", 15.0, 38.0)], "key string, centre string, lon double, lat double")
+    for key in ("key", F.concat("key", F.lit("")).alias("key")):
+        found = geo.geosearch(geo.geoadd(rows.select(key, "member", "lon", "lat")), centres, radius=1000, unit="km")
+        assert found.select("member").distinct().count() == found.count() == 4000
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
