@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom import queries
+from keyloom.functions import scalars
 from keyloom.operators import geo, pubsub
 
 DATA = "/root/testdata/sf0.001"
@@ -63,3 +64,10 @@ def test_points_of_one_cell_are_searched_by_several_tasks(spark):
         found = geo.geosearch(geo.geoadd(rows.select(key, "member", "lon", "lat")), centres, radius=1000, unit="km")
         assert found.select("member").distinct().count() == found.count() == 4000
         assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_score_text_fits_generated_code_and_reads_back(spark):
+    values = spark.createDataFrame([(0.001,), (-0.002,), (9999.5,), (10000.25,), (1234567.12345678,), (1.5e-9,), (-2.5e30,)], "x double").select("x", scalars.score_text(F.col("x")).alias("t"))
+    assert values._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 3
+    got = dict(map(tuple, values.collect()))
+    assert all(float(t) == x for x, t in got.items()) and got[-0.002] == "-0.002" and got[-2.5e30] == "-2.5e+30"
