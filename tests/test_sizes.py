@@ -71,3 +71,10 @@ def test_score_text_fits_generated_code_and_reads_back(spark):
     assert values._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 3
     got = dict(map(tuple, values.collect()))
     assert all(float(t) == x for x, t in got.items()) and got[-0.002] == "-0.002" and got[-2.5e30] == "-2.5e+30"
+
+
+def test_lcs_length_splits_its_texts_once(spark):
+    rows = [("ab" * 31, "ba" * 31, 61), ("ab" * 32, "ba" * 32, 63), ("ab" * 40, "a", 1), ("abé", "é", 1), ("", "a", 0), (None, "a", None)]
+    found = spark.createDataFrame(rows, "a string, b string, n int").select(scalars.lcs_length(F.col("a"), F.col("b")).alias("got"), "n")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert all(r["got"] == r["n"] for r in found.collect())
