@@ -87,13 +87,16 @@ def lcs(pairs: DataFrame, a: str = "a", b: str = "b", idx: bool = False, min_mat
     With ``idx`` also ``matches``: the ranges of characters, last first, that both have in common in it, with their
     positions in each and their length; those shorter than ``min_match_len`` are left out (IDX, MINMATCHLEN, WITHMATCHLEN).
     """
-    found = "array<struct<a_start:int,a_end:int,b_start:int,b_end:int,length:int>>"
+    found = ", matches:array<struct<a_start:int,a_end:int,b_start:int,b_end:int,length:int>>" * idx
+    columns = ["lcs", "length", "matches"][: 2 + idx]
 
-    @F.pandas_udf(f"struct<lcs:string,length:int,matches:{found}>")
+    @F.pandas_udf(f"struct<lcs:string,length:int{found}>")
     def common(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_lcs(x or "", y or "", min_match_len) for x, y in zip(left, right, strict=True)], columns=["lcs", "length", "matches"])
+        both = list(zip(left, right, strict=True))
+        known = {pair: _lcs(pair[0] or "", pair[1] or "", min_match_len)[: 2 + idx] for pair in dict.fromkeys(both)}  # once for equal pairs of a batch
+        return pd.DataFrame([known[pair] for pair in both], columns=columns)
 
-    return pairs.withColumn("_r", common(F.col(a), F.col(b))).select(*pairs.columns, "_r.lcs", "_r.length", *["_r.matches"] * idx)
+    return pairs.withColumn("_r", common(F.col(a), F.col(b))).select(*pairs.columns, *[f"_r.{c}" for c in columns])
 
 
 def _lcs(x: str, y: str, least: int = 0) -> tuple[str, int, list[tuple[int, int, int, int, int]]]:

@@ -1,6 +1,7 @@
 """Steps whose work has to grow with the input and no faster, and rows that only larger tables have."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom import queries
 from keyloom.functions import scalars
-from keyloom.operators import geo, pubsub
+from keyloom.operators import geo, pubsub, strings
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,3 +79,11 @@ def test_lcs_length_splits_its_texts_once(spark):
     found = spark.createDataFrame(rows, "a string, b string, n int").select(scalars.lcs_length(F.col("a"), F.col("b")).alias("got"), "n")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
     assert all(r["got"] == r["n"] for r in found.collect())
+
+
+def test_equal_pairs_are_searched_once_a_batch(spark):
+    """100,000 pairs of 400 characters; one by one they would take minutes."""
+    began = time.monotonic()
+    pairs = spark.range(100_000).select(F.repeat(F.lit("abcd"), 100).alias("a"), F.repeat(F.lit("dbca"), 100).alias("b"))
+    assert strings.lcs(pairs).select("lcs", "length").distinct().count() == 1
+    assert time.monotonic() - began < 30
